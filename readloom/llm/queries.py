@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from readloom.llm import mixing, token_counts, topk
+from readloom.llm import mixing, packing, simhash, token_counts, topk
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_topk_search": topk.query,
+    "op4_simhash": simhash.query,
+    "op7_packing": packing.query,
     "op10_token_counts": token_counts.query,
 }
 
