@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from readloom.llm import mixing, packing, simhash, token_counts, topk
+from readloom.llm import mixing, packing, simhash, token_counts, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_topk_search": topk.query,
     "op4_simhash": simhash.query,
     "op7_packing": packing.query,
+    "op9_warc": warc.query,
     "op10_token_counts": token_counts.query,
 }
 
 SQL = {
     "op1_mixing": mixing.SQL,
     "op2_topk_search": topk.SQL,
+    "op9_warc": warc.SQL,
 }

@@ -1,0 +1,62 @@
+import base64
+import gzip
+import hashlib
+
+import pytest
+
+from readloom.llm import warc
+from readloom.llm.warc import _files, arc_head, arc_record, convert, page_of, parse_arc, parse_warc, read_warc, record_id, write_arc
+
+ROWS = [(1, "http://a/ b", "<p>x</p>"), (2, None, "<p>x</p>"), (9, "http://é", "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "u", "\r\n\r\nWARC/1.1\r\n\n"), (5, "u", "\r\n\r\nWARC/1.1\r\n\n"),
+        (None, "n", "<p>x</p>"), (None, "n", "only"), (2**62, "big", "é" * 200_000), (-7, "neg", "é" * 200_000), (10, "t\tu\nv", "q")]
+
+
+def test_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(*r, "x") for r in ROWS], "page_id long, url string, html string, digest string").repartition(3)
+    a, w = str(tmp_path / "a"), str(tmp_path / "w")
+    write_arc(df, a)
+    convert(spark, a, w)
+    last = {}
+    for p, _, h in ROWS:
+        if p is not None:
+            last[h or ""] = max(last.get(h or "", p), p)
+    want = []
+    for p, _, h in ROWS:
+        body = (h or "").encode()
+        to = last.get(h or "") if p is not None and last.get(h or "") != p else None
+        want.append((p, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if to is not None else "response", to))
+    assert sorted(map(tuple, read_warc(spark, w).collect()), key=repr) == sorted(want, key=repr)
+    records = [r for f in _files(spark, w).collect() for r in parse_warc(gzip.decompress(bytes(f.content)))]
+    ids = {f["warc-record-id"]: f for f, _ in records if f["warc-type"] == "response"}
+    for f, block in records:
+        if f["warc-type"] == "revisit":
+            target = ids[f["warc-refers-to"]]
+            assert target["warc-payload-digest"] == f["warc-payload-digest"] and target["warc-target-uri"] == f["warc-refers-to-target-uri"] and block.endswith(b"\r\n\r\n")
+        assert f["warc-date"] == "2024-01-01T00:00:00Z"
+    versions = {r.version for f in _files(spark, a).collect() for r in parse_arc(gzip.decompress(bytes(f.content)))}
+    assert versions <= {1, 2} and versions
+
+
+def test_parse_both_versions():
+    for version in (1, 2):
+        data = arc_head("f.arc", "19970101000000", version) + arc_record("http://a", "1.2.3.4", "199701", "text/html", b"HTTP/1.0 200 OK\r\n\r\nhi\nhttp://b 1 2 3 4\n", version) + b"\n" + arc_record("u", "-", "1", "m", b"", version)
+        one, two = parse_arc(data)
+        assert one.version == version and one.fields["URL"] == "http://a" and one.http[1] == b"hi\nhttp://b 1 2 3 4\n" and two.body == b""
+        assert ("Checksum" in one.fields) == (version == 2)
+    with pytest.raises(ValueError):
+        list(parse_arc(arc_head("f", "1", 1) + b"a b c d 99\nshort\n"))
+    with pytest.raises(ValueError):
+        list(parse_arc(arc_head("f", "1", 1) + arc_record("u", "-", "1", "m", b"", 2)))
+
+
+def test_record_ids_hold_page_ids():
+    for p in (0, 1, -1, 2**63 - 1, -(2**63), 123456789):
+        assert page_of(record_id(p, "s")) == p
+    assert page_of(record_id(None, "s")) is None and warc.iso("19970102") == "1997-01-02T00:00:00Z"
+
+
+def test_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    write_arc(df, str(tmp_path / "a"))
+    convert(spark, str(tmp_path / "a"), str(tmp_path / "w"))
+    assert read_warc(spark, str(tmp_path / "w")).count() == 0
