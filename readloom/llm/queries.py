@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from readloom.llm import mixing, packing, simhash, token_counts, topk, warc
+from readloom.llm import embed_dedup, mixing, packing, simhash, token_counts, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_topk_search": topk.query,
     "op4_simhash": simhash.query,
+    "op6_embedding_dedup": embed_dedup.query,
     "op7_packing": packing.query,
     "op9_warc": warc.query,
     "op10_token_counts": token_counts.query,
@@ -16,5 +17,6 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.SQL,
     "op2_topk_search": topk.SQL,
+    "op6_embedding_dedup": embed_dedup.SQL,
     "op9_warc": warc.SQL,
 }

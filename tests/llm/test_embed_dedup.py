@@ -1,0 +1,50 @@
+import numpy as np
+from brute import components_of
+
+from readloom.llm.embed_dedup import learn_rotation, near_duplicates
+
+
+def expected(rows):
+    good = [i for i, (k, v, label) in enumerate(rows) if k is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    unit = {i: np.array(rows[i][1]) / np.abs(rows[i][1]).max() for i in good}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    linked = [(a, b) for a in good for b in good if a < b and rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98]
+    root = components_of(range(len(rows)), linked)
+    least, n = {}, dict.fromkeys(range(len(rows)), 0)
+    for i in good:
+        least[root[i]] = min(least.get(root[i], rows[i][0]), rows[i][0])
+    for a, b in linked:
+        n[a] += 1
+        n[b] += 1
+    comp = [least[root[i]] if i in unit else rows[i][0] for i in range(len(rows))]
+    return [(rows[i][0], n[i], comp[i], rows[i][0] is not None and rows[i][0] == comp[i]) for i in range(len(rows))]
+
+
+def test_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for base in range(40):
+        v = rng.normal(size=64)
+        for _ in range(rng.integers(1, 8)):
+            rows.append((len(rows), (v + rng.normal(size=64) * rng.uniform(0, 0.2)).tolist(), int(base % 3)))
+    hot = rng.normal(size=64).tolist()
+    rows += [(1000 + i, hot, 1) for i in range(300)] + [(1400, hot, 2), (1401, (np.array(hot) * 3).tolist(), 1)]
+    rows += [(1500, None, 1), (1501, [], 1), (1502, [0.0] * 64, 1), (1503, [float("nan")] * 64, 1), (1504, [float("inf")] + [1.0] * 63, 1), (1505, [None] + [1.0] * 63, 1),
+             (1506, hot, None), (None, hot, 1), (1507, [1.0, 2.0], 1), (1508, [2.0, 4.0], 1), (1508, [2.0, 4.0], 1), (1509, [1e200] * 64, 1), (1510, [1e-200] * 64, 1)]
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "vec_id long, embedding array<double>, label int, code double").repartition(4)
+    got = sorted(map(tuple, near_duplicates(df).collect()), key=repr)
+    want = sorted(expected(rows), key=repr)
+    pairs = sum(r[1] for r in want)
+    assert sum(r[1] for r in got) >= 0.99 * pairs  # recall; below the threshold nothing is linked:
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert sum(g == w for g, w in zip(got, want, strict=True)) >= 0.97 * len(want)
+    assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_codes_are_balanced():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 80)) * np.linspace(3, 0.1, 80)
+    mean, projection = learn_rotation(x)
+    bits = (x - mean) @ projection >= 0
+    assert projection.shape == (80, 64) and abs(bits.mean(axis=0) - 0.5).max() < 0.1
