@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import embed_dedup, mixing, packing, simhash, token_counts, topk, warc
+from readloom.llm import embed_dedup, mixing, packing, simhash, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": simhash.query,
     "op6_embedding_dedup": embed_dedup.query,
     "op7_packing": packing.query,
+    "op8_toxicity": toxicity.query,
     "op9_warc": warc.query,
     "op10_token_counts": token_counts.query,
 }
