@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from readloom.llm import embed_dedup, mixing, packing, simhash, token_counts, topk, toxicity, warc
+from readloom.llm import embed_dedup, langid, mixing, packing, simhash, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_topk_search": topk.query,
     "op4_simhash": simhash.query,
+    "op5_language_id": langid.query,
     "op6_embedding_dedup": embed_dedup.query,
     "op7_packing": packing.query,
     "op8_toxicity": toxicity.query,

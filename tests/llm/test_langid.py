@@ -1,0 +1,58 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from readloom.llm import langid
+from readloom.llm.langid import Labeller, Model, WORD, languages, learn
+
+STEMS = {"en": ["the", "tion", "ing", "house", "wh"], "de": ["der", "schaft", "ung", "ei", "üb"], "fr": ["eau", "oir", "le", "é", "que"]}
+
+
+def text(rng, lang, n):
+    return " ".join("".join(rng.choices(STEMS[lang], k=rng.randint(1, 3))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def model():
+    rng = random.Random(0)
+    langs = [rng.choice([*STEMS]) for _ in range(300)]
+    return learn([text(rng, x, rng.randint(3, 80)) for x in langs], langs, steps=30, sequences=400)
+
+
+def test_chunked_forward_backward_is_exact(model):
+    rng, labeller = random.Random(1), Labeller(model)
+    words = [WORD.findall(text(rng, rng.choice([*STEMS]), n) + " " + text(rng, "fr", n // 2)) for n in (1, 2, 20, 31, 32, 33, 64, 500)]
+    for w, row in zip(words, labeller.marginals(words), strict=True):
+        e = labeller.factors[[labeller.index[x] for x in w]][None]
+        assert np.allclose(langid._forward_backward(e, np.exp(model.transitions))[0][0].mean(axis=0), row, atol=1e-9)
+
+
+def test_code_switched_words_follow_the_switch(model):
+    rng, labeller = random.Random(2), Labeller(model)
+    found = labeller.label([text(rng, "de", 30), text(rng, "de", 5) + " " + text(rng, "fr", 30), None, "", "12 34 !!", "é" * 200_000, "der " * 100_000])
+    assert found[0][0] == "de" and found[1][0] == "fr" and 0.7 < found[1][1] < 0.98
+    assert found[2:5] == [("und", 0.0)] * 3 and found[6][0] == "de"
+    assert model.transitions.diagonal().min() > (model.transitions - 9 * np.eye(3)).max()
+
+
+def test_languages(spark):
+    rng = random.Random(3)
+    rows = [(i, text(rng, x := rng.choice([*STEMS]), rng.randint(3, 60)), x if i % 7 else None, "s") for i in range(500)]
+    rows += [(600, None, "de", "s"), (601, "...", "de", "s"), (None, "der schaft ung", "de", "s"), (1, rows[1][1], rows[1][2], "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string").repartition(4)
+    out = languages(df).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+    truth = {r[0]: r[2] for r in rows}
+    held = [r for r in out if r.held_out and truth.get(r.doc_id) and r.doc_id < 600]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+    by = {r.doc_id: r for r in out}
+    assert by[600].lang_pred == by[601].lang_pred == "und" and by[None].held_out and by[None].lang_pred == "de"
+    assert languages(df.limit(0)).count() == 0
+    assert {r.lang_pred for r in languages(spark.createDataFrame([(1, "der", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
+
+
+def test_model_without_rows():
+    assert Labeller(learn([], [])).label(["x"]) == [("und", 0.0)] and isinstance(learn([], []), Model)
