@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from readloom.llm import embed_dedup, langid, mixing, packing, simhash, token_counts, topk, toxicity, warc
+from readloom.llm import embed_dedup, langid, mixing, packing, simhash, token_counts, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_topk_search": topk.query,
+    "op3_token_files": token_files.query,
     "op4_simhash": simhash.query,
     "op5_language_id": langid.query,
     "op6_embedding_dedup": embed_dedup.query,
