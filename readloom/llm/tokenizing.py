@@ -17,7 +17,8 @@ class ByteBpe:
 
     The byte-level pre-tokenizer always starts a new pre-token at a space that a non-space follows, and no merge crosses
     pre-tokens. So a text is cut there, words seen before come from a dictionary, and all new words of a text are
-    encoded in one call, kept apart by a special token (which the library cuts out before pre-tokenizing).
+    encoded in one call. Only a word's first id stands for a string that begins with the space, which tells the
+    words' ids apart. Texts with runs of white space or with special tokens go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -25,31 +26,33 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        special = sorted(((t.content, i) for i, t in self.library.get_added_tokens_decoder().items()), key=lambda x: x[1])
-        self.specials = [s for s, _ in special]
-        self.between, self.between_id = special[0] if special else (None, None)
-        self.type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        model = self.library.model
+        model._resize_cache(0)  # every word comes once
+        self.library.model = model
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        n = self.library.get_vocab_size()
+        self.starts = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(n)])
+        self.type = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
         self.kept: dict[str, bytes] = {}
-        self.blank = re.compile(r" (?=\s|$)")
-        self.cut = re.compile(r" (?=\S)")
+        self.blank = re.compile(r" (?:\s|$)")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.type).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of words that follow a space."""
-        text = self.between + self.between.join([" " + w for w in words])
-        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.type)
-        at = np.append(np.nonzero(ids == self.between_id)[0], len(ids)).tolist()
+        """Ids of words that follow a space and hold none."""
+        text = "".join([" " + w for w in words])
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.type)
+        at = np.append(np.nonzero(self.starts[ids])[0], len(ids)).tolist()
         data, size = ids.tobytes(), self.type.itemsize
-        self.kept.update((w, data[(a + 1) * size : b * size]) for w, a, b in zip(words, at[:-1], at[1:], strict=True))
+        self.kept.update((w, data[a * size : b * size]) for w, a, b in zip(words, at[:-1], at[1:], strict=True))
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.between is None or any(s in text for s in self.specials):
+        if self.blank.search(text) or any(s in text for s in self.specials):
             return self._whole(text)
-        words = self.cut.split(text) if self.blank.search(text) else text.split(" ")
+        words = text.split(" ")
         if len(self.kept) > KEPT:
             self.kept.clear()
         if new := {*words[1:]}.difference(self.kept):
