@@ -117,3 +117,128 @@ def near_duplicates(docs: DataFrame, k: int = 3, t: int = 3) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, t=3)
+
+
+# --- documents of a similarity or more, for cleaning a corpus -----------------------------------------------------
+
+#: Bits of the long fingerprint, of a segment, and how many consecutive segments make a key.
+LONG, SEGMENT, CHAIN = 256, 8, 2
+#: Up to SURE differing bits documents are taken as similar, beyond MOST as different; between, shingles are compared.
+SURE, MOST = 28, 56
+PARTS = [f"__rl_f{i}" for i in range(LONG // 64)]
+
+
+def long_fingerprint(text: str, k: int) -> np.ndarray:
+    """The 256-bit SimHash of a text as four unsigned numbers: each hash is spread to 256 bits by a mixer."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(s, 42) for s in shingles(text, k)], dtype="<u8")
+    ones = np.zeros(LONG, dtype=np.int64)
+    for at in range(0, len(hashes), STEP):
+        some = hashes[at : at + STEP, None] + np.arange(LONG // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            some = (some ^ some >> np.uint64(shift)) * np.uint64(factor)
+        some = np.ascontiguousarray(some ^ some >> np.uint64(31))
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, LONG // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def _distance(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in PARTS), F.lit(0))
+
+
+def _keys(nodes: DataFrame) -> DataFrame:
+    """nodes with a row for each place of the ring: __rl_key is the place and the CHAIN segments from there."""
+    m = LONG // SEGMENT
+    segment = lambda i: F.shiftrightunsigned(F.col(PARTS[i * SEGMENT // 64]), i * SEGMENT % 64).bitwiseAND(F.lit((1 << SEGMENT) - 1).cast("long"))
+    keys = []
+    for i in range(m):
+        key = F.lit(i).cast("long")
+        for j in range(CHAIN):
+            key = F.shiftleft(key, SEGMENT).bitwiseXOR(segment((i + j) % m))
+        keys.append(key)
+    return nodes.withColumn("__rl_key", F.explode(F.array(*keys)))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b, d) that are similar enough; texts: __rl_node and text."""
+    sure = pairs.where(F.col("d") <= SURE).select("a", "b")
+    open_ = cut(pairs.where(F.col("d") > SURE).select("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t or "", k)], dtype=np.uint64)).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__rl_node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    involved = open_.select(F.col("a").alias("__rl_node")).unionByName(open_.select(F.col("b").alias("__rl_node"))).distinct()
+    sets = cut(texts.join(involved, "__rl_node").mapInArrow(run, "node long, shingles array<long>"))
+    both = open_.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return sure.unionByName(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the smallest doc_id.
+
+    Groups are joined by links between documents whose sets of k-word shingles have a Jaccard similarity of
+    `similarity` or more. Candidates have CHAIN consecutive equal segments somewhere on the ring of a 256-bit
+    fingerprint and at most MOST differing bits. Documents with equal fingerprints are one from the start. First every
+    bucket's members are held against the bucket's smallest only, which joins dense groups without pairs; then all
+    members of a bucket that are still in different groups are held against each other, so no link is given up.
+    Two documents with similarity 0.8 miss each other with a chance near 0.1, with 0.9 below 0.01; members of
+    larger groups have many ways to meet.
+
+    Rows without doc_id stay only if their group has no doc_id; of repeated rows one stays.
+    """
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            prints = np.array([long_fingerprint(t or "", k) for t in texts], dtype=np.uint64).reshape(-1, len(PARTS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(prints[:, i]) for i in range(len(PARTS)))], ["doc_id", *PARTS])
+
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = cut(held.mapInArrow(run, "doc_id long, " + ", ".join(f"{p} long" for p in PARTS)))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
+    nodes = cut(prints.groupBy(*PARTS).agg(F.min(order).alias("least")).withColumn("node", F.xxhash64(*PARTS)))
+    # of the texts, only the first of each node is needed, and only where a candidate must be looked at
+    firsts = nodes.select(F.col("node").alias("__rl_node"), F.col("least.doc_id").alias("__rl_id"))
+    texts = held.join(firsts, held["doc_id"].eqNullSafe(firsts["__rl_id"])).select("__rl_node", "text").dropDuplicates(["__rl_node"])
+    keyed = _keys(nodes.select("node", *PARTS))
+    least = keyed.groupBy("__rl_key").agg(F.min(F.struct("node", *PARTS)).alias("m"), F.count("*").alias("n")).where("n > 1")
+    star = keyed.join(least.select("__rl_key", F.col("m.node").alias("b"), *(F.col(f"m.{p}").alias(f"m{p}") for p in PARTS)), "__rl_key").where("node <> b")
+    first = cut(star.withColumn("d", _distance("", "m")).where(F.col("d") <= MOST).select(F.col("node").alias("a"), "b", "d").distinct())
+    links_1 = cut(_alike(first, texts, k, similarity))
+    root = components(links_1)
+    grouped = cut(nodes.join(root, "node", "left").select("node", *PARTS, F.coalesce("root", "node").alias("root")))
+    one, two = _keys(grouped), _keys(grouped)
+    two = two.select("__rl_key", F.col("node").alias("b"), F.col("root").alias("root_b"), *(F.col(p).alias(f"m{p}") for p in PARTS))
+    second = one.join(two, "__rl_key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & (_distance("", "m") <= MOST))
+    second = cut(second.select(F.col("node").alias("a"), "b", _distance("", "m").alias("d")).distinct())
+    final = components(links_1.unionByName(_alike(second, texts, k, similarity)))
+    winners = nodes.join(final, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("least", "node")).alias("w"))
+    winners = winners.select(F.col("w.node").alias("__rl_node"), F.col("w.least.doc_id").alias("__rl_id"))
+    # several rows with a winner's doc_id: that with the winner's fingerprint
+    winners = cut(winners.join(nodes.select(F.col("node").alias("__rl_node"), *PARTS), "__rl_node"))
+    ids = prints.join(winners, [prints["doc_id"].eqNullSafe(winners["__rl_id"])] + [prints[p] == winners[p] for p in PARTS]).select("__rl_id", "__rl_node").distinct()
+    chosen = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__rl_id"]))
+    repeated = prints.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if repeated:  # only then the row itself must tell which of its doc_id's rows it is
+        chosen = _matching(chosen, names, k)
+    return chosen.select(*names)
+
+
+def _matching(chosen: DataFrame, names: list[str], k: int) -> DataFrame:
+    """Of rows joined with a winner by doc_id, one whose text has the winner's fingerprint."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<long>")
+    def print_of(texts):
+        return texts.map(lambda t: long_fingerprint(t or "", k).view(np.int64).tolist())
+
+    marked = chosen.withColumn("__rl_p", print_of(F.col("text").cast("string"))).where(F.xxhash64(*[F.col("__rl_p")[i] for i in range(len(PARTS))]) == F.col("__rl_node"))
+    return marked.dropDuplicates(["__rl_id", "__rl_node"])
