@@ -1,4 +1,321 @@
 """Queries of the read engine and their SQL, by name."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from readloom.functions.sequence import reverse_complement
+from readloom.operators import amos, dedup, extend, overlap, search, trie
+from readloom.plans.fixtures import DOCS_SQL, SYNTH_SQL, reads_docs, reads_synth
+from readloom.sources import fastq, text
+from readloom.sources.tables import cut, scratch
+
+STEPS = 256
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def _query(name: str, sql: str | None = None, reads: str = SYNTH_SQL):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = f"WITH {reads},\n{sql}" if not sql.startswith("SELECT") else f"WITH {reads}\n{sql}"
+        return f
+
+    return keep
+
+
+def _unique(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.unique_reads(reads_synth(spark, d))
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set of the searches: every read whose id is divisible by 100."""
+    return reads_synth(spark, d).where("read_id % 100 = 0").select(F.col("read_id").alias("target_id"), F.col("seq").alias("target"))
+
+
+U = "u AS MATERIALIZED (SELECT min(read_id) AS read_id, seq, count(*) AS mult FROM reads GROUP BY seq)"
+#: Proper prefixes with the numbers that inserting reads one after the other would give.
+P = f"{U},\nx AS MATERIALIZED (SELECT prefix, length(prefix) AS depth, min(read_id) AS first_read FROM (SELECT read_id, substr(seq, 1, unnest(range(1, 37))) AS prefix FROM u) GROUP BY prefix),\nnd AS MATERIALIZED (SELECT 1 + row_number() OVER (ORDER BY first_read, depth) AS node_id, depth, prefix, first_read FROM x)"
+V = f"""{U},
+nv AS MATERIALIZED (SELECT substr(seq, 1, CAST(m AS BIGINT)) AS prefix, {", ".join(f"CAST(sum(CASE WHEN substr(seq, CAST(m AS BIGINT) + 1, 1) = '{x}' THEN 1 ELSE 0 END) AS BIGINT) AS n{x}" for x in "ACGTN")}
+  FROM (SELECT seq, unnest(range(0, 37)) AS m FROM u) GROUP BY 1)"""
+O = """sx AS MATERIALIZED (SELECT read_id, k, substr(seq, CAST(k AS BIGINT) + 1) AS suffix FROM (SELECT read_id, seq, unnest(range(1, 37)) AS k FROM u))"""  # noqa: E741
+PAIRS = """op AS MATERIALIZED (SELECT a_id, b_id, k FROM (
+  SELECT s.read_id AS a_id, b.read_id AS b_id, s.k, row_number() OVER (PARTITION BY s.read_id, s.k ORDER BY translate(b.seq, 'N', 'Z')) AS r
+  FROM sx s JOIN u b ON substr(b.seq, 1, 14) = substr(s.suffix, 1, 14) AND starts_with(b.seq, s.suffix) WHERE length(s.suffix) >= 14) WHERE r <= 8)"""
+COST = """list_sum(list_transform(range(1, least(length({t}), length({r})) + 1), lambda i: CASE WHEN substr({t}, CAST(i AS BIGINT), 1) <> substr({r}, CAST(i AS BIGINT), 1)
+  AND substr({t}, CAST(i AS BIGINT), 1) <> 'N' AND substr({r}, CAST(i AS BIGINT), 1) <> 'N' THEN 1 ELSE 0 END))"""
+
+
+@_query("reads_synth", "SELECT read_id, seq FROM reads")
+def q_reads_synth(spark, d):
+    return reads_synth(spark, d)
+
+
+@_query("reads_docs", "SELECT read_id, seq FROM reads", DOCS_SQL)
+def q_reads_docs(spark, d):
+    return reads_docs(spark, d)
+
+
+@_query("unique_reads", f"{U} SELECT read_id, seq, mult FROM u")
+def q_unique(spark, d):
+    return _unique(spark, d)
+
+
+@_query("unique_reads_docs", f"{U} SELECT read_id, seq, mult FROM u", DOCS_SQL)
+def q_unique_docs(spark, d):
+    return dedup.unique_reads(reads_docs(spark, d))
+
+
+DUPS = "SELECT first_id, read_id AS dup_id FROM (SELECT read_id, min(read_id) OVER (PARTITION BY seq) AS first_id FROM reads) WHERE read_id <> first_id"
+
+
+@_query("duplicates", DUPS)
+def q_duplicates(spark, d):
+    return dedup.duplicates(reads_synth(spark, d))
+
+
+@_query("duplicates_docs", DUPS, DOCS_SQL)
+def q_duplicates_docs(spark, d):
+    return dedup.duplicates(reads_docs(spark, d))
+
+
+@_query("duplicate_lines", f"SELECT concat(first_id, ':0 ', dup_id) AS line FROM ({DUPS})")
+def q_duplicate_lines(spark, d):
+    return text.duplicate_lines(dedup.duplicates(reads_synth(spark, d)))
+
+
+@_query("sorted_lines", f"{U} SELECT concat(seq, ' ', lpad(CAST(read_id AS VARCHAR), 12, ' ')) AS line FROM u")
+def q_sorted_lines(spark, d):
+    return text.sorted_lines(_unique(spark, d))
+
+
+@_query("sorted_scan", f"{U} SELECT read_id, seq FROM u")
+def q_sorted_scan(spark, d):
+    """The sorted reads written as text, read back and parsed."""
+    path = scratch(spark, "sorted")
+    text.write_lines(text.sorted_lines(_unique(spark, d)), path)
+    return text.parse_sorted(text.read_lines(spark, path))
+
+
+@_query("sorted_order", f"{U} SELECT read_id, row_number() OVER (ORDER BY translate(seq, 'N', 'Z')) - 1 AS place FROM u")
+def q_sorted_order(spark, d):
+    from readloom.functions.sequence import alphabet_key
+    from readloom.sources.tables import numbered
+
+    return numbered(_unique(spark, d).select("read_id", alphabet_key(F.col("seq")).alias("key")), F.col("key"), name="place").select("read_id", "place")
+
+
+@_query("base_freq", "SELECT base, count(*) AS n FROM (SELECT unnest(string_split(seq, '')) AS base FROM reads) GROUP BY base")
+def q_base_freq(spark, d):
+    return dedup.base_frequency(reads_synth(spark, d))
+
+
+@_query("length_hist", "SELECT length(seq) AS len, count(*) AS n FROM reads GROUP BY 1")
+def q_length_hist(spark, d):
+    return dedup.length_histogram(reads_synth(spark, d))
+
+
+@_query("read_totals", "SELECT count(*) AS reads, count(DISTINCT seq) AS uniq, count(*) - count(DISTINCT seq) AS dups, CAST(floor((count(*) - count(DISTINCT seq)) * 100.0 / count(*) + 0.5) AS BIGINT) AS dup_pct FROM reads")
+def q_totals(spark, d):
+    return dedup.totals(reads_synth(spark, d))
+
+
+@_query("trie_nodes", f"{P} SELECT node_id, depth, prefix, first_read FROM nd")
+def q_nodes(spark, d):
+    return trie.nodes(cut(_unique(spark, d)))
+
+
+@_query("trie_cells", f"""{P}, a AS (SELECT 1 AS node_id, '' AS prefix UNION ALL SELECT node_id, prefix FROM nd),
+e AS (SELECT left(prefix, length(prefix) - 1) AS prefix, right(prefix, 1) AS letter, false AS terminal, node_id AS ref FROM nd
+  UNION ALL SELECT left(seq, length(seq) - 1), right(seq, 1), true, read_id FROM u)
+SELECT a.node_id, e.letter, e.terminal, e.ref FROM e JOIN a USING (prefix)""")
+def q_cells(spark, d):
+    return trie.cells(cut(_unique(spark, d)))
+
+
+@_query("trie_size", f"{P} SELECT count(*) + 1 AS last_cell FROM nd")
+def q_size(spark, d):
+    return trie.size(_unique(spark, d))
+
+
+@_query("trie_dump", f"{P} SELECT node_id, depth, prefix, first_read FROM nd")
+def q_dump(spark, d):
+    """The index written to the shared folder and loaded again."""
+    path = scratch(spark, "nodes")
+    trie.nodes(cut(_unique(spark, d))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@_query("overlap_nodes", f"{P},\n{O} SELECT s.read_id, s.k, nd.node_id FROM sx s JOIN nd ON nd.prefix = s.suffix")
+def q_overlap_nodes(spark, d):
+    u = cut(_unique(spark, d))
+    return overlap.overlap_nodes(u, trie.nodes(u))
+
+
+@_query("overlap_node_lines", f"{P},\n{O} SELECT concat(s.read_id, ':', s.k, ' @', nd.node_id) AS line FROM sx s JOIN nd ON nd.prefix = s.suffix")
+def q_overlap_node_lines(spark, d):
+    return text.overlap_node_lines(q_overlap_nodes(spark, d))
+
+
+@_query("overlap_pairs_top8", f"{U},\n{O},\n{PAIRS} SELECT a_id, b_id, k FROM op")
+def q_pairs(spark, d):
+    return overlap.overlap_pairs(_unique(spark, d))
+
+
+@_query("overlap_pairs_all", f"""{U},\n{O} SELECT s.read_id AS a_id, b.read_id AS b_id, s.k FROM sx s JOIN u b ON substr(b.seq, 1, 14) = substr(s.suffix, 1, 14)
+  AND starts_with(b.seq, s.suffix) WHERE length(s.suffix) >= 14""")
+def q_pairs_all(spark, d):
+    return overlap.overlap_pairs(_unique(spark, d), max_overlaps=None)
+
+
+@_query("overlap_pairs_docs", f"{U},\n{O},\n{PAIRS} SELECT a_id, b_id, k FROM op", DOCS_SQL)
+def q_pairs_docs(spark, d):
+    return overlap.overlap_pairs(dedup.unique_reads(reads_docs(spark, d)))
+
+
+@_query("overlap_hist", f"{P},\n{O} SELECT s.k, count(*) AS n FROM sx s JOIN nd ON nd.prefix = s.suffix GROUP BY s.k")
+def q_overlap_hist(spark, d):
+    u = _unique(spark, d)
+    known = trie.prefixes(u).select(F.col("prefix").alias("suffix"))
+    return overlap.overlap_histogram(overlap.suffixes(u, 1).join(known, "suffix"))
+
+
+@_query("exact_lookup", f"{U} SELECT t.read_id AS target_id, u.read_id, false AS too_long FROM reads t JOIN u ON u.seq = t.seq WHERE t.read_id % 100 = 0")
+def q_exact(spark, d):
+    return search.exact(cut(_unique(spark, d)), _targets(spark, d))
+
+
+@_query("prefix_lookup", f"{U} SELECT t.read_id AS target_id, u.read_id FROM reads t JOIN u ON starts_with(u.seq, substr(t.seq, 1, 12)) WHERE t.read_id % 100 = 0")
+def q_prefix(spark, d):
+    return search.by_prefix(cut(_unique(spark, d)), _targets(spark, d).withColumn("target", F.expr("substring(target, 1, 12)")))
+
+
+NEAR = "NNNNNNNNNACGTACGTNNNNNNNNNNNNNNNNNNNN"
+
+
+@_query("near_single", f"{U}, k AS (SELECT read_id, seq, CAST({COST.format(t=f"'{NEAR}'", r='seq')} AS BIGINT) AS cost FROM u) SELECT read_id, seq, cost FROM k WHERE cost <= 3")
+def q_near(spark, d):
+    return search.near(_unique(spark, d), NEAR)
+
+
+@_query("near_batch", f"{U}, k AS (SELECT t.read_id AS target_id, u.read_id, CAST({COST.format(t='t.seq', r='u.seq')} AS BIGINT) AS cost FROM reads t, u WHERE t.read_id % 100 = 0) SELECT target_id, read_id, cost FROM k WHERE cost <= 3")
+def q_near_batch(spark, d):
+    return search.near_batch(cut(_unique(spark, d)), _targets(spark, d))
+
+
+@_query("revcomp", "SELECT read_id, CASE WHEN regexp_full_match(seq, '[ACGTacgt]*') THEN reverse(translate(upper(seq), 'ACGT', 'TGCA')) END AS rc FROM reads")
+def q_revcomp(spark, d):
+    return reads_synth(spark, d).select("read_id", reverse_complement(F.col("seq"), strict=False).alias("rc"))
+
+
+@_query("node_votes", f"{V} SELECT prefix, nA, nC, nG, nT, nN FROM nv")
+def q_node_votes(spark, d):
+    return extend.node_votes(_unique(spark, d))
+
+
+def _sql_rule() -> str:
+    cases = []
+    for b in "CGAT":
+        others = [f"v{o}" for o in "CGAT" if o != b]
+        cases.append(f"WHEN greatest({', '.join(others)}) + v{b} // 8 < v{b} AND {' + '.join(others)} <= v{b} - v{b} // 8 THEN '{b}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+@_query("first_step_vote", f"""{V},
+h AS (SELECT s.read_id AS seed_id, s.m, nv.* FROM (SELECT read_id, seq, unnest(range(0, 37)) AS m FROM u) s JOIN nv ON nv.prefix = right(s.seq, CAST(s.m AS BIGINT))),
+f AS (SELECT seed_id, max(m) AS m FROM h WHERE m < 16 GROUP BY seed_id),
+q AS (SELECT h.seed_id, {", ".join(f"CAST(sum(n{x}) AS BIGINT) AS v{x}" for x in "ACGTN")} FROM h LEFT JOIN f ON f.seed_id = h.seed_id WHERE h.m >= 16 OR h.m = f.m GROUP BY h.seed_id)
+SELECT seed_id, vA AS nA, vC AS nC, vG AS nG, vT AS nT, vN AS nN, {_sql_rule()} AS chosen FROM q""")
+def q_first_step(spark, d):
+    u = cut(_unique(spark, d))
+    return extend.step_votes(u, u.select(F.col("read_id").alias("seed_id"), F.col("seq").alias("window")))
+
+
+def _contigs(spark, d, u):
+    seeds = _targets(spark, d).select(F.col("target_id").alias("seed_id"), F.col("target").alias("seq"))
+    return extend.extend(u, seeds, STEPS)
+
+
+@_query("extend_contigs")
+def q_extend(spark, d):
+    return _contigs(spark, d, cut(_unique(spark, d)))
+
+
+@_query("extend_both")
+def q_extend_both(spark, d):
+    seeds = _targets(spark, d).select(F.col("target_id").alias("seed_id"), F.col("target").alias("seq"))
+    return extend.extend_both(cut(_unique(spark, d)), seeds, STEPS)
+
+
+def _tiled(spark, d):
+    u = cut(_unique(spark, d))
+    contigs = cut(_contigs(spark, d, u))
+    return u, contigs, cut(extend.tiles(u, contigs.select(F.col("seed_id").alias("contig_id"), "seq")))
+
+
+@_query("tiles")
+def q_tiles(spark, d):
+    return _tiled(spark, d)[2]
+
+
+@_query("tiles_best")
+def q_tiles_best(spark, d):
+    return extend.best_tiles(_tiled(spark, d)[2])
+
+
+@_query("unused_reads")
+def q_unused(spark, d):
+    u, _, t = _tiled(spark, d)
+    return extend.unused_reads(u, t)
+
+
+@_query("contig_alignment")
+def q_align(spark, d):
+    u = cut(_unique(spark, d))
+    return extend.align(u, cut(_contigs(spark, d, u)).select(F.col("seed_id").alias("contig_id"), "seq"))
+
+
+@_query("afg_red", "SELECT read_id, concat('{RED iid:', read_id, ' eid:', read_id, ' seq: ', seq, ' . qlt: ', repeat('I', length(seq)), ' . }') AS record FROM reads")
+def q_red(spark, d):
+    return amos.red(reads_synth(spark, d).withColumn("qual", F.repeat(F.lit("I"), F.length("seq"))))
+
+
+@_query("afg_ovl", f"{U},\n{O},\n{PAIRS} SELECT concat('{{OVL', chr(10), 'adj:N', chr(10), 'rds:', a_id + 1, ',', b_id + 1, chr(10), 'scr:0', chr(10), 'ahg:', k, chr(10), 'bhg:', k, chr(10), '}}') AS record FROM op")
+def q_ovl(spark, d):
+    return amos.ovl(overlap.overlap_pairs(_unique(spark, d)))
+
+
+@_query("afg_ctg")
+def q_ctg(spark, d):
+    c = _contigs(spark, d, cut(_unique(spark, d)))
+    return amos.ctg(c.select(F.col("seed_id").alias("contig_id"), F.expr("left(seq, length(seq) - ext_len)").alias("seed"), F.expr("right(seq, ext_len)").alias("letters")))
+
+
+@_query("afg_tle")
+def q_tle(spark, d):
+    return amos.tle(extend.best_tiles(_tiled(spark, d)[2]))
+
+
+@_query("fastq_scan", """q AS (SELECT read_id, concat('@', read_id) AS header, seq, repeat('I', length(seq)) AS qual FROM reads)
+SELECT read_id, header, seq, qual, CAST(coalesce(sum(length(header) + 2 * length(seq) + 5) OVER (ORDER BY read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM q""")
+def q_fastq(spark, d):
+    """The reads written as FASTQ and scanned."""
+    path = scratch(spark, "fastq")
+    fastq.write_fastq(reads_synth(spark, d), path)
+    return fastq.read_fastq(spark, path)
+
+
+@_query("read_offsets", """q AS (SELECT read_id, length(concat('@', read_id)) + 2 * length(seq) + 5 AS n FROM reads)
+SELECT read_id AS entry, CAST(coalesce(sum(n) OVER (ORDER BY read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM q
+UNION ALL SELECT max(read_id) + 1, CAST(sum(n) AS BIGINT) FROM q""")
+def q_offsets(spark, d):
+    return fastq.offset_index(cut(q_fastq(spark, d)))
+
+
+@_query("fetch_records", "SELECT read_id, concat(seq, ';', repeat('I', length(seq))) AS record FROM reads WHERE read_id % 100 = 0")
+def q_fetch(spark, d):
+    return fastq.fetch(q_fastq(spark, d), _targets(spark, d).select(F.col("target_id").alias("read_id")))
