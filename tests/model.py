@@ -1,0 +1,96 @@
+"""A slow, plain model of the prefix index, overlaps, near matches and the contig walk."""
+
+from __future__ import annotations
+
+ORDER = "ACGTN"
+
+
+def norm(s):
+    return "".join(c if c in "ACGT" else "N" for c in s)
+
+
+def unique(reads):
+    first = {}
+    for i, s in sorted(reads):
+        first.setdefault(norm(s), i)
+    return first
+
+
+def node_numbers(first):
+    """Cell numbers by inserting reads in order, letter by letter."""
+    cells, last = {"": 1}, 1
+    for s, _ in sorted(first.items(), key=lambda x: x[1]):
+        for m in range(1, len(s)):
+            if s[:m] not in cells:
+                last += 1
+                cells[s[:m]] = last
+    return cells
+
+
+def below(first, prefix):
+    return sorted((s for s in first if s.startswith(prefix)), key=lambda s: [ORDER.index(c) for c in s])
+
+
+def pairs(first, least, most):
+    out = []
+    for s, i in first.items():
+        for k in range(1, len(s) - least + 1):
+            out += [(i, first[r], k) for r in below(first, s[k:])[:most]]
+    return out
+
+
+def near(first, target, budget):
+    def walk(prefix, spent):
+        if len(prefix) == min(len(target), length):
+            yield from ((first[s], spent) for s in first if s.startswith(prefix))
+            return
+        t = target[len(prefix)]
+        for c in ORDER:
+            cost = 0 if t not in "ACGT" or c == t or c == "N" else 1
+            if spent + cost <= budget and any(s.startswith(prefix + c) for s in first):
+                yield from walk(prefix + c, spent + cost)
+
+    length = len(next(iter(first)))
+    return sorted(walk("", 0))
+
+
+def chosen(votes):
+    best = max(votes[c] for c in "CGAT")
+    for b in "CGAT":
+        if votes[b] != best:
+            continue
+        slop, others = best // 8, [votes[o] for o in "CGAT" if o != b]
+        if all(o + slop < best for o in others) and sum(others) <= best - slop:
+            return b
+    return "N"
+
+
+def vote(first, window, prefixes, tiles=None, added=0):
+    votes = dict.fromkeys(ORDER, 0)
+    length = len(window)
+    if tiles is not None and window in first:
+        tiles.append((first[window], added, length))
+    for shift in range(1, length + 1):
+        tail = window[shift:]
+        if tail not in prefixes:
+            continue
+        for s, i in first.items():
+            if s.startswith(tail):
+                votes[s[len(tail)]] += 1
+                if tiles is not None:
+                    tiles.append((i, added + shift, len(tail)))
+        if len(tail) < 16:
+            break
+    return votes
+
+
+def walk(first, seed, max_steps):
+    prefixes = {s[:m] for s in first for m in range(len(s))}
+    window, letters, tiles = seed, "", []
+    while len(letters) < max_steps:
+        b = chosen(vote(first, window, prefixes, tiles, len(letters)))
+        if b == "N":
+            return letters, "vote", tiles
+        letters, window = letters + b, window[1:] + b
+    vote(first, window, prefixes, tiles, len(letters))
+    return letters, "max_steps", tiles
