@@ -22,64 +22,77 @@ import numpy as np
 
 MAGIC = b"RLTC"
 ALONE, SPREAD = 512, 7  # ids below ALONE are classes of their own; above, 2 ** SPREAD ids share a class
-SLOTS = 12  # bits of the keys of the order-1 and order-2 tables
+SLOTS = 11  # bits of the keys of the order-1 and order-2 tables
 WORD, WINDOW = 28, 56
 LOW = (1 << WORD) - 1
+GROUP = 32  # classes that are searched together
 STEADY = 512  # order-0 frequencies are renewed at 16, 32, 64 ... and from here on every so many ids
 
 
 class Model:
-    """The state of `lanes` blocks."""
+    """The state of `lanes` blocks. Tables hold two numbers in one entry, so that each costs one look-up."""
 
     def __init__(self, lanes: int, vocabulary: int):
         self.lanes, lane = lanes, np.arange(lanes, dtype=np.int64)
         self.classes = ALONE + max(1, (vocabulary - ALONE + (1 << SPREAD) - 1) >> SPREAD)
-        size = 1 << SLOTS
-        self.at2, self.at1, self.at_g, self.at0 = lane * size, lane * size, lane * 32, lane * (self.classes + 1)
-        self.id2, self.id1 = np.full(lanes * size, -1, dtype=np.int32), np.full(lanes * size, -1, dtype=np.int32)
-        self.q2, self.q1 = np.zeros(lanes * size, dtype=np.int32), np.zeros(lanes * size, dtype=np.int32)
-        self.g2, self.g1 = np.full(lanes * 32, 8192, dtype=np.int32), np.full(lanes * 32, 8192, dtype=np.int32)
+        self.groups = -(-self.classes // GROUP)
+        self.at_t, self.at_g, self.at_c = lane << SLOTS, lane * 32, lane * (self.groups * GROUP)
+        self.at_group = lane * self.groups
+        self.t2, self.t1 = (np.full(lanes << SLOTS, -1 << 16, dtype=np.int64) for _ in range(2))  # id << 16 | chance
+        self.g = np.full(lanes * 32, 8192 << 16 | 8192, dtype=np.int64)  # chance of order 2 << 16 | of order 1
         self.counts = np.ones((lanes, self.classes), dtype=np.int32)
         self.counts[:, :ALONE] = 2
-        self.flat = self.counts.reshape(-1)
-        self.at_c = lane * self.classes
-        self.cum = np.empty((lanes, self.classes + 1), dtype=np.int32)
+        self.cum = np.full((lanes, self.groups * GROUP + 1), 65536, dtype=np.int64)
         self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+        self.added = np.zeros((lanes, self.classes), dtype=np.int32)
+        self.added_flat, self.at_added = self.added.reshape(-1), lane * self.classes
         self.t = 0
         self._renew()
 
     def _renew(self) -> None:
+        self.counts += self.added
+        self.added[:] = 0
         sums = self.counts.cumsum(axis=1, dtype=np.int64)
         self.cum[:, 0] = 0
-        self.cum[:, 1:] = sums * (65536 - self.classes) // sums[:, -1:]
-        self.cum += np.arange(self.classes + 1, dtype=np.int32)
-        self.cum_flat = self.cum.reshape(-1)
+        self.cum[:, 1 : self.classes + 1] = sums * (65536 - self.classes) // sums[:, -1:] + np.arange(1, self.classes + 1)
+        start = np.ascontiguousarray(self.cum[:, :-1])
+        self.slots = (start << 20 | np.diff(self.cum, axis=1)).reshape(-1)  # start << 20 | width of a class
+        self.rows = start.astype(np.int32).reshape(-1, GROUP)
+        self.firsts = np.ascontiguousarray(self.rows[:, 0].reshape(self.lanes, self.groups))
+
+    def find(self, slot: np.ndarray) -> np.ndarray:
+        """The class that holds each lane's slot: first its group of classes, then its place there."""
+        slot = slot.astype(np.int32)[:, None]
+        group = np.count_nonzero(self.firsts <= slot, axis=1) - 1
+        inside = np.count_nonzero(self.rows.take(self.at_group + group, axis=0) <= slot, axis=1) - 1
+        return np.minimum(group * GROUP + inside, self.classes - 1)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Predicted ids of order 2 and 1, and their masses of 65536."""
-        self.i2 = i2 = self.at2 + ((self.last * 40503 + self.before * 30011) >> 3 & (1 << SLOTS) - 1)
-        self.i1 = i1 = self.at1 + (self.last * 40503 >> 4 & (1 << SLOTS) - 1)
-        c2, c1, q2, q1 = self.id2[i2], self.id1[i1], self.q2[i2], self.q1[i1]
-        self.same = same = c2 == c1
-        self.j = j = self.at_g + (q2 >> 14 << 3 | q1 >> 14 << 1 | same)
-        g2, g1 = self.g2[j], self.g1[j]
+        mixed = self.last * 40503
+        self.i2 = self.at_t + (mixed + self.before * 30011 >> 3 & (1 << SLOTS) - 1)
+        self.i1 = self.at_t + (mixed >> 4 & (1 << SLOTS) - 1)
+        e2, e1 = self.t2.take(self.i2), self.t1.take(self.i1)
+        c2, c1, q2, q1 = e2 >> 16, e1 >> 16, e2 & 65535, e1 & 65535
+        same = c2 == c1
+        self.j = self.at_g + (q2 >> 14 << 3 | q1 >> 14 << 1 | same)
+        g = self.g.take(self.j)
+        g2, g1 = g >> 16, g & 65535
         m2 = np.minimum((q2 + g2 >> 1) + 32, 64000)
-        m1 = np.where(same, 0, np.maximum((65536 - m2) * (np.minimum(q1 + g1 >> 1, 63000) + 32) >> 16, 1))
-        self.seen = q2, q1, g2, g1
+        m1 = np.maximum((65536 - m2) * (np.minimum(q1 + g1 >> 1, 63000) + 32) >> 16, 1) * ~same
+        self.seen = c2, c1, q2, q1, g2, g1
         return c2, c1, m2, m1
 
     def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, c1_right: np.ndarray, klass: np.ndarray) -> None:
         """x: the ids that came; klass: their class where neither prediction was right."""
-        q2, q1, g2, g1 = self.seen
-        poor = ~hit2 & (q2 < 24000)
-        self.id2[self.i2] = np.where(poor, x, self.id2[self.i2])
-        self.q2[self.i2] = np.where(poor, 16384, q2 + ((hit2 * 65535 - q2) >> 2))
-        poor = ~c1_right & (q1 < 24000)
-        self.id1[self.i1] = np.where(poor, x, self.id1[self.i1])
-        self.q1[self.i1] = np.where(poor, 16384, q1 + ((c1_right * 65535 - q1) >> 2))
-        self.g2[self.j] = g2 + ((hit2 * 65535 - g2) >> 4)
-        self.g1[self.j] = np.where(hit2, g1, g1 + ((hit1 * 65535 - g1) >> 4))
-        self.flat[self.at_c + klass] += np.where(hit2 | hit1, 0, 24).astype(np.int32)
+        c2, c1, q2, q1, g2, g1 = self.seen
+        fresh = x << 16 | 16384
+        # a poor prediction that fails makes room
+        self.t2[self.i2] = np.where(hit2 | (q2 >= 24000), c2 << 16 | q2 + (hit2 * 65535 - q2 >> 2), fresh)
+        self.t1[self.i1] = np.where(c1_right | (q1 >= 24000), c1 << 16 | q1 + (c1_right * 65535 - q1 >> 2), fresh)
+        self.g[self.j] = g2 + (hit2 * 65535 - g2 >> 4) << 16 | np.where(hit2, g1, g1 + (hit1 * 65535 - g1 >> 4))
+        missed = np.nonzero(~(hit2 | hit1))[0]
+        self.added_flat[self.at_added[missed] + klass[missed]] += 24
         self.before, self.last = self.last, x
         self.t += 1
         if self.t % STEADY == 0 or self.t >= 16 and self.t & self.t - 1 == 0 and self.t < STEADY:
@@ -125,12 +138,10 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
         if ended:
             ended = ended[0], low.copy(), span.copy()
         klass = _class_of(x)
-        c = model.at0 + klass
-        start = model.cum_flat[c].astype(np.int64)
-        width = model.cum_flat[c + 1] - start << 8
-        wide = x >= ALONE
-        width = np.where(wide, width >> SPREAD, width)
-        place = np.where(wide, x - ALONE & (1 << SPREAD) - 1, 0)
+        slot = model.slots.take(model.at_c + klass)
+        start, wide = slot >> 20, x >= ALONE
+        width = ((slot & 0xFFFFF) << 8) >> SPREAD * wide
+        place = (x - ALONE & (1 << SPREAD) - 1) * wide
         r = span >> 24
         low += np.where(hit, 0, r * ((start << 8) + width * place))
         span = r * np.where(hit, 1 << 24, width)
@@ -164,8 +175,6 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray, vocabulary: int) ->
     pos = np.full(lanes, 2, dtype=np.int64)
     code, span = words[:, 0] << WORD | words[:, 1], np.full(lanes, 1 << WINDOW, dtype=np.int64)
     model, out = Model(lanes, vocabulary), np.empty((length, lanes), dtype=np.int64)
-    steps = [1 << s for s in range(model.classes.bit_length() - 1, -1, -1)]
-    last = model.classes - 1
 
     def renorm() -> None:
         at = np.nonzero(span <= LOW)[0]
@@ -186,17 +195,11 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray, vocabulary: int) ->
         renorm()
         r = span >> 24
         v = np.minimum(code // r, (1 << 24) - 1)
-        slot = v >> 8
-        klass = np.zeros(lanes, dtype=np.int64)
-        for s in steps:
-            more = np.minimum(klass + s, last)
-            klass = np.where(model.cum_flat[model.at0 + more] <= slot, more, klass)
-        c = model.at0 + klass
-        start = model.cum_flat[c].astype(np.int64)
-        width = model.cum_flat[c + 1] - start << 8
-        wide = klass >= ALONE
-        width = np.where(wide, width >> SPREAD, width)
-        place = np.where(wide, (v - (start << 8)) // width, 0)
+        klass = model.find(v >> 8)
+        slot = model.slots.take(model.at_c + klass)
+        start, wide = slot >> 20, klass >= ALONE
+        width = ((slot & 0xFFFFF) << 8) >> SPREAD * wide
+        place = np.minimum((v - (start << 8)) // width, (1 << SPREAD) - 1) * wide
         code -= np.where(hit, 0, r * ((start << 8) + width * place))
         span = r * np.where(hit, 1 << 24, width)
         renorm()
@@ -209,7 +212,7 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray, vocabulary: int) ->
     return found
 
 
-def encode_segment(ids: np.ndarray, vocabulary: int, lanes: int = 1024, longest: int = 4096, shortest: int = 512) -> bytes:
+def encode_segment(ids: np.ndarray, vocabulary: int, lanes: int = 1024, longest: int = 2048, shortest: int = 512) -> bytes:
     """Header, block table and blocks of one-dimensional ids below `vocabulary`."""
     n = len(ids)
     if n and (int(ids.min()) < 0 or int(ids.max()) >= vocabulary):

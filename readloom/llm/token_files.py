@@ -29,7 +29,7 @@ from readloom.llm.tokenizing import byte_bpe
 
 MAGIC = b"RLTF"
 #: Ids of a record: they bound a task's memory.
-RECORD = 1 << 22
+RECORD = 1 << 21
 NAMES = ["partition", "doc_id", "local", "n_tokens", "ids_crc32"]
 
 
