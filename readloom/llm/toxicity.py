@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from readloom.llm.common import table, unit
 
 #: Labelled rows of each class to learn from, about.
-PER_CLASS = 5_000
+PER_CLASS = 3_000
 #: Terms of a group stand for each other in counterfactuals.
 IDENTITY = (
     "women men girls boys females males",
@@ -107,8 +107,13 @@ def train(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, swaps
     """({feature: weight}, bias); swaps: the features of each row after the swap of identity terms, or None."""
     if not len(labels) or not weights.sum():
         return {}, float("-inf")
-    df = np.bincount(np.concatenate([*rows, np.zeros(0, dtype=np.uint32)]), minlength=BUCKETS)
+    df = np.zeros(BUCKETS, dtype=np.int32)
+    for r in rows:  # a row's features are distinct
+        df[r] += 1
     kept = np.nonzero((df >= 3) & ((df <= 0.5 * len(rows)) | (len(rows) < 50)))[0]
+    useful = np.zeros(BUCKETS, dtype=bool)
+    useful[kept] = True
+    rows = [r[useful[r]] for r in rows]
     w, b = _descend(rows, labels, weights, swaps, kept, counterfactual, l1, steps, rate)
     # the features found, once more with little of the penalty that had shrunk them
     kept = kept[np.abs(w) >= 0.05]
@@ -118,7 +123,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, swaps
 
 def _descend(rows, labels, weights, swaps, kept: np.ndarray, counterfactual: float, l1: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
     """Weights of the kept features and bias, by Adam on all rows with the penalty's zeros held."""
-    index = np.full(BUCKETS, -1, dtype=np.int64)
+    index = np.full(BUCKETS, -1, dtype=np.int32)
     index[kept] = np.arange(len(kept))
     compact = lambda r: (c := index[r])[c >= 0]
     x = Sparse([compact(r) for r in rows], len(kept))
@@ -169,8 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, counterf
     found = found.sort_values(["toxic", "features"], kind="stable")
     array = lambda b: None if b is None else np.frombuffer(b, dtype=np.uint32)
     y = (found["toxic"] == 1).to_numpy().astype(np.float64)
+    rows, swaps = [array(b) for b in found["features"]], [array(b) for b in found["swapped"]]
+    del found
     scale = {True: sizes.get(True, 0) / max(y.sum(), 1), False: sizes.get(False, 0) / max((1 - y).sum(), 1)}
-    return train([array(b) for b in found["features"]], y, np.where(y == 1, scale[True], scale[False]), [array(b) for b in found["swapped"]], counterfactual)
+    return train(rows, y, np.where(y == 1, scale[True], scale[False]), swaps, counterfactual)
 
 
 class Scorer(dict):
