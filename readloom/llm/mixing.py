@@ -1,13 +1,13 @@
 """Mixing sources to target weights by Poisson replication.
 
 Every document gets a mean repetition rate, rate = weight share x output size / size of its source. A uniform
-number from the MD5 of (seed, doc_id, its other columns) is put through the inverse of the Poisson distribution with
+number from the MD5 of (seed, doc_id) is put through the inverse of the Poisson distribution with
 that mean, the document is exploded by the count, and the copies are dealt out and sorted by a second hash, which
 is a global shuffle. Only DataFrame functions run on this path.
 
 Defined cases: a null source is a source of its own (`null_weight`); null and empty texts have size 1 so that their
-source has a rate; a source without a positive weight is left out on purpose; rows that repeat in all columns get the
-same count; an empty table gives no rows; further columns are carried through untouched.
+source has a rate; a source without a positive weight is left out on purpose; rows with equal doc_id and source
+get the same count; an empty table gives no rows; further columns are carried through untouched.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import unit
+from readloom.llm.common import cut, table, unit
 
 #: Sources up to which the table of rates is broadcast; beyond it the rates are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
@@ -45,9 +45,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
     for name, weight in sorted(weights.items()):
         named = named.when(F.col("__rl_key") == "s" + name, F.lit(float(weight)))
     sizes = sizes.withColumn("__rl_weight", named.otherwise(F.lit(float(default_weight))))
-    totals = sizes.agg(F.sum("__rl_weight").alias("__rl_all_weight"), F.sum("__rl_size").alias("__rl_all_size"))
-    rate = F.col("__rl_weight") / F.col("__rl_all_weight") * (F.col("__rl_all_size").cast("double") * float(epochs)) / F.col("__rl_size").cast("double")
-    return sizes.join(F.broadcast(totals), how="cross").where("__rl_weight > 0").select("__rl_key", rate.alias("__rl_rate"))
+    sizes = cut(sizes)  # a row for each source
+    weight, size = sizes.agg(F.sum("__rl_weight"), F.sum("__rl_size")).first()
+    rate = F.col("__rl_weight") / F.lit(float(weight or 1)) * F.lit(float(size or 0) * float(epochs)) / F.col("__rl_size").cast("double")
+    return sizes.where("__rl_weight > 0").select("__rl_key", rate.alias("__rl_rate"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, null_weight: float = 1.0, epochs: float = 1.0, seed: int = 42) -> DataFrame:
@@ -68,7 +69,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: floa
         rates = F.broadcast(spark.createDataFrame([tuple(r) for r in found], "__rl_key string, __rl_rate double").withColumn("__rl_cdf", poisson_cdf(F.col("__rl_rate"), steps)))
     else:
         rates = rates.withColumn("__rl_cdf", poisson_cdf(F.col("__rl_rate"), steps))
-    # without the texts, equal ids of different rows would only get equal counts, so the id is enough for the hash
     held = docs.withColumn("__rl_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("__rl_u", unit(seed, "doc_id"))
     copies = F.size(F.filter("__rl_cdf", lambda c: c <= F.col("__rl_u")))
     out = (
@@ -85,8 +85,6 @@ WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from readloom.llm.common import table
-
     docs = table(spark, sf_dir, "documents")
     return mix_sources(docs.select("doc_id", "text", "lang", "source"), WEIGHTS, seed=42)
 
