@@ -28,29 +28,46 @@ def node_votes(unique: DataFrame) -> DataFrame:
     return rows.groupBy("prefix").agg(*[F.sum(F.when(F.col("next") == v[1], 1).otherwise(0)).alias(v) for v in VOTES])
 
 
-def _suffix_votes(texts: DataFrame, key: str, text: str, votes: DataFrame, floor: int, proper: bool) -> DataFrame:
-    """For each key: summed votes of the text's suffixes with floor letters or more that are prefixes, and of the longest below."""
-    rows = texts.select(key, text, F.explode(F.sequence(F.lit(0), F.length(text) - (1 if proper else 0))).alias("m"))
+def _suffix_votes(texts: DataFrame, key: str, text: str, votes: DataFrame, floor: int) -> DataFrame:
+    """For each key: summed votes of the text's proper suffixes with floor letters or more that are prefixes, and of the longest below."""
+    rows = texts.select(key, text, F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("m"))
     rows = rows.withColumn("prefix", F.expr(f"right({text}, m)"))
     found = rows.join(votes, "prefix")
     long_ = [F.sum(F.when(F.col("m") >= floor, F.col(v)).otherwise(0)).alias(f"l{v}") for v in VOTES]
     short = F.max(F.when(F.col("m") < floor, F.struct("m", *VOTES))).alias("s")
-    summed = found.groupBy(key).agg(*long_, short, F.max(F.struct("m", "prefix"))["prefix"].alias("state"))
-    return summed.select(key, "state", *[(F.col(f"l{v}") + F.coalesce(F.col(f"s.{v}"), F.lit(0))).alias(v) for v in VOTES])
+    summed = found.groupBy(key).agg(*long_, short)
+    return summed.select(key, *[(F.col(f"l{v}") + F.coalesce(F.col(f"s.{v}"), F.lit(0))).alias(v) for v in VOTES])
 
 
 def step_votes(unique: DataFrame, windows: DataFrame, votes: DataFrame | None = None, vote_floor: int = 16, slop_div: int = 8) -> DataFrame:
     """seed_id, nA ... nN and chosen (null: stop) for the next letter of each window (seed_id, window)."""
     votes = node_votes(unique) if votes is None else votes
-    found = _suffix_votes(windows, "seed_id", "window", votes, vote_floor, True)
+    found = _suffix_votes(windows, "seed_id", "window", votes, vote_floor)
     return found.select("seed_id", *VOTES, majority(*[F.col(v) for v in VOTES[:4]], slop_div).alias("chosen"))
 
 
+def _state_votes(votes: DataFrame, floor: int) -> DataFrame:
+    """state and the summed votes of each prefix taken as a state.
+
+    A state shorter than floor has its own votes only. For the others the longest short suffix depends on the last
+    floor - 1 letters alone, so it is looked up once for each such ending.
+    """
+    own = votes.withColumnRenamed("prefix", "state")
+    long_ = own.where(F.length("state") >= floor).select("state")
+    rows = long_.select("state", F.explode(F.sequence(F.lit(floor), F.length("state"))).alias("m")).select("state", F.expr("right(state, m)").alias("prefix"))
+    sums = rows.join(votes, "prefix").groupBy("state").agg(*[F.sum(v).alias(v) for v in VOTES]).withColumn("ending", F.expr(f"right(state, {floor - 1})"))
+    endings = long_.select(F.expr(f"right(state, {floor - 1})").alias("ending")).distinct()
+    rows = endings.select("ending", F.explode(F.sequence(F.lit(1), F.greatest(F.length("ending"), F.lit(1)))).alias("m")).withColumn("prefix", F.expr("right(ending, m)"))
+    best = rows.join(votes, "prefix").groupBy("ending").agg(F.max(F.struct("m", *VOTES)).alias("s"))
+    root = votes.where("prefix = ''").first()  # every ending has at least the empty suffix
+    filled = [(F.col(v) + F.coalesce(F.col(f"s.{v}"), F.lit(root[v] if root else 0))).alias(v) for v in VOTES]
+    return own.where(F.length("state") < floor).unionByName(sums.join(best, "ending", "left").select("state", *filled))
+
+
 def steps(votes: DataFrame, length: int, vote_floor: int = 16, slop_div: int = 8) -> DataFrame:
     """state, letters (one), next of every state that goes on."""
-    states = votes.select(F.col("prefix").alias("key"), F.col("prefix").alias("text"))
-    summed = _suffix_votes(states, "key", "text", votes, vote_floor, False)
-    chosen = cut(summed.select(F.col("key").alias("state"), majority(*[F.col(v) for v in VOTES[:4]], slop_div).alias("letters")).where("letters is not null"))
+    summed = _state_votes(votes, vote_floor)
+    chosen = cut(summed.select("state", majority(*[F.col(v) for v in VOTES[:4]], slop_div).alias("letters")).where("letters is not null"))
     grown = chosen.withColumn("longest", F.expr(f"right(concat(state, letters), {length - 1})"))
     known = votes.select(F.col("prefix").alias("longest"), F.lit(True).alias("known"))
     grown = cut(grown.join(known, "longest", "left"))
