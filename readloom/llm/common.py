@@ -36,6 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy() -> None:
+    """Gives freed memory of this process back to the system; workers live on after a task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def unit(seed: int | str, *parts: Column | str) -> Column:
     """A uniform number in [0, 1) with 52 random bits, from the MD5 of the parts and the seed; nulls count as 'null'."""
     texts = [F.coalesce(F.col(p).cast("string") if isinstance(p, str) else p.cast("string"), F.lit("null")) for p in parts]

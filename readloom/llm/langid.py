@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from readloom.llm.common import table, unit
+from readloom.llm.common import table, tidy, unit
 
 #: Documents to learn from, about.
 SAMPLE = 2_400
@@ -37,7 +37,7 @@ BUCKETS = 1 << 16
 CHUNK = 32
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words of a batch that are labelled at a time.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 def features_of(word: str, lexicon: frozenset[str] | dict) -> list[int]:
@@ -127,7 +127,7 @@ class Labeller:
 
     def _ids(self, words: list[list[str]]) -> np.ndarray:
         new = [*set().union(*map(set, words)).difference(self.index)]
-        if len(self.index) + len(new) > 600_000:
+        if len(self.index) + len(new) > 200_000:
             self.index, self.factors = {}, self.factors[:0]
             new = [*set().union(*map(set, words))]
         if new:
@@ -240,6 +240,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = labeller.label(batch.column(batch.schema.get_field_index("text")).to_pylist())
             added = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "__rl_lang", "__rl_score"])
+        del labeller
+        tidy()
 
     return docs.mapInArrow(run, schema)
 

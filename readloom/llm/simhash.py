@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import cut, table
+from readloom.llm.common import cut, table, tidy
 from readloom.llm.components import components
 
 #: Hashes unpacked to bits at a time.
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             prints = np.array([fingerprint(t or "", k) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "__rl_fp"])
+        tidy()
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return held.mapInArrow(run, "doc_id long, __rl_fp long")
@@ -172,6 +173,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Dat
         for batch in batches:
             sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t or "", k)], dtype=np.uint64)).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("__rl_node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+        tidy()
 
     involved = open_.select(F.col("a").alias("__rl_node")).unionByName(open_.select(F.col("b").alias("__rl_node"))).distinct()
     sets = cut(texts.join(involved, "__rl_node").mapInArrow(run, "node long, shingles array<long>"))
@@ -200,6 +202,7 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
             texts = batch.column("text").to_pylist()
             prints = np.array([long_fingerprint(t or "", k) for t in texts], dtype=np.uint64).reshape(-1, len(PARTS)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(prints[:, i]) for i in range(len(PARTS)))], ["doc_id", *PARTS])
+        tidy()
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = cut(held.mapInArrow(run, "doc_id long, " + ", ".join(f"{p} long" for p in PARTS)))

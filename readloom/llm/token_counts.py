@@ -24,7 +24,7 @@ from readloom.llm.common import table
 
 MARK = "▁"
 #: Distinct pre-tokens whose counts a worker keeps.
-KEPT = 500_000
+KEPT = 300_000
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, object]]:

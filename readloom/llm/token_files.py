@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import scratch, table
+from readloom.llm.common import scratch, table, tidy
 from readloom.llm.range_coder import decode_segment, encode_segment
 from readloom.llm.tokenizing import byte_bpe
 
@@ -62,6 +62,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> N
                     ids, known, size = [], [], 0
         if known:
             yield record()
+        ids, known = [], []
+        tidy()
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = held.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -100,6 +102,8 @@ def read(spark, path: str) -> DataFrame:
                         at += n
                     local += at
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], NAMES)
+                    del ids
+            tidy()
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ from functools import cache
 import numpy as np
 
 #: Distinct words whose ids a worker keeps.
-KEPT = 700_000
+KEPT = 350_000
 
 
 class ByteBpe:

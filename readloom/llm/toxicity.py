@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from readloom.llm.common import table, unit
+from readloom.llm.common import table, tidy, unit
 
 #: Labelled rows of each class to learn from, about.
 PER_CLASS = 3_000
@@ -177,7 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, counterf
     rows, swaps = [array(b) for b in found["features"]], [array(b) for b in found["swapped"]]
     del found
     scale = {True: sizes.get(True, 0) / max(y.sum(), 1), False: sizes.get(False, 0) / max((1 - y).sum(), 1)}
-    return train(rows, y, np.where(y == 1, scale[True], scale[False]), swaps, counterfactual)
+    model = train(rows, y, np.where(y == 1, scale[True], scale[False]), swaps, counterfactual)
+    del rows, swaps
+    tidy()
+    return model
 
 
 class Scorer(dict):
@@ -189,7 +192,7 @@ class Scorer(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = tuple(f for f in features_of(word) if f in self.weights)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = found
         return found
@@ -211,6 +214,8 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], threshold: flo
         for batch in batches:
             scores = pa.array([scorer.score(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "__rl_score"])
+        del scorer
+        tidy()
 
     out = docs.mapInArrow(run, schema)
     return out.withColumn("__rl_predicted", (F.col("__rl_score") >= threshold).cast("int"))
