@@ -126,6 +126,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 LONG, SEGMENT, CHAIN = 256, 8, 2
 #: Up to SURE differing bits documents are taken as similar, beyond MOST as different; between, shingles are compared.
 SURE, MOST = 28, 56
+#: Ids up to which the documents to look at are found by a broadcast; beyond it, by a shuffle.
+BROADCAST_IDS = 200_000
 PARTS = [f"__rl_f{i}" for i in range(LONG // 64)]
 
 
@@ -162,8 +164,11 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("__rl_key", F.explode(F.array(*keys)))
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b, d) that are similar enough; texts: __rl_node and text."""
+def _alike(pairs: DataFrame, held: DataFrame, firsts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b, d) that are similar enough.
+
+    held: doc_id and text of the documents; firsts: __rl_node, its fingerprint and __rl_id, a document that has its text.
+    """
     sure = pairs.where(F.col("d") <= SURE).select("a", "b")
     open_ = cut(pairs.where(F.col("d") > SURE).select("a", "b"))
 
@@ -171,24 +176,53 @@ def _alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Dat
         import xxhash
 
         for batch in batches:
-            sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t or "", k)], dtype=np.uint64)).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("__rl_node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            nodes, sets = [], []
+            for node, text, *print_ in zip(*(batch.column(c).to_pylist() for c in ("__rl_node", "text", *PARTS)), strict=True):
+                if long_fingerprint(text or "", k).view(np.int64).tolist() == print_:  # else another row with this doc_id
+                    nodes.append(node)
+                    sets.append(np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text or "", k)], dtype=np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
         tidy()
 
     involved = open_.select(F.col("a").alias("__rl_node")).unionByName(open_.select(F.col("b").alias("__rl_node"))).distinct()
-    sets = cut(texts.join(involved, "__rl_node").mapInArrow(run, "node long, shingles array<long>"))
+    involved = cut(firsts.join(involved, "__rl_node"))
+    wanted = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
+    texts = held.join(wanted, held["doc_id"].eqNullSafe(wanted["__rl_id"])).select("__rl_node", "text", *PARTS)
+    sets = cut(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
     both = open_.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return sure.unionByName(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
 
+def _other_side(keyed: DataFrame) -> DataFrame:
+    return keyed.select("__rl_key", F.col("node").alias("b"), F.col("root").alias("root_b"), *(F.col(p).alias(f"m{p}") for p in PARTS))
+
+
+def _candidates(joined: DataFrame) -> DataFrame:
+    """a, b, d of joined members of a bucket that are in different groups and not too far apart."""
+    return joined.where((F.col("root") != F.col("root_b")) & (_distance("", "m") <= MOST)).select(F.col("node").alias("a"), "b", _distance("", "m").alias("d")).distinct()
+
+
+def _held_against_smallest(nodes: DataFrame) -> DataFrame:
+    """Candidates among each bucket's smallest node and its others: no more than there are places for each node."""
+    keyed = _keys(nodes)
+    least = keyed.groupBy("__rl_key").agg(F.min(F.struct("node", "root", *PARTS)).alias("m"), F.count("*").alias("n")).where("n > 1").select("__rl_key", "m.*")
+    return _candidates(keyed.join(_other_side(least), "__rl_key"))
+
+
+def _held_against_all(nodes: DataFrame) -> DataFrame:
+    """Candidates among all members of each bucket."""
+    keyed = _keys(nodes)
+    return _candidates(keyed.join(_other_side(_keys(nodes)), "__rl_key").where("node < b"))
+
+
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest doc_id.
 
     Groups are joined by links between documents whose sets of k-word shingles have a Jaccard similarity of
     `similarity` or more. Candidates have CHAIN consecutive equal segments somewhere on the ring of a 256-bit
     fingerprint and at most MOST differing bits. Documents with equal fingerprints are one from the start. First every
-    bucket's members are held against the bucket's smallest only, which joins dense groups without pairs; then all
+    bucket's members are held against the bucket's smallest only, at most one pair for each place of the ring; then all
     members of a bucket that are still in different groups are held against each other, so no link is given up.
     Two documents with similarity 0.8 miss each other with a chance near 0.1, with 0.9 below 0.01; members of
     larger groups have many ways to meet.
@@ -209,20 +243,12 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
     nodes = cut(prints.groupBy(*PARTS).agg(F.min(order).alias("least")).withColumn("node", F.xxhash64(*PARTS)))
     # of the texts, only the first of each node is needed, and only where a candidate must be looked at
-    firsts = nodes.select(F.col("node").alias("__rl_node"), F.col("least.doc_id").alias("__rl_id"))
-    texts = held.join(firsts, held["doc_id"].eqNullSafe(firsts["__rl_id"])).select("__rl_node", "text").dropDuplicates(["__rl_node"])
-    keyed = _keys(nodes.select("node", *PARTS))
-    least = keyed.groupBy("__rl_key").agg(F.min(F.struct("node", *PARTS)).alias("m"), F.count("*").alias("n")).where("n > 1")
-    star = keyed.join(least.select("__rl_key", F.col("m.node").alias("b"), *(F.col(f"m.{p}").alias(f"m{p}") for p in PARTS)), "__rl_key").where("node <> b")
-    first = cut(star.withColumn("d", _distance("", "m")).where(F.col("d") <= MOST).select(F.col("node").alias("a"), "b", "d").distinct())
-    links_1 = cut(_alike(first, texts, k, similarity))
-    root = components(links_1)
-    grouped = cut(nodes.join(root, "node", "left").select("node", *PARTS, F.coalesce("root", "node").alias("root")))
-    one, two = _keys(grouped), _keys(grouped)
-    two = two.select("__rl_key", F.col("node").alias("b"), F.col("root").alias("root_b"), *(F.col(p).alias(f"m{p}") for p in PARTS))
-    second = one.join(two, "__rl_key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & (_distance("", "m") <= MOST))
-    second = cut(second.select(F.col("node").alias("a"), "b", _distance("", "m").alias("d")).distinct())
-    final = components(links_1.unionByName(_alike(second, texts, k, similarity)))
+    firsts = nodes.select(F.col("node").alias("__rl_node"), F.col("least.doc_id").alias("__rl_id"), *PARTS)
+    apart = nodes.select("node", *PARTS, F.col("node").alias("root"))
+    links_1 = cut(_alike(cut(_held_against_smallest(apart)), held, firsts, k, similarity))
+    # what is still in different groups: all members of a bucket
+    grouped = cut(apart.drop("root").join(components(links_1), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    final = components(links_1.unionByName(_alike(cut(_held_against_all(grouped)), held, firsts, k, similarity)))
     winners = nodes.join(final, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("least", "node")).alias("w"))
     winners = winners.select(F.col("w.node").alias("__rl_node"), F.col("w.least.doc_id").alias("__rl_id"))
     # several rows with a winner's doc_id: that with the winner's fingerprint
