@@ -8,8 +8,8 @@ from functools import cache
 
 import numpy as np
 
-#: Distinct words in each of the two generations whose ids a worker keeps.
-KEPT = 300_000
+#: Distinct words whose ids a worker keeps.
+KEPT = 700_000
 
 
 class ByteBpe:
@@ -34,9 +34,7 @@ class ByteBpe:
         self.starts = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(n)])
         self.type = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
         self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.blank = re.compile(r" (?:\s|$)")
-        self.marks = {c: self._whole(c) for c in ".,;:!?"}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.type).tobytes()
@@ -49,29 +47,16 @@ class ByteBpe:
         data, size = ids.tobytes(), self.type.itemsize
         self.kept.update((w, data[a * size : b * size]) for w, a, b in zip(words, at[:-1], at[1:], strict=True))
 
-    def _add(self, new: set[str]) -> None:
-        """Makes kept hold the new words. A mark after a letter is a pre-token of its own, so it is added to its word's ids."""
-        kept, older, marks = self.kept, self.older, self.marks
-        kept.update([(w, older[w]) for w in new if w in older])
-        new = new.difference(older)
-        marked = [w for w in new if w[-1] in marks and w[-2:-1].isalpha()]
-        new.difference_update(marked)
-        bases = {w[:-1] for w in marked}.difference(kept)
-        kept.update([(w, older[w]) for w in bases if w in older])
-        if new := new.union(bases).difference(kept):
-            self._learn([*new])
-        kept.update([(w, kept[w[:-1]] + marks[w[-1]]) for w in marked])
-
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if self.blank.search(text) or any(s in text for s in self.specials):
             return self._whole(text)
         words = text.split(" ")
-        if len(self.kept) > KEPT:  # words met again come back from the older generation
-            self.older, self.kept = self.kept, {}
+        if len(self.kept) > KEPT:
+            self.kept.clear()
         if new := {*words[1:]}.difference(self.kept):
-            self._add(new)
+            self._learn([*new])
         first = self._whole(words[0]) if words[0] else b""
         return first + b"".join(map(self.kept.__getitem__, words[1:]))
 
