@@ -124,11 +124,27 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 #: Bits of the long fingerprint, of a segment, and how many consecutive segments make a key.
 LONG, SEGMENT, CHAIN = 256, 8, 2
-#: Up to SURE differing bits documents are taken as similar, beyond MOST as different; between, shingles are compared.
-SURE, MOST = 28, 56
+#: Beyond MOST differing bits documents are no candidates.
+MOST = 56
 #: Ids up to which the documents to look at are found by a broadcast; beyond it, by a shuffle.
 BROADCAST_IDS = 200_000
 PARTS = [f"__rl_f{i}" for i in range(LONG // 64)]
+#: The 128-bit digest of a document's set of shingles; the first half names the node.
+SET = ["__rl_s0", "__rl_s1"]
+
+
+def shingle_set(text: str, k: int) -> np.ndarray:
+    """XXH64 (seed 42) of the distinct shingles of a text, in ascending order."""
+    import xxhash
+
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, k)], dtype="<u8"))
+
+
+def set_digest(hashes: np.ndarray) -> list[int]:
+    """128 bits of a set of shingles as two signed numbers."""
+    import xxhash
+
+    return np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), dtype="<i8").tolist()
 
 
 def long_fingerprint(text: str, k: int) -> np.ndarray:
@@ -165,33 +181,30 @@ def _keys(nodes: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, held: DataFrame, firsts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b, d) that are similar enough.
+    """Those of the pairs (a, b) whose sets of shingles are similar enough.
 
-    held: doc_id and text of the documents; firsts: __rl_node, its fingerprint and __rl_id, a document that has its text.
+    held: doc_id and text of the documents; firsts: __rl_node and __rl_id, a document that has its set.
     """
-    sure = pairs.where(F.col("d") <= SURE).select("a", "b")
-    open_ = cut(pairs.where(F.col("d") > SURE).select("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             nodes, sets = [], []
-            for node, text, *print_ in zip(*(batch.column(c).to_pylist() for c in ("__rl_node", "text", *PARTS)), strict=True):
-                if long_fingerprint(text or "", k).view(np.int64).tolist() == print_:  # else another row with this doc_id
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes = shingle_set(text or "", k)
+                if set_digest(hashes)[0] == node:  # else another row with this doc_id
                     nodes.append(node)
-                    sets.append(np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text or "", k)], dtype=np.uint64)).view(np.int64))
+                    sets.append(hashes.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
         tidy()
 
-    involved = open_.select(F.col("a").alias("__rl_node")).unionByName(open_.select(F.col("b").alias("__rl_node"))).distinct()
+    involved = pairs.select(F.col("a").alias("__rl_node")).unionByName(pairs.select(F.col("b").alias("__rl_node"))).distinct()
     involved = cut(firsts.join(involved, "__rl_node"))
     wanted = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
-    texts = held.join(wanted, held["doc_id"].eqNullSafe(wanted["__rl_id"])).select("__rl_node", "text", *PARTS)
+    texts = held.join(wanted, held["doc_id"].eqNullSafe(wanted["__rl_id"])).select("__rl_node", "text")
     sets = cut(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
-    both = open_.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return sure.unionByName(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def _other_side(keyed: DataFrame) -> DataFrame:
@@ -199,8 +212,8 @@ def _other_side(keyed: DataFrame) -> DataFrame:
 
 
 def _candidates(joined: DataFrame) -> DataFrame:
-    """a, b, d of joined members of a bucket that are in different groups and not too far apart."""
-    return joined.where((F.col("root") != F.col("root_b")) & (_distance("", "m") <= MOST)).select(F.col("node").alias("a"), "b", _distance("", "m").alias("d")).distinct()
+    """a, b of joined members of a bucket that are in different groups and not too far apart."""
+    return joined.where((F.col("root") != F.col("root_b")) & (_distance("", "m") <= MOST)).select(F.col("node").alias("a"), "b").distinct()
 
 
 def _held_against_smallest(nodes: DataFrame) -> DataFrame:
@@ -220,10 +233,11 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest doc_id.
 
     Groups are joined by links between documents whose sets of k-word shingles have a Jaccard similarity of
-    `similarity` or more. Candidates have CHAIN consecutive equal segments somewhere on the ring of a 256-bit
-    fingerprint and at most MOST differing bits. Documents with equal fingerprints are one from the start. First every
-    bucket's members are held against the bucket's smallest only, at most one pair for each place of the ring; then all
-    members of a bucket that are still in different groups are held against each other, so no link is given up.
+    `similarity` or more. Documents with equal sets are one from the start; every other link is compared on its two
+    sets. Candidates have CHAIN consecutive equal segments somewhere on the ring of a 256-bit fingerprint and at most
+    MOST differing bits. First every bucket's members are held against the bucket's smallest only, at most one pair for
+    each place of the ring; then all members of a bucket that are still in different groups are held against each
+    other, so no link is given up.
     Two documents with similarity 0.8 miss each other with a chance near 0.1, with 0.9 below 0.01; members of
     larger groups have many ways to meet.
 
@@ -235,39 +249,40 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             prints = np.array([long_fingerprint(t or "", k) for t in texts], dtype=np.uint64).reshape(-1, len(PARTS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(prints[:, i]) for i in range(len(PARTS)))], ["doc_id", *PARTS])
+            digests = np.array([set_digest(shingle_set(t or "", k)) for t in texts], dtype=np.int64).reshape(-1, len(SET))
+            columns = [*(pa.array(digests[:, i]) for i in range(len(SET))), *(pa.array(prints[:, i]) for i in range(len(PARTS)))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *SET, *PARTS])
         tidy()
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(held.mapInArrow(run, "doc_id long, " + ", ".join(f"{p} long" for p in PARTS)))
+    prints = cut(held.mapInArrow(run, "doc_id long, " + ", ".join(f"{p} long" for p in (*SET, *PARTS))))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
-    nodes = cut(prints.groupBy(*PARTS).agg(F.min(order).alias("least")).withColumn("node", F.xxhash64(*PARTS)))
+    # texts with equal sets may differ in how often a shingle comes: the fingerprint of the smallest stands for all
+    nodes = cut(prints.groupBy(*SET).agg(F.min(F.struct(order.alias("least"), *PARTS)).alias("m")).select(F.col(SET[0]).alias("node"), "m.*"))
     # of the texts, only the first of each node is needed, and only where a candidate must be looked at
-    firsts = nodes.select(F.col("node").alias("__rl_node"), F.col("least.doc_id").alias("__rl_id"), *PARTS)
+    firsts = nodes.select(F.col("node").alias("__rl_node"), F.col("least.doc_id").alias("__rl_id"))
     apart = nodes.select("node", *PARTS, F.col("node").alias("root"))
     links_1 = cut(_alike(cut(_held_against_smallest(apart)), held, firsts, k, similarity))
     # what is still in different groups: all members of a bucket
     grouped = cut(apart.drop("root").join(components(links_1), "node", "left").withColumn("root", F.coalesce("root", "node")))
     final = components(links_1.unionByName(_alike(cut(_held_against_all(grouped)), held, firsts, k, similarity)))
     winners = nodes.join(final, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("least", "node")).alias("w"))
-    winners = winners.select(F.col("w.node").alias("__rl_node"), F.col("w.least.doc_id").alias("__rl_id"))
-    # several rows with a winner's doc_id: that with the winner's fingerprint
-    winners = cut(winners.join(nodes.select(F.col("node").alias("__rl_node"), *PARTS), "__rl_node"))
-    ids = prints.join(winners, [prints["doc_id"].eqNullSafe(winners["__rl_id"])] + [prints[p] == winners[p] for p in PARTS]).select("__rl_id", "__rl_node").distinct()
+    winners = cut(winners.select(F.col("w.node").alias("__rl_node"), F.col("w.least.doc_id").alias("__rl_id")))
+    # several rows with a winner's doc_id: that with the winner's set
+    ids = prints.join(winners, prints["doc_id"].eqNullSafe(winners["__rl_id"]) & (prints[SET[0]] == winners["__rl_node"])).select("__rl_id", "__rl_node").distinct()
     chosen = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__rl_id"]))
     repeated = prints.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:  # only then the row itself must tell which of its doc_id's rows it is
-        chosen = _matching(chosen, names, k)
+        chosen = _matching(chosen, k)
     return chosen.select(*names)
 
 
-def _matching(chosen: DataFrame, names: list[str], k: int) -> DataFrame:
-    """Of rows joined with a winner by doc_id, one whose text has the winner's fingerprint."""
+def _matching(chosen: DataFrame, k: int) -> DataFrame:
+    """Of rows joined with a winner by doc_id, one whose text has the winner's set."""
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<long>")
-    def print_of(texts):
-        return texts.map(lambda t: long_fingerprint(t or "", k).view(np.int64).tolist())
+    @pandas_udf("long")
+    def node_of(texts):
+        return texts.map(lambda t: set_digest(shingle_set(t or "", k))[0])
 
-    marked = chosen.withColumn("__rl_p", print_of(F.col("text").cast("string"))).where(F.xxhash64(*[F.col("__rl_p")[i] for i in range(len(PARTS))]) == F.col("__rl_node"))
-    return marked.dropDuplicates(["__rl_id", "__rl_node"])
+    return chosen.where(node_of(F.col("text").cast("string")) == F.col("__rl_node")).dropDuplicates(["__rl_id", "__rl_node"])

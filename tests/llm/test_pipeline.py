@@ -57,3 +57,11 @@ def test_stages_one_by_one(spark):
     assert packed.groupBy("sequence_id").count().where("count > 1").count() == 0
     assert 0 < docs.count() < 3 * n and [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "simhash_dedup", "mixing", "packing"]
     assert corpus_pipeline.run(spark, d).select("doc_id", "start", "length", "ids_crc32").exceptAll(packed.select("doc_id", "start", "length", "ids_crc32")).count() == 0
+
+
+def test_keep_one_keeps_texts_that_share_a_repeated_line(spark):
+    rng = random.Random(6)
+    line = [f"hot{i}" for i in range(9)]
+    texts = [" ".join(line * 40 + [f"w{rng.randrange(10**6)}" for _ in range(100)]) for _ in range(16)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert keep_one(df).count() == 16
