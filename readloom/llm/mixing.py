@@ -21,11 +21,12 @@ from readloom.llm.common import cut, table, unit
 
 #: Sources up to which the table of rates is broadcast; beyond it the rates are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
-#: A higher mean rate is refused: the array of the distribution has about as many elements.
+#: A higher mean rate is drawn as a sum of rates up to this one, if `any_rate`, and refused otherwise: the array of the
+#: distribution has about as many elements.
 MAX_RATE = 10_000.0
 
 
-def poisson_cdf(rate: Column, steps: int) -> Column:
+def poisson_cdf(rate: Column, steps: Column) -> Column:
     """P(N <= 0), P(N <= 1), ... P(N <= steps) for a Poisson variable, summed from logarithms: no underflow."""
     start = F.struct(F.lit(0.0).alias("log_p"), F.array().cast("array<double>").alias("cdf"), F.lit(0.0).alias("sum"))
 
@@ -34,7 +35,17 @@ def poisson_cdf(rate: Column, steps: int) -> Column:
         total = s["sum"] + F.exp(log_p)
         return F.struct(log_p.alias("log_p"), F.concat(s["cdf"], F.array(total)).alias("cdf"), total.alias("sum"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), start, step, lambda s: s["cdf"])
+    return F.aggregate(F.sequence(F.lit(0), steps), start, step, lambda s: s["cdf"])
+
+
+def _from_to(counts: Column) -> Column:
+    """An array of (first, n) for an array of counts n: first is the sum of those before."""
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<first:bigint,n:bigint>>").alias("all"))
+
+    def step(s: Column, n: Column) -> Column:
+        return F.struct((s["sum"] + n).alias("sum"), F.concat(s["all"], F.array(F.struct(s["sum"].alias("first"), n.alias("n")))).alias("all"))
+
+    return F.aggregate(counts, start, step, lambda s: s["all"])
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: float, null_weight: float, epochs: float) -> DataFrame:
@@ -51,31 +62,40 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
     return sizes.where("__rl_weight > 0").select("__rl_key", rate.alias("__rl_rate"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, null_weight: float = 1.0, epochs: float = 1.0, seed: int = 42) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, null_weight: float = 1.0, epochs: float = 1.0, seed: int = 42, any_rate: bool = False) -> DataFrame:
     """docs replicated so that the characters of each source follow its weight, in a global random order.
 
     weights: a positive number for each named source, `default_weight` for others; epochs: expected size of the
-    output as a multiple of the input. Returns the columns of docs with `copy` (from 0) and `mix_key` (the hash it is
-    shuffled by; partitions are dealt and sorted by it).
+    output as a multiple of the input; any_rate: a mean of more than MAX_RATE copies is drawn, not refused, as the sum of
+    equal draws of at most MAX_RATE with a uniform number each, which has the same distribution. Returns the columns of docs with `copy` (from 0) and `mix_key` (the hash it is
+    shuffled by; partitions are dealt and sorted by it). `copy` is a long where a source has a mean of 2 ** 30 or more.
     """
     spark = docs.sparkSession
     rates = source_rates(docs, weights, default_weight, null_weight, epochs)
-    found = rates.limit(BROADCAST_SOURCES + 1).collect()
-    if any(r["__rl_rate"] > MAX_RATE for r in found):
+    n, top = rates.agg(F.count("*"), F.max("__rl_rate")).first()
+    top = top or 0.0
+    if top > MAX_RATE and not any_rate:
         raise ValueError(f"a source needs more than {MAX_RATE:g} copies of each document")
-    top = max((r["__rl_rate"] for r in found), default=0.0) if len(found) <= BROADCAST_SOURCES else MAX_RATE
-    steps = math.ceil(top + 14 * math.sqrt(top) + 40)  # beyond it P(N > n) is below 2 ** -52
-    if len(found) <= BROADCAST_SOURCES:
-        rates = F.broadcast(spark.createDataFrame([tuple(r) for r in found], "__rl_key string, __rl_rate double").withColumn("__rl_cdf", poisson_cdf(F.col("__rl_rate"), steps)))
-    else:
-        rates = rates.withColumn("__rl_cdf", poisson_cdf(F.col("__rl_rate"), steps))
+    if n <= BROADCAST_SOURCES:
+        rates = spark.createDataFrame([tuple(r) for r in rates.collect()], "__rl_key string, __rl_rate double")
+    rates = rates.withColumn("__rl_draws", F.greatest(F.ceil(F.col("__rl_rate") / MAX_RATE), F.lit(1)).cast("long"))
+    mean = F.col("__rl_rate") / F.col("__rl_draws")
+    steps = F.ceil(mean + 14 * F.sqrt(mean) + 40).cast("int")  # beyond it P(N > n) is below 2 ** -52
+    rates = rates.withColumn("__rl_cdf", poisson_cdf(mean, steps))
+    rates = F.broadcast(rates) if n <= BROADCAST_SOURCES else rates
     held = docs.withColumn("__rl_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("__rl_u", unit(seed, "doc_id"))
-    copies = F.size(F.filter("__rl_cdf", lambda c: c <= F.col("__rl_u")))
-    out = (
-        held.join(rates, "__rl_key").withColumn("__rl_n", copies).where("__rl_n > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__rl_n") - 1)))
-        .withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary")))
-    )
+    below = lambda u: F.size(F.filter("__rl_cdf", lambda c: c <= u))
+    out = held.join(rates, "__rl_key")
+    if top <= MAX_RATE:
+        out = out.withColumn("__rl_n", below(F.col("__rl_u"))).where("__rl_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__rl_n") - 1)))
+    else:  # a row for each draw, then one for each of its copies; its first number is the sum of the draws before
+        further = lambda i: F.when(i == 0, F.col("__rl_u")).otherwise(unit(seed, "doc_id", F.lit("draw"), i))
+        counts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__rl_draws") - 1), lambda i: below(further(i)).cast("long"))
+        out = out.withColumn("__rl_draw", F.explode(_from_to(counts))).where("__rl_draw.n > 0")
+        copy = F.explode(F.sequence(F.col("__rl_draw.first"), F.col("__rl_draw.first") + F.col("__rl_draw.n") - 1))
+        out = out.withColumn("copy", copy)
+        out = out.withColumn("copy", F.col("copy").cast("int")) if top < 1 << 30 else out
+    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary")))
     names = [c for c in docs.columns if c not in ("copy", "mix_key")]
     return out.select(*names, "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
 
@@ -86,7 +106,7 @@ WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mix_sources(docs.select("doc_id", "text", "lang", "source"), WEIGHTS, seed=42)
+    return mix_sources(docs.select("doc_id", "text", "lang", "source"), WEIGHTS, seed=42, any_rate=True)
 
 
 SQL = """

@@ -64,3 +64,31 @@ def test_empty_and_refused(spark):
     assert mix_sources(df, {"a": 1.0}).count() == 0
     with pytest.raises(ValueError):
         mix_sources(spark.createDataFrame([(1, "a", "s"), (2, "b" * 100_000, "t")], df.schema), {"s": 1.0}).count()
+
+
+def test_rates_above_the_bound_of_a_draw(spark):
+    from readloom.llm import mixing
+
+    schema = "doc_id long, text string, lang string, source string"
+    rows = [(1, "a", "en", "src7"), (2, "b" * 100_000, "en", "src0"), (3, "c", "en", None)]
+    out = mix_sources(spark.createDataFrame(rows, schema), mixing.WEIGHTS, any_rate=True).cache()
+    rate = 100_002 / 6  # weights 4, 1 and 1
+    for i in (1, 3):
+        copies = [r.copy for r in out.where(f"doc_id = {i}").orderBy("copy").collect()]
+        assert copies == list(range(len(copies))) and abs(len(copies) - rate) < 6 * math.sqrt(rate)
+    assert out.schema["copy"].dataType.typeName() == "integer" and out.select("mix_key").distinct().count() == out.count()
+
+
+def test_sums_of_draws_are_poisson(spark, monkeypatch):
+    from readloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "MAX_RATE", 3.0)
+    df = spark.range(4000).selectExpr("id as doc_id", "'tt' as text", "if(id < 3900, 'hot', 'rare') as source")
+    for bound in (20_000, 1):  # broadcast and joined by a shuffle
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", bound)
+        n = {r.doc_id: r["count"] for r in mix_sources(df, {"hot": 1.0, "rare": 1.0}, any_rate=True).where("source = 'rare'").groupBy("doc_id").count().collect()}
+        mean = sum(n.values()) / 100
+        var = sum((x - mean) ** 2 for x in n.values()) / 99
+        assert len(n) == 100 and abs(mean - 20) < 2.5 and 10 < var < 36
+        with pytest.raises(ValueError):
+            mix_sources(df, {"hot": 1.0, "rare": 1.0})
