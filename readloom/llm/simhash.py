@@ -15,11 +15,12 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.common import cut, table, tidy
@@ -126,9 +127,18 @@ def query(spark, sf_dir: str) -> DataFrame:
 LONG, SEGMENT, CHAIN = 256, 8, 2
 #: Beyond MOST differing bits documents are no candidates.
 MOST = 56
+#: A shingle in FREQUENT of ROWS documents is counted, at most COUNTED of them; the ORDERED most frequent of all
+#: come last in the order of shingles. Any one order finds every pair; this one keeps common lines out of the buckets.
+FREQUENT, COUNTED, ORDERED = 4, 4096, 100_000
 #: Ids up to which the documents to look at are found by a broadcast; beyond it, by a shuffle.
 BROADCAST_IDS = 200_000
+#: Rows whose sets of shingles are held at a time; sets a task remembers to give each once.
+ROWS, GIVEN = 1024, 200_000
 PARTS = [f"__rl_f{i}" for i in range(LONG // 64)]
+#: Bits of a set's parities, see parities().
+PARITIES = 1024
+#: Ranges of the hashes in which the members of long sets are counted, see counts().
+RANGES = 2048
 #: The 128-bit digest of a document's set of shingles; the first half names the node.
 SET = ["__rl_s0", "__rl_s1"]
 
@@ -147,12 +157,8 @@ def set_digest(hashes: np.ndarray) -> list[int]:
     return np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), dtype="<i8").tolist()
 
 
-def long_fingerprint(text: str, k: int) -> np.ndarray:
-    """The 256-bit SimHash of a text as four unsigned numbers: each hash is spread to 256 bits by a mixer."""
-    import xxhash
-
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles(text, k)], dtype="<u8")
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The 256-bit SimHash of a set of shingles as four unsigned numbers: each hash is spread to 256 bits by a mixer."""
     ones = np.zeros(LONG, dtype=np.int64)
     for at in range(0, len(hashes), STEP):
         some = hashes[at : at + STEP, None] + np.arange(LONG // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -180,53 +186,148 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("__rl_key", F.explode(F.array(*keys)))
 
 
-def _alike(pairs: DataFrame, held: DataFrame, firsts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets of shingles are similar enough.
+def parities(hashes: np.ndarray) -> list[int]:
+    """PARITIES bits as signed numbers: whether an odd number of the hashes falls into each of as many ranges.
+
+    Two sets differ in at least as many elements as these bits do.
+    """
+    odd = np.bincount((hashes >> np.uint64(64 - (PARITIES.bit_length() - 1))).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def counts(hashes: np.ndarray) -> bytes:
+    """How many of the hashes fall into each of RANGES ranges, a byte each, 255 for more.
 
-    held: doc_id and text of the documents; firsts: __rl_node and __rl_id, a document that has its set.
+    Two sets differ in at least as many elements as these numbers do in sum.
     """
+    found = np.bincount((hashes >> np.uint64(64 - (RANGES.bit_length() - 1))).astype(np.int64), minlength=RANGES)
+    return np.minimum(found, 255).astype(np.uint8).tobytes()
+
+
+def _of_sets(pairs: DataFrame, held: DataFrame, nodes: DataFrame, k: int, what, kind: str) -> DataFrame:
+    """node and value, what(set), of each node of the pairs (a, b)."""
+    to = pa.binary() if kind == "binary" else pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sets = [], []
+        for batch in _few(batches):
+            found, values = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = shingle_set(text or "", k)
                 if set_digest(hashes)[0] == node:  # else another row with this doc_id
-                    nodes.append(node)
-                    sets.append(hashes.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+                    found.append(node)
+                    values.append(what(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(values, to)], ["node", "value"])
         tidy()
 
+    firsts = nodes.select(F.col("node").alias("__rl_node"), F.col("least.doc_id").alias("__rl_id"))
     involved = pairs.select(F.col("a").alias("__rl_node")).unionByName(pairs.select(F.col("b").alias("__rl_node"))).distinct()
     involved = cut(firsts.join(involved, "__rl_node"))
     wanted = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
     texts = held.join(wanted, held["doc_id"].eqNullSafe(wanted["__rl_id"])).select("__rl_node", "text")
-    sets = cut(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
+    return texts.mapInArrow(run, f"node long, value {kind}").dropDuplicates(["node"])
+
+
+def _alike(pairs: DataFrame, held: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets of shingles are similar enough.
+
+    held: doc_id and text of the documents; nodes: node, least (with doc_id, a document that has its set), size and
+    parities of the set. Pairs whose parities or counts prove them too different end there.
+    """
+    known = nodes.select("node", "size", "parities")
+    both = pairs.join(known.toDF("a", "na", "pa"), "a").join(known.toDF("b", "nb", "pb"), "b")
+    differ = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    pairs = cut(both.where(differ <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b", "na", "nb"))
+    short = PARITIES  # parities tell less of larger sets: counts come before the sets, which are large
+    long_ = pairs.where(F.col("na") + F.col("nb") > short)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            a, b, na, nb, ca, cb = (batch.column(c) for c in ("a", "b", "na", "nb", "ca", "cb"))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, RANGES).astype(np.int16) for c in (ca, cb))
+            near = np.abs(x - y).sum(axis=1) <= (1 - similarity) / (1 + similarity) * (na.to_numpy() + nb.to_numpy()) + 1e-6
+            yield pa.RecordBatch.from_arrays([pa.array(c.to_numpy()[near]) for c in (a, b)], ["a", "b"])
+
+    told = _of_sets(long_, held, nodes, k, counts, "binary")
+    long_ = long_.join(told.toDF("a", "ca"), "a").join(told.toDF("b", "cb"), "b").mapInArrow(near, "a long, b long")
+    pairs = cut(pairs.where(F.col("na") + F.col("nb") <= short).select("a", "b").unionByName(long_))
+    sets = _of_sets(pairs, held, nodes, k, lambda hashes: hashes.view(np.int64), "array<long>")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _other_side(keyed: DataFrame) -> DataFrame:
-    return keyed.select("__rl_key", F.col("node").alias("b"), F.col("root").alias("root_b"), *(F.col(p).alias(f"m{p}") for p in PARTS))
+def _held_against_smallest(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's smallest node and its others: no more than there are places for each node."""
+    keyed = _keys(nodes).withColumn("m", F.min(F.struct("node", *PARTS)).over(Window.partitionBy("__rl_key"))).where("node <> m.node")
+    return keyed.where(_distance("", "m.") <= MOST).select(F.col("node").alias("a"), F.col("m.node").alias("b")).distinct()
 
 
-def _candidates(joined: DataFrame) -> DataFrame:
-    """a, b of joined members of a bucket that are in different groups and not too far apart."""
-    return joined.where((F.col("root") != F.col("root_b")) & (_distance("", "m") <= MOST)).select(F.col("node").alias("a"), "b").distinct()
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ROWS rows: sets of shingles are as large as the texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
-def _held_against_smallest(nodes: DataFrame) -> DataFrame:
-    """Candidates among each bucket's smallest node and its others: no more than there are places for each node."""
-    keyed = _keys(nodes)
-    least = keyed.groupBy("__rl_key").agg(F.min(F.struct("node", "root", *PARTS)).alias("m"), F.count("*").alias("n")).where("n > 1").select("__rl_key", "m.*")
-    return _candidates(keyed.join(_other_side(least), "__rl_key"))
+def _frequent(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Shingles that many of the sets have, and in how many they are."""
+    found, n = np.unique(np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64), return_counts=True)
+    found, n = found[n >= FREQUENT], n[n >= FREQUENT]
+    most = np.argsort(-n, kind="stable")[:COUNTED]
+    return found[most].view(np.int64).tolist(), n[most].tolist()
+
 
+def prefix_length(size: int, similarity: float) -> int:
+    """How many first shingles of a set hold one of any set with that similarity, whatever the order of shingles."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
-def _held_against_all(nodes: DataFrame) -> DataFrame:
-    """Candidates among all members of each bucket."""
-    keyed = _keys(nodes)
-    return _candidates(keyed.join(_other_side(_keys(nodes)), "__rl_key").where("node < b"))
+
+def _prefixes(held: DataFrame, frequent: np.ndarray, k: int, similarity: float) -> DataFrame:
+    """node, size and __rl_key for each shingle of the prefix of each set: those not frequent first, then by hash.
+
+    frequent: the most frequent shingles, rarest first. A task leaves out sets it has given already.
+    """
+    order = np.argsort(frequent, kind="stable")
+    known, place = frequent[order], order + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
+        for batch in _few(batches):
+            nodes, sizes, keys = [], [], []
+            for text in batch.column(0).to_pylist():
+                hashes = shingle_set(text or "", k)
+                node = set_digest(hashes)[0]
+                if node in given:
+                    continue
+                given.add(node)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    hashes = hashes[np.argsort(np.where(known[at] == hashes, place[at], 0), kind="stable")]
+                nodes.append(node)
+                sizes.append(len(hashes))
+                keys.append(hashes[: prefix_length(len(hashes), similarity)].view(np.int64))
+            if len(given) > GIVEN:
+                given.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "keys"])
+        tidy()
+
+    return held.select("text").mapInArrow(run, "node long, size long, keys array<long>")
+
+
+def _in_other_groups(prefixes: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of all nodes in different groups that have a shingle of their prefixes in common and fit in size.
+
+    linked: node, root of the nodes that are in a group of several.
+    """
+    roots = F.broadcast(linked) if linked.count() <= BROADCAST_IDS else linked
+    keyed = prefixes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.explode("keys").alias("__rl_key"))
+    # most buckets have one node or one group; they end here
+    bucket = Window.partitionBy("__rl_key")
+    keyed = keyed.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low < high")
+    keyed = cut(keyed.select("node", "root", "size", "__rl_key").distinct())
+    other = keyed.select("__rl_key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
+    fits = F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-9
+    return keyed.join(other, "__rl_key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & fits).select(F.col("node").alias("a"), "b").distinct()
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -234,38 +335,41 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
 
     Groups are joined by links between documents whose sets of k-word shingles have a Jaccard similarity of
     `similarity` or more. Documents with equal sets are one from the start; every other link is compared on its two
-    sets. Candidates have CHAIN consecutive equal segments somewhere on the ring of a 256-bit fingerprint and at most
-    MOST differing bits. First every bucket's members are held against the bucket's smallest only, at most one pair for
-    each place of the ring; then all members of a bucket that are still in different groups are held against each
-    other, so no link is given up.
-    Two documents with similarity 0.8 miss each other with a chance near 0.1, with 0.9 below 0.01; members of
-    larger groups have many ways to meet.
+    sets. Most links are found first by SimHash: documents with CHAIN consecutive equal segments somewhere on the ring
+    of a 256-bit fingerprint of their distinct shingles are candidates, each bucket's members held against the bucket's
+    smallest only, at most one pair for each place of the ring, and MOST differing bits. What this leaves in different
+    groups is found by prefix filtering, which misses none: in any one order of all shingles, two sets of the
+    similarity have a shingle in common among the first ones of both, a fifth of each for 0.8.
 
     Rows without doc_id stay only if their group has no doc_id; of repeated rows one stays.
     """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             texts = batch.column("text").to_pylist()
-            prints = np.array([long_fingerprint(t or "", k) for t in texts], dtype=np.uint64).reshape(-1, len(PARTS)).view(np.int64)
-            digests = np.array([set_digest(shingle_set(t or "", k)) for t in texts], dtype=np.int64).reshape(-1, len(SET))
+            sets = [shingle_set(t or "", k) for t in texts]
+            prints = np.array([long_fingerprint(x) for x in sets], dtype=np.uint64).reshape(-1, len(PARTS)).view(np.int64)
+            digests = np.array([set_digest(x) for x in sets], dtype=np.int64).reshape(-1, len(SET))
+            often = [_frequent(sets)] + [None] * (len(texts) - 1) if texts else []  # of the batch, with its first row
             columns = [*(pa.array(digests[:, i]) for i in range(len(SET))), *(pa.array(prints[:, i]) for i in range(len(PARTS)))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *SET, *PARTS])
+            columns += [pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))]
+            columns += [pa.array([x and x[i] for x in often], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *SET, *PARTS, "size", "parities", "often", "n"])
         tidy()
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(held.mapInArrow(run, "doc_id long, " + ", ".join(f"{p} long" for p in (*SET, *PARTS))))
+    prints = cut(held.mapInArrow(run, "doc_id long, " + ", ".join(f"{p} long" for p in (*SET, *PARTS)) + ", size long, parities array<long>, often array<long>, n array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
     # texts with equal sets may differ in how often a shingle comes: the fingerprint of the smallest stands for all
-    nodes = cut(prints.groupBy(*SET).agg(F.min(F.struct(order.alias("least"), *PARTS)).alias("m")).select(F.col(SET[0]).alias("node"), "m.*"))
-    # of the texts, only the first of each node is needed, and only where a candidate must be looked at
-    firsts = nodes.select(F.col("node").alias("__rl_node"), F.col("least.doc_id").alias("__rl_id"))
-    apart = nodes.select("node", *PARTS, F.col("node").alias("root"))
-    links_1 = cut(_alike(cut(_held_against_smallest(apart)), held, firsts, k, similarity))
-    # what is still in different groups: all members of a bucket
-    grouped = cut(apart.drop("root").join(components(links_1), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    final = components(links_1.unionByName(_alike(cut(_held_against_all(grouped)), held, firsts, k, similarity)))
+    nodes = cut(prints.groupBy(*SET).agg(F.min(F.struct(order.alias("least"), *PARTS, "size", "parities")).alias("m")).select(F.col(SET[0]).alias("node"), "m.*"))
+    links_1 = cut(_alike(_held_against_smallest(nodes.select("node", *PARTS)), held, nodes, k, similarity))
+    often = prints.where("often is not null").select(F.explode(F.arrays_zip("often", "n")).alias("x")).groupBy("x.often").agg(F.sum("x.n").alias("n"))
+    often = often.orderBy(F.desc("n"), "often").limit(ORDERED).collect()
+    frequent = np.array([r["often"] for r in reversed(often)], dtype=np.int64).view(np.uint64)
+    linked = components(links_1)
+    rest = _in_other_groups(_prefixes(held, frequent, k, similarity), linked, similarity)
+    final = components(links_1.unionByName(_alike(rest, held, nodes, k, similarity)))
     winners = nodes.join(final, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("least", "node")).alias("w"))
     winners = cut(winners.select(F.col("w.node").alias("__rl_node"), F.col("w.least.doc_id").alias("__rl_id")))
     # several rows with a winner's doc_id: that with the winner's set

@@ -65,3 +65,33 @@ def test_keep_one_keeps_texts_that_share_a_repeated_line(spark):
     texts = [" ".join(line * 40 + [f"w{rng.randrange(10**6)}" for _ in range(100)]) for _ in range(16)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert keep_one(df).count() == 16
+
+
+def test_keep_one_misses_no_pair_of_the_similarity(spark):
+    rng = random.Random(7)
+    rows = []
+    for pair in range(150):
+        text = [f"p{pair}w{rng.randrange(10**6)}" for _ in range(300)]
+        copy = [*text]
+        for at in rng.sample(range(10, 290), 6):  # up to 30 of 296 shingles: a similarity of 0.81 and more
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * pair, " ".join(text)), (2 * pair + 1, " ".join(copy))]
+    line = " ".join(f"hot{i}" for i in range(12))
+    rows = [(i, f"{t} {line}") for i, t in rows]
+    once = " ".join(f"o{i}" for i in range(60))
+    rows += [(1000, once), (1001, once + " " + " ".join([*once.split()[10:18]] * 30))]  # differ in how often a passage comes
+    sets = [grams(t) for _, t in rows]
+    linked = [(a, a + 1) for a in range(0, len(rows), 2) if len(sets[a] & sets[a + 1]) >= 0.8 * len(sets[a] | sets[a + 1])]
+    want = {rows[r][0] for r in set(components_of(range(len(rows)), linked).values())}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert len(linked) >= 150 and {r.doc_id for r in keep_one(df).collect()} == want
+
+
+def test_long_texts_that_share_a_part_are_compared(spark):
+    rng = random.Random(8)
+    part = [f"s{i}" for i in range(300)]
+    base = [f"b{rng.randrange(10**7)}" for _ in range(4000)]
+    texts = [part + [f"d{d}w{rng.randrange(10**7)}" for _ in range(3000)] for d in range(6)] + [base, base[:3300], base[:3100]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    # 3296 of 3996 shingles are 0.82; 3096 of 3996 are 0.77, but 0.94 of the second's
+    assert sorted(r.doc_id for r in keep_one(df).collect()) == [0, 1, 2, 3, 4, 5, 6]
