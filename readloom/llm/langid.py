@@ -1,15 +1,17 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A text's words (runs of letters) are a chain; each has a language. Scores of a word for a language come from hashed
-features: the word in a lexicon of words seen often in training, prefixes and suffixes (2 to 4 letters with the
-boundary), character trigrams. Transition weights between languages are learned with them, by gradient ascent on the
+A text's words (runs of letters) are a chain; each has a language. A run of more than PIECE letters, as in scripts
+without spaces, is several elements of the chain that together hold all its trigrams. Scores of an element for a
+language come from hashed features: the word in a lexicon of words seen often in training, the word's first and last
+1, 3 and 4 letters with the boundary, character trigrams. Transition weights between languages are learned with them, by gradient ascent on the
 likelihood, from code-switched sequences that are spliced from labelled texts. Labelling is by forward-backward over
 the whole text; a document's language is the one with the highest mean marginal, which is its score.
 
 Forward-backward runs on all words of a batch at a time: chunks of words give transfer matrices, a short scan over
 each text's chunks gives the messages that enter them, and a second pass fills the chunks. This is exact.
 
-Learning uses a bounded sample of the rows allowed: about `sample` documents by hash, evenly over the languages.
+Learning uses a bounded sample of the rows allowed: about `sample` documents by hash, evenly over the languages, and of
+their texts `sequences` sequences of `length` words. Labelling reads every word of every text to its end.
 
 Defined cases: a null text or one without a letter is `und` with score 0; rows with null doc_id are labelled and held
 out; without labelled rows everything is `und`; repeated rows are labelled each; ties go to the first language in
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -35,16 +37,30 @@ from readloom.llm.common import table, tidy, unit
 SAMPLE = 2_400
 BUCKETS = 1 << 16
 CHUNK = 32
+#: Letters of a run that are one element of a chain.
+PIECE = 40
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words of a batch that are labelled at a time.
 AT_ONCE = 1 << 18
 
 
+def elements(text: str) -> list[str]:
+    """The chain of a text: its words in lower case; of a long run its pieces, each with two letters of the next."""
+    words = WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    out = []
+    for word in words:
+        w = f"^{word}$"
+        out += [word] if len(word) <= PIECE else [f"+{w[at : at + PIECE + 2]}" for at in range(0, len(w) - 2, PIECE)]
+    return out
+
+
 def features_of(word: str, lexicon: frozenset[str] | dict) -> list[int]:
-    """Hashed features of a word in lower case."""
-    w = f"^{word[:40]}$"
+    """Hashed features of an element of a chain; ^ and $ stand for a word's ends."""
+    w = word[1:] if word[0] == "+" else f"^{word}$"
     found = [w[i : i + 3] for i in range(len(w) - 2)]
-    found += [f"p{w[:n]}" for n in (2, 4, 5) if len(w) > n] + [f"s{w[-n:]}" for n in (2, 4, 5) if len(w) > n]
+    found += [f"p{w[:n]}" for n in (2, 4, 5) if len(w) > n and w[0] == "^"] + [f"s{w[-n:]}" for n in (2, 4, 5) if len(w) > n and w[-1] == "$"]
     if word in lexicon:
         found.append(f"l{word}")
     return [zlib.crc32(f.encode()) % BUCKETS for f in found]
@@ -76,7 +92,7 @@ def learn(texts: list[str], langs: list[str], steps: int = 60, seed: int = 0, le
     """A model from labelled texts: sequences of `length` words, each spliced from one to three windows of texts."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(langs))
-    words = [WORD.findall(t.lower()) for t in texts]
+    words = [elements(t) for t in texts]
     usable = [i for i, w in enumerate(words) if w]
     if not usable:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), [])
@@ -202,7 +218,7 @@ class Labeller:
                 some.clear()
 
         for i, text in enumerate(texts):
-            if text and (w := WORD.findall(text.lower())):
+            if text and (w := elements(text)):
                 some.append((i, w))
                 size += len(w)
                 if size > AT_ONCE:
@@ -225,7 +241,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     limit = F.lit(0.0)
     for r in sizes:
         limit = F.when(F.col("lang") == r["lang"], float(sample) / len(sizes) / r["count"]).otherwise(limit)
-    found = allowed.where(unit(13, "doc_id") < limit).select("text", "lang").toPandas().sort_values(["lang", "text"])
+    # a doc_id on very many rows may not fill the sample: at most half as many again as expected
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text")))
+    chosen = allowed.where(unit(13, "doc_id") < limit).withColumn("__rl_place", place).where(F.col("__rl_place") <= max(1, 3 * sample // (2 * len(sizes))))
+    found = chosen.select("text", "lang").toPandas().sort_values(["lang", "text"])
     return learn(found["text"].tolist(), found["lang"].tolist())
 
 

@@ -56,3 +56,41 @@ def test_languages(spark):
 
 def test_model_without_rows():
     assert Labeller(learn([], [])).label(["x"]) == [("und", 0.0)] and isinstance(learn([], []), Model)
+
+
+def test_forward_backward_against_all_paths(model):
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5):
+        e, t = rng.uniform(0.1, 2, (1, n, 3)), rng.uniform(0.1, 2, (3, 3))
+        want, total = np.zeros((n, 3)), 0.0
+        for path in np.ndindex(*[3] * n):
+            p = np.prod([e[0, i, x] for i, x in enumerate(path)]) * np.prod([t[x, y] for x, y in zip(path, path[1:], strict=False)])
+            total += p
+            for i, x in enumerate(path):
+                want[i, x] += p
+        got, _, norm = langid._forward_backward(e, t)
+        assert np.allclose(got[0], want / total) and np.isclose(norm[0], np.log(total))
+
+
+def test_long_runs_are_read_to_their_end(model):
+    head = "x" * 60
+    a, b = (langid.elements(head + end) for end in ("schaft", "eaueau"))
+    assert a[0] == b[0] and a[-1] != b[-1]
+    run = "abcdefghij" * 13
+    parts = langid.elements(run)
+    grams = {w[i : i + 3] for w in [f"^{run}$"] for i in range(len(w) - 2)}
+    assert grams == {p[1:][i : i + 3] for p in parts for i in range(len(p) - 3)} and all(len(p) <= langid.PIECE + 3 for p in parts)
+    assert sum(p[-1] == "$" for p in parts) == 1 and sum(p[1] == "^" for p in parts) == 1
+    rng, labeller = random.Random(9), Labeller(model)
+    joined = {x: "".join(rng.choices(STEMS[x], k=400)) for x in ("de", "fr")}
+    found = labeller.label([joined["de"], joined["fr"], joined["de"][:45] + joined["fr"]])
+    assert [x for x, _ in found] == ["de", "fr", "fr"]
+
+
+def test_ties_and_one_doc_id_on_all_rows(spark):
+    even = Model(["aa", "bb"], np.zeros((langid.BUCKETS, 2), dtype=np.float32), np.zeros((2, 2)), [])
+    assert Labeller(even).label(["some words here"]) == [("aa", 0.5)]
+    rows = [(1, f"der schaft ung {i}", "de") for i in range(300)] + [(1, f"the house ing {i}", "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert df.where(~langid.held_out()).count() == 600
+    assert len(languages(df, sample=40).collect()) == 600
