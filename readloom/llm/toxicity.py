@@ -7,7 +7,7 @@ neutral mention of a group does not raise the score. Learning uses a bounded sam
 `per_class` of each label by hash, weighted back to the true shares. Scoring reads every whole text, once.
 
 Defined cases: a null or empty text gets the score of no features; labels whose doc_id is null, whose `toxic` is null
-or that have no document teach nothing, a document with several labels counts as toxic if one says so; a row with
+or that have no document teach nothing, a document with several labels counts as toxic if one says so, a doc_id on several rows teaches its smallest text; a row with
 null doc_id is scored and held out; without any usable labels every score is 0; repeated rows are scored each; an empty
 table gives no rows; other columns are ignored.
 """
@@ -159,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, counterf
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__rl_toxic")).where(~held_out())
     sizes = {r[0]: r[1] for r in known.groupBy(F.col("__rl_toxic") == 1).count().collect()}
     limit = F.when(F.col("__rl_toxic") == 1, per_class / max(sizes.get(True, 0), 1)).otherwise(per_class / max(sizes.get(False, 0), 1))
-    chosen = known.where(unit(11, "doc_id") < limit)  # about 2 * per_class rows: small enough to broadcast
+    u = unit(11, "doc_id")
+    chosen = known.where(u < limit).orderBy(u, "doc_id").limit(4 * per_class)  # about 2 * per_class rows of three columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, counterf
             ], ["toxic", "features", "swapped"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    found: pd.DataFrame = texts.join(F.broadcast(chosen), "doc_id").select("text", F.col("__rl_toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, features binary, swapped binary").toPandas()
+    # a doc_id on several rows teaches once, with the smallest text
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max(F.col("__rl_toxic").cast("int")).alias("toxic"))
+    found: pd.DataFrame = sample.select("text", "toxic").mapInArrow(run, "toxic int, features binary, swapped binary").toPandas()
     found = found.sort_values(["toxic", "features"], kind="stable")
     array = lambda b: None if b is None else np.frombuffer(b, dtype=np.uint32)
     y = (found["toxic"] == 1).to_numpy().astype(np.float64)

@@ -57,3 +57,11 @@ def test_without_labels_or_rows(spark):
     d, y = frames(spark, docs, labels)
     assert {r.score for r in toxicity(d, y.limit(0)).collect()} == {0.0}
     assert toxicity(d.limit(0), y).count() == 0
+
+
+def test_a_doc_id_on_very_many_rows_teaches_once(spark):
+    docs, labels = corpus(60)
+    hot = next(i for i, *_ in docs if zlib.crc32(str(i).encode()) % 3 != 1)
+    d, y = frames(spark, docs + [(hot, f"word{i}", "x") for i in range(2000)], labels * 5)
+    rows = fit(d, y), fit(*frames(spark, docs + [(hot, "word0", "x")], labels))
+    assert rows[0] == rows[1]
