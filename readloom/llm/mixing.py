@@ -7,7 +7,8 @@ is a global shuffle. Only DataFrame functions run on this path.
 
 Defined cases: a null source is a source of its own (`null_weight`); null and empty texts have size 1 so that their
 source has a rate; a source without a positive weight is left out on purpose; rows with equal doc_id and source
-get the same count; an empty table gives no rows; further columns are carried through untouched.
+get the same count; an empty table gives no rows; further columns are carried through untouched, unless they have a
+name of the two added columns (`added`).
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import cut, table, unit
 
-#: Sources up to which the table of rates is broadcast; beyond it the rates are joined by a shuffle.
-BROADCAST_SOURCES = 20_000
+#: Sources and numbers of their distributions (8 MB) up to which these are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_SOURCES, BROADCAST_STEPS = 20_000, 1 << 20
 #: A higher mean rate is drawn as a sum of rates up to this one, if `any_rate`, and refused otherwise: the array of the
 #: distribution has about as many elements.
 MAX_RATE = 10_000.0
@@ -62,42 +63,44 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
     return sizes.where("__rl_weight > 0").select("__rl_key", rate.alias("__rl_rate"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, null_weight: float = 1.0, epochs: float = 1.0, seed: int = 42, any_rate: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, null_weight: float = 1.0, epochs: float = 1.0, seed: int = 42, any_rate: bool = False, added: tuple[str, str] = ("copy", "mix_key")) -> DataFrame:
     """docs replicated so that the characters of each source follow its weight, in a global random order.
 
     weights: a positive number for each named source, `default_weight` for others; epochs: expected size of the
     output as a multiple of the input; any_rate: a mean of more than MAX_RATE copies is drawn, not refused, as the sum of
-    equal draws of at most MAX_RATE with a uniform number each, which has the same distribution. Returns the columns of docs with `copy` (from 0) and `mix_key` (the hash it is
-    shuffled by; partitions are dealt and sorted by it). `copy` is a long where a source has a mean of 2 ** 30 or more.
+    equal draws of at most MAX_RATE with a uniform number each, which has the same distribution. Returns the columns of
+    docs with `copy` (from 0) and `mix_key` (the hash it is shuffled by; partitions are dealt and sorted by it), or as
+    `added` names them. `copy` is a long where a source has a mean of 2 ** 30 or more.
     """
     spark = docs.sparkSession
     rates = source_rates(docs, weights, default_weight, null_weight, epochs)
-    n, top = rates.agg(F.count("*"), F.max("__rl_rate")).first()
-    top = top or 0.0
-    if top > MAX_RATE and not any_rate:
-        raise ValueError(f"a source needs more than {MAX_RATE:g} copies of each document")
-    if n <= BROADCAST_SOURCES:
-        rates = spark.createDataFrame([tuple(r) for r in rates.collect()], "__rl_key string, __rl_rate double")
     rates = rates.withColumn("__rl_draws", F.greatest(F.ceil(F.col("__rl_rate") / MAX_RATE), F.lit(1)).cast("long"))
     mean = F.col("__rl_rate") / F.col("__rl_draws")
     steps = F.ceil(mean + 14 * F.sqrt(mean) + 40).cast("int")  # beyond it P(N > n) is below 2 ** -52
+    n, top, numbers = rates.agg(F.count("*"), F.max("__rl_rate"), F.sum(steps)).first()
+    top = top or 0.0
+    if top > MAX_RATE and not any_rate:
+        raise ValueError(f"a source needs more than {MAX_RATE:g} copies of each document")
+    small = n <= BROADCAST_SOURCES and (numbers or 0) <= BROADCAST_STEPS
+    if small:
+        rates = spark.createDataFrame([tuple(r) for r in rates.collect()], "__rl_key string, __rl_rate double, __rl_draws long")
     rates = rates.withColumn("__rl_cdf", poisson_cdf(mean, steps))
-    rates = F.broadcast(rates) if n <= BROADCAST_SOURCES else rates
+    rates = F.broadcast(rates) if small else rates
     held = docs.withColumn("__rl_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("__rl_u", unit(seed, "doc_id"))
     below = lambda u: F.size(F.filter("__rl_cdf", lambda c: c <= u))
     out = held.join(rates, "__rl_key")
     if top <= MAX_RATE:
-        out = out.withColumn("__rl_n", below(F.col("__rl_u"))).where("__rl_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__rl_n") - 1)))
+        out = out.withColumn("__rl_n", below(F.col("__rl_u"))).where("__rl_n > 0").withColumn("__rl_copy", F.explode(F.sequence(F.lit(0), F.col("__rl_n") - 1)))
     else:  # a row for each draw, then one for each of its copies; its first number is the sum of the draws before
         further = lambda i: F.when(i == 0, F.col("__rl_u")).otherwise(unit(seed, "doc_id", F.lit("draw"), i))
         counts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__rl_draws") - 1), lambda i: below(further(i)).cast("long"))
         out = out.withColumn("__rl_draw", F.explode(_from_to(counts))).where("__rl_draw.n > 0")
         copy = F.explode(F.sequence(F.col("__rl_draw.first"), F.col("__rl_draw.first") + F.col("__rl_draw.n") - 1))
-        out = out.withColumn("copy", copy)
-        out = out.withColumn("copy", F.col("copy").cast("int")) if top < 1 << 30 else out
-    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary")))
-    names = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    return out.select(*names, "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+        out = out.withColumn("__rl_copy", copy)
+        out = out.withColumn("__rl_copy", F.col("__rl_copy").cast("int")) if top < 1 << 30 else out
+    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("__rl_copy").cast("string")).cast("binary"))
+    out = out.select(*(F.col(c) for c in docs.columns if c not in added), F.col("__rl_copy").alias(added[0]), key.alias(added[1]))
+    return out.repartition(added[1]).sortWithinPartitions(added[1])
 
 
 #: Production mixture: the largest source is held down, curated ones are raised, all others have weight 1.

@@ -92,3 +92,19 @@ def test_sums_of_draws_are_poisson(spark, monkeypatch):
         assert len(n) == 100 and abs(mean - 20) < 2.5 and 10 < var < 36
         with pytest.raises(ValueError):
             mix_sources(df, {"hot": 1.0, "rare": 1.0})
+
+
+def test_very_many_sources_and_one_high_rate(spark):
+    df = spark.range(25_000).selectExpr("id as doc_id", "repeat('t', 400) as text", "cast(id as string) as source").unionByName(spark.sql("SELECT 30000L AS doc_id, 't' AS text, 'rare' AS source"))
+    n = {r.doc_id: r["count"] for r in mix_sources(df, {"rare": 30.0}, any_rate=True).groupBy("doc_id").count().collect()}
+    size, weight = 25_000 * 400 + 1, 25_030
+    rate = 30 / weight * size
+    assert rate > 10_000 and abs(n.pop(30_000) - rate) < 6 * math.sqrt(rate)
+    want = {i: c for i in range(25_000) if (c := count(i, size / weight / 400))}
+    assert n == want
+
+
+def test_added_columns_may_be_named(spark):
+    df = spark.createDataFrame([(i, "text", "s", f"c{i}") for i in range(50)], "doc_id long, text string, source string, copy string")
+    out = mix_sources(df, {"s": 1.0}, added=("nth", "place"))
+    assert out.columns == [*df.columns, "nth", "place"] and all(r.copy == f"c{r.doc_id}" for r in out.collect())
