@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from readloom.llm.common import cut, table, tidy
 from readloom.llm.components import components
@@ -125,21 +126,22 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 #: Bits of the long fingerprint, of a segment, and how many consecutive segments make a key.
 LONG, SEGMENT, CHAIN = 256, 8, 2
-#: Beyond MOST differing bits documents are no candidates.
+#: Beyond MOST differing bits documents are no candidates by their fingerprints.
 MOST = 56
-#: A shingle in FREQUENT of ROWS documents is counted, at most COUNTED of them; the ORDERED most frequent of all
-#: come last in the order of shingles. Any one order finds every pair; this one keeps common lines out of the buckets.
-FREQUENT, COUNTED, ORDERED = 4, 4096, 100_000
-#: Ids up to which the documents to look at are found by a broadcast; beyond it, by a shuffle.
-BROADCAST_IDS = 200_000
-#: Rows whose sets of shingles are held at a time; sets a task remembers to give each once.
-ROWS, GIVEN = 1024, 200_000
+#: Chains of hashes that a document is looked up by, see chains().
+CHAINS = 32
+#: In a bucket of at most so many documents each is held against each, in a larger one against its hub.
+SMALL = 16
+#: Ids up to which a list of them is broadcast (16 MB); beyond it the join is a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Rows whose sets of shingles are held at a time.
+ROWS = 1024
 PARTS = [f"__rl_f{i}" for i in range(LONG // 64)]
 #: Bits of a set's parities, see parities().
 PARITIES = 1024
 #: Ranges of the hashes in which the members of long sets are counted, see counts().
 RANGES = 2048
-#: The 128-bit digest of a document's set of shingles; the first half names the node.
+#: The 128-bit digest of a document's set of shingles.
 SET = ["__rl_s0", "__rl_s1"]
 
 
@@ -169,6 +171,37 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
+def chain_lengths(n: int, similarity: float) -> list[int]:
+    """Lengths of the chains of a set of n: for each size u a union with a similar set may have, the length that is sure.
+
+    At most d = (1 - similarity) * u of the u hashes are not in both sets, so some (u - d) / (d + 1) consecutive ones,
+    rounded up, are in both. Longer chains than most large unions are sure of would be kept apart by chance.
+    """
+    usual = max(1, math.ceil(similarity / max(1 - similarity, 1e-9) - 1e-9))
+    sure = set()
+    for u in range(n, min(int(n / similarity + 1e-9), n + 64) + 1):
+        d = int((1 - similarity) * u + 1e-9)
+        sure.add(min(usual, -(-(u - d) // (d + 1)), n))
+    return sorted(sure - {0}) if n < 64 else [usual]
+
+
+def chains(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """At most CHAINS keys of a set: digests of runs of consecutive hashes, in ascending order, the smallest digests.
+
+    All runs are keys where there are no more than CHAINS. Of a larger set's runs about two fifths are also runs of a
+    set with a similarity of 0.8; that none of them is among both sets' smallest CHAINS has a probability of 0.58 ** 32.
+    """
+    found = []
+    for length in chain_lengths(len(hashes), similarity):
+        n = len(hashes) - length + 1
+        key = np.full(n, length, dtype=np.uint64)
+        for j in range(length):
+            key = (key ^ key >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
+        key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        found.append(np.sort(key ^ key >> np.uint64(32))[:CHAINS])
+    return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+
+
 def _distance(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in PARTS), F.lit(0))
 
@@ -204,6 +237,11 @@ def counts(hashes: np.ndarray) -> bytes:
     return np.minimum(found, 255).astype(np.uint8).tobytes()
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """rows of ids, to be broadcast where there are at most BROADCAST_IDS of them."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def _of_sets(pairs: DataFrame, held: DataFrame, nodes: DataFrame, k: int, what, kind: str) -> DataFrame:
     """node and value, what(set), of each node of the pairs (a, b)."""
     to = pa.binary() if kind == "binary" else pa.list_(pa.int64())
@@ -211,27 +249,26 @@ def _of_sets(pairs: DataFrame, held: DataFrame, nodes: DataFrame, k: int, what,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
             found, values = [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for node, *digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes = shingle_set(text or "", k)
-                if set_digest(hashes)[0] == node:  # else another row with this doc_id
+                if set_digest(hashes) == digest:  # else another row with this doc_id
                     found.append(node)
                     values.append(what(hashes))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(values, to)], ["node", "value"])
         tidy()
 
-    firsts = nodes.select(F.col("node").alias("__rl_node"), F.col("least.doc_id").alias("__rl_id"))
+    firsts = nodes.select(F.col("node").alias("__rl_node"), F.col("least.doc_id").alias("__rl_id"), *SET)
     involved = pairs.select(F.col("a").alias("__rl_node")).unionByName(pairs.select(F.col("b").alias("__rl_node"))).distinct()
-    involved = cut(firsts.join(involved, "__rl_node"))
-    wanted = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
-    texts = held.join(wanted, held["doc_id"].eqNullSafe(wanted["__rl_id"])).select("__rl_node", "text")
+    wanted = _small(cut(firsts.join(involved, "__rl_node")))
+    texts = held.join(wanted, held["doc_id"].eqNullSafe(wanted["__rl_id"])).select("__rl_node", *SET, "text")
     return texts.mapInArrow(run, f"node long, value {kind}").dropDuplicates(["node"])
 
 
 def _alike(pairs: DataFrame, held: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets of shingles are similar enough.
 
-    held: doc_id and text of the documents; nodes: node, least (with doc_id, a document that has its set), size and
-    parities of the set. Pairs whose parities or counts prove them too different end there.
+    held: doc_id and text of the documents; nodes: node, least (with doc_id, a document that has its set), SET, size
+    and parities of the set. Pairs whose parities or counts prove them too different end there.
     """
     known = nodes.select("node", "size", "parities")
     both = pairs.join(known.toDF("a", "na", "pa"), "a").join(known.toDF("b", "nb", "pb"), "b")
@@ -269,65 +306,45 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def _frequent(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Shingles that many of the sets have, and in how many they are."""
-    found, n = np.unique(np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64), return_counts=True)
-    found, n = found[n >= FREQUENT], n[n >= FREQUENT]
-    most = np.argsort(-n, kind="stable")[:COUNTED]
-    return found[most].view(np.int64).tolist(), n[most].tolist()
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes with the root of each one's group; a node without a link is its own."""
+    return nodes.join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def prefix_length(size: int, similarity: float) -> int:
-    """How many first shingles of a set hold one of any set with that similarity, whatever the order of shingles."""
-    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+def _in_several_groups(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, size, root and __rl_key of the chains that nodes of several groups have in common; fame, see _to_compare()."""
+    rows = _rooted(nodes.select("node", "size", "chains"), roots).select("node", "size", "root", F.explode("chains").alias("__rl_key"))
+    # partial sums take care of keys that many have; most keys have one group and end here
+    told = rows.groupBy("__rl_key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("__rl_key", "n")
+    rows = cut(rows.join(_small(cut(told)), "__rl_key"))
+    return cut(rows.join(rows.groupBy("node").agg(F.sum("n").alias("fame")), "node").drop("n"))
 
 
-def _prefixes(held: DataFrame, frequent: np.ndarray, k: int, similarity: float) -> DataFrame:
-    """node, size and __rl_key for each shingle of the prefix of each set: those not frequent first, then by hash.
+def _to_compare(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes in different groups that have a chain in common and fit in size.
 
-    frequent: the most frequent shingles, rarest first. A task leaves out sets it has given already.
+    All such pairs of a chain that at most SMALL rows have. In a larger one every node is held against one, its hub:
+    that whose chains the most nodes have, which is the text that the others vary. So there are no more than SMALL
+    pairs for each row. Similar nodes share a dozen chains, of which few are common: those of what only the two have
+    in common bring them together where a hub doesn't.
     """
-    order = np.argsort(frequent, kind="stable")
-    known, place = frequent[order], order + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[int] = set()
-        for batch in _few(batches):
-            nodes, sizes, keys = [], [], []
-            for text in batch.column(0).to_pylist():
-                hashes = shingle_set(text or "", k)
-                node = set_digest(hashes)[0]
-                if node in given:
-                    continue
-                given.add(node)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    hashes = hashes[np.argsort(np.where(known[at] == hashes, place[at], 0), kind="stable")]
-                nodes.append(node)
-                sizes.append(len(hashes))
-                keys.append(hashes[: prefix_length(len(hashes), similarity)].view(np.int64))
-            if len(given) > GIVEN:
-                given.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "keys"])
-        tidy()
+    fits = F.least("size", "o.size") >= similarity * F.greatest("size", "o.size") - 1e-9
+    hub = F.max(F.struct("fame", "node", "root", "size")).alias("o")
+    told = rows.groupBy("__rl_key").agg(F.count("*").alias("n"), F.min("root").alias("lowest"), F.max("root").alias("highest"), hub).where("lowest < highest").drop("lowest", "highest")
+    held = rows.join(_small(cut(told)), "__rl_key").where((F.col("n") <= SMALL) | (F.col("root") != F.col("o.root")) & fits)
+    pair = [F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")]
+    large = held.where(F.col("n") > SMALL).select(*pair)
+    members = held.where(F.col("n") <= SMALL).groupBy("__rl_key").agg(F.collect_list(F.struct("node", "root", "size")).alias("all"))
+    two = members.select("all", F.explode("all").alias("x")).select("x.*", F.explode("all").alias("o")).where((F.col("node") < F.col("o.node")) & (F.col("root") != F.col("o.root")) & fits)
+    return large.unionByName(two.select(*pair)).distinct()
 
-    return held.select("text").mapInArrow(run, "node long, size long, keys array<long>")
 
-
-def _in_other_groups(prefixes: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of all nodes in different groups that have a shingle of their prefixes in common and fit in size.
-
-    linked: node, root of the nodes that are in a group of several.
-    """
-    roots = F.broadcast(linked) if linked.count() <= BROADCAST_IDS else linked
-    keyed = prefixes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.explode("keys").alias("__rl_key"))
-    # most buckets have one node or one group; they end here
-    bucket = Window.partitionBy("__rl_key")
-    keyed = keyed.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low < high")
-    keyed = cut(keyed.select("node", "root", "size", "__rl_key").distinct())
-    other = keyed.select("__rl_key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-    fits = F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-9
-    return keyed.join(other, "__rl_key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & fits).select(F.col("node").alias("a"), "b").distinct()
+def _all_links(nodes: DataFrame, held: DataFrame, k: int, similarity: float) -> DataFrame:
+    """node, root of every node that is joined to another by links."""
+    links = cut(_alike(_held_against_smallest(nodes.select("node", *PARTS)), held, nodes, k, similarity))
+    roots = components(links)
+    pairs = cut(_to_compare(_in_several_groups(nodes, roots), similarity))
+    return components(links.unionByName(_alike(pairs, held, nodes, k, similarity)))
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -335,58 +352,61 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
 
     Groups are joined by links between documents whose sets of k-word shingles have a Jaccard similarity of
     `similarity` or more. Documents with equal sets are one from the start; every other link is compared on its two
-    sets. Most links are found first by SimHash: documents with CHAIN consecutive equal segments somewhere on the ring
-    of a 256-bit fingerprint of their distinct shingles are candidates, each bucket's members held against the bucket's
-    smallest only, at most one pair for each place of the ring, and MOST differing bits. What this leaves in different
-    groups is found by prefix filtering, which misses none: in any one order of all shingles, two sets of the
-    similarity have a shingle in common among the first ones of both, a fifth of each for 0.8.
+    sets. Most links are found by SimHash: documents with CHAIN consecutive equal segments somewhere on the ring of a
+    256-bit fingerprint of their distinct shingles, and at most MOST differing bits, are candidates; each bucket's
+    members are held against the bucket's smallest. What this leaves in different groups is looked up by chains of
+    consecutive hashes of the set itself, see chains(): similar sets agree on a dozen of them.
 
-    Rows without doc_id stay only if their group has no doc_id; of repeated rows one stays.
+    No step makes more than CHAINS * SMALL rows for each document.
+
+    Null and empty texts are alike; rows without doc_id stay only if their group has no doc_id; of repeated rows one
+    stays; an empty table gives no rows.
     """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
-            texts = batch.column("text").to_pylist()
-            sets = [shingle_set(t or "", k) for t in texts]
+            sets = [shingle_set(t or "", k) for t in batch.column("text").to_pylist()]
             prints = np.array([long_fingerprint(x) for x in sets], dtype=np.uint64).reshape(-1, len(PARTS)).view(np.int64)
             digests = np.array([set_digest(x) for x in sets], dtype=np.int64).reshape(-1, len(SET))
-            often = [_frequent(sets)] + [None] * (len(texts) - 1) if texts else []  # of the batch, with its first row
-            columns = [*(pa.array(digests[:, i]) for i in range(len(SET))), *(pa.array(prints[:, i]) for i in range(len(PARTS)))]
-            columns += [pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))]
-            columns += [pa.array([x and x[i] for x in often], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *SET, *PARTS, "size", "parities", "often", "n"])
+            columns = [*(pa.array(digests[:, i]) for i in range(len(SET))), *(pa.array(prints[:, i]) for i in range(len(PARTS))), pa.array([len(x) for x in sets], pa.int64())]
+            columns += [pa.array([parities(x) for x in sets], pa.list_(pa.int64())), pa.array([chains(x, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *SET, *PARTS, "size", "parities", "chains"])
         tidy()
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(held.mapInArrow(run, "doc_id long, " + ", ".join(f"{p} long" for p in (*SET, *PARTS)) + ", size long, parities array<long>, often array<long>, n array<long>"))
+    prints = cut(held.mapInArrow(run, "doc_id long, " + ", ".join(f"{p} long" for p in (*SET, *PARTS)) + ", size long, parities array<long>, chains array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
-    # texts with equal sets may differ in how often a shingle comes: the fingerprint of the smallest stands for all
-    nodes = cut(prints.groupBy(*SET).agg(F.min(F.struct(order.alias("least"), *PARTS, "size", "parities")).alias("m")).select(F.col(SET[0]).alias("node"), "m.*"))
-    links_1 = cut(_alike(_held_against_smallest(nodes.select("node", *PARTS)), held, nodes, k, similarity))
-    often = prints.where("often is not null").select(F.explode(F.arrays_zip("often", "n")).alias("x")).groupBy("x.often").agg(F.sum("x.n").alias("n"))
-    often = often.orderBy(F.desc("n"), "often").limit(ORDERED).collect()
-    frequent = np.array([r["often"] for r in reversed(often)], dtype=np.int64).view(np.uint64)
-    linked = components(links_1)
-    rest = _in_other_groups(_prefixes(held, frequent, k, similarity), linked, similarity)
-    final = components(links_1.unionByName(_alike(rest, held, nodes, k, similarity)))
-    winners = nodes.join(final, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("least", "node")).alias("w"))
-    winners = cut(winners.select(F.col("w.node").alias("__rl_node"), F.col("w.least.doc_id").alias("__rl_id")))
-    # several rows with a winner's doc_id: that with the winner's set
-    ids = prints.join(winners, prints["doc_id"].eqNullSafe(winners["__rl_id"]) & (prints[SET[0]] == winners["__rl_node"])).select("__rl_id", "__rl_node").distinct()
-    chosen = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__rl_id"]))
-    repeated = prints.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:  # only then the row itself must tell which of its doc_id's rows it is
-        chosen = _matching(chosen, k)
-    return chosen.select(*names)
-
-
-def _matching(chosen: DataFrame, k: int) -> DataFrame:
-    """Of rows joined with a winner by doc_id, one whose text has the winner's set."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("long")
-    def node_of(texts):
-        return texts.map(lambda t: set_digest(shingle_set(t or "", k))[0])
-
-    return chosen.where(node_of(F.col("text").cast("string")) == F.col("__rl_node")).dropDuplicates(["__rl_id", "__rl_node"])
+    # what depends on the set alone is the same in all rows of a group
+    nodes = prints.groupBy(*SET).agg(F.min(order).alias("least"), *(F.first(c).alias(c) for c in (*PARTS, "size", "parities", "chains")), F.count("*").alias("copies"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    rooted = cut(_rooted(nodes.select("node", "least", *SET, "copies"), _all_links(nodes, held, k, similarity)))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("least", *SET)).alias("w"), F.sum("copies").alias("copies"))
+    # rows to leave out: all of a group but one; only groups of several are looked at
+    of_several = rooted.join(kept.where("copies > 1").select("root", F.col("w.least.doc_id").alias("__rl_id")), "root").select(*SET, "__rl_id")
+    out = prints.select("doc_id", *SET).join(_small(cut(of_several)), SET).where(~F.col("doc_id").eqNullSafe(F.col("__rl_id"))).select("doc_id")
+    # a doc_id that is null or on several rows doesn't tell which row it is: the text does
+    unsure = cut(prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"))
+    many = _small(cut(out.where("doc_id is not null").unionByName(unsure.where("doc_id is not null")).distinct()).withColumnRenamed("doc_id", "__rl_out"))
+    sure = docs.where("doc_id is not null").join(many, F.col("doc_id").cast("long") == F.col("__rl_out"), "left_anti").select(*names)
+    if unsure.isEmpty():
+        return sure
+    ids = _small(unsure.withColumnRenamed("doc_id", "__rl_out"))
+    rest = _with_digest(docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__rl_out")), "left_semi"), k)
+    kept = kept.select(F.col("w.least.doc_id").alias("__rl_id"), *(F.col(f"w.{s}").alias(f"__rl_w{i}") for i, s in enumerate(SET)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__rl_id")) & (F.col(SET[0]) == F.col("__rl_w0")) & (F.col(SET[1]) == F.col("__rl_w1"))
+    return sure.unionByName(rest.join(kept, same).dropDuplicates(["__rl_id", *SET]).select(*names))
+
+
+def _with_digest(docs: DataFrame, k: int) -> DataFrame:
+    """docs with the digest of each text's set of shingles in the columns SET."""
+    schema = StructType([*docs.schema.fields, *(StructField(s, LongType()) for s in SET)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.string()).to_pylist()
+            digests = np.array([set_digest(shingle_set(t or "", k)) for t in texts], dtype=np.int64).reshape(-1, len(SET))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(digests[:, i]) for i in range(len(SET)))], [*batch.schema.names, *SET])
+        tidy()
+
+    return docs.mapInArrow(run, schema)

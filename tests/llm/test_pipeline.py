@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from brute import components_of
+from pyspark.sql import functions as F
 
 from readloom.llm.simhash import keep_one
 
@@ -95,3 +96,52 @@ def test_long_texts_that_share_a_part_are_compared(spark):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     # 3296 of 3996 shingles are 0.82; 3096 of 3996 are 0.77, but 0.94 of the second's
     assert sorted(r.doc_id for r in keep_one(df).collect()) == [0, 1, 2, 3, 4, 5, 6]
+
+
+def test_keep_one_finds_variants_of_a_common_text_and_variants_of_variants(spark):
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(0, " ".join(base)), (1, " ".join(base))]
+    for i in range(300):  # each 0.8 to 0.9 from the first, not from each other
+        copy = [*base]
+        for at in rng.sample(range(5, 145), 3):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((10 + i, " ".join(copy)))
+        if i % 10 == 0:
+            copy[74] = f"y{i}"
+            rows.append((1000 + i, " ".join(copy)))
+    common = " ".join(f"c{i}" for i in range(50))
+    rows += [(2000 + i, common + " " + " ".join(f"o{i}w{j}" for j in range(60))) for i in range(300)]
+    sets = [grams(t) for _, t in rows]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {rows[r][0] for r in set(components_of(range(len(rows)), linked).values())}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r.doc_id for r in keep_one(df).collect()} == want and len(want) >= 301
+
+
+def test_short_sets_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for base in range(150):
+        text = [f"t{base}x{i}" for i in range(rng.randint(5, 16))]
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join([*text, f"e{base}"])), (len(rows) + 2, " ".join([f"s{base}", *text]))]
+    sets = [grams(t) for _, t in rows]
+    linked = [(a, b) for a in range(len(rows)) for b in range(max(0, a - 3), a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {rows[r][0] for r in set(components_of(range(len(rows)), linked).values())}
+    assert linked and {r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_stages_take_nulls_empty_and_repeated_rows(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    columns = docs.columns
+    odd = spark.createDataFrame([(None, None), (None, ""), (10**9, None), (10**9, None), (10**9 + 1, "word " * 30_000)], "doc_id long, text string")
+    for c in columns[2:]:
+        odd = odd.withColumn(c, F.lit(None).cast(docs.schema[c].dataType))
+    full = docs.unionByName(odd.select(*columns)).withColumn("copy", F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, full, d)
+        assert out.columns == full.columns and {r[0] for r in out.select("copy").distinct().collect()} == {"mine"}, name
+        assert stage(spark, full.limit(0), d).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, full, d)
+    assert packed.where("doc_id = 1000000000").count() == 2 and packed.where("doc_id is null").count() == 2
