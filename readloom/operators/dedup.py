@@ -1,4 +1,8 @@
-"""Distinct reads, duplicates and statistics."""
+"""Distinct reads, duplicates and statistics.
+
+A row whose sequence is null is no read: it is in no result and no count. An empty table gives no rows, and counts of
+zero. Reads with the same id are reads each; ids that are null lose against others.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +14,18 @@ from readloom.functions.sequence import normalised
 
 def unique_reads(reads: DataFrame) -> DataFrame:
     """read_id (the first), seq (normalised), mult; partial aggregation before the one shuffle."""
-    return reads.groupBy(normalised(F.col("seq")).alias("seq")).agg(F.min("read_id").alias("read_id"), F.count("*").alias("mult")).select("read_id", "seq", "mult")
+    return reads.where("seq is not null").groupBy(normalised(F.col("seq")).alias("seq")).agg(F.min("read_id").alias("read_id"), F.count("*").alias("mult")).select("read_id", "seq", "mult")
+
+
+def unique_with_quality(reads: DataFrame) -> DataFrame:
+    """read_id, seq, mult and qual, the quality string of the first read, for reads (read_id, seq, qual)."""
+    one = reads.where("seq is not null").groupBy(normalised(F.col("seq")).alias("seq")).agg(F.min(F.struct("read_id", "qual")).alias("r"), F.count("*").alias("mult"))
+    return one.select("r.read_id", "seq", "mult", "r.qual")
 
 
 def duplicates(reads: DataFrame) -> DataFrame:
     """first_id, dup_id of every later copy. Only sequences with copies are joined back; hot ones can be split."""
-    held = reads.select("read_id", normalised(F.col("seq")).alias("seq"))
+    held = reads.where("seq is not null").select("read_id", normalised(F.col("seq")).alias("seq"))
     first = unique_reads(reads).where("mult > 1").select(F.col("read_id").alias("first_id"), "seq")
     return held.join(first, "seq").where("read_id <> first_id").select("first_id", F.col("read_id").alias("dup_id"))
 
@@ -26,14 +36,14 @@ def base_frequency(reads: DataFrame) -> DataFrame:
 
 
 def length_histogram(reads: DataFrame) -> DataFrame:
-    return reads.groupBy(F.length("seq").cast("long").alias("len")).agg(F.count("*").alias("n"))
+    return reads.where("seq is not null").groupBy(F.length("seq").cast("long").alias("len")).agg(F.count("*").alias("n"))
 
 
 def totals(reads: DataFrame) -> DataFrame:
     """reads, uniq, dups, dup_pct (whole percent)."""
     t = unique_reads(reads).agg(F.coalesce(F.sum("mult"), F.lit(0)).alias("reads"), F.count("*").alias("uniq"))
     dups = F.col("reads") - F.col("uniq")
-    return t.select("reads", "uniq", dups.alias("dups"), F.coalesce(F.floor(dups * 100 / F.col("reads") + 0.5), F.lit(0)).alias("dup_pct"))
+    return t.select("reads", "uniq", dups.alias("dups"), F.coalesce(F.floor(F.try_divide(dups * 100, F.col("reads")) + 0.5), F.lit(0)).alias("dup_pct"))
 
 
 def read_length(reads: DataFrame) -> int:
@@ -44,3 +54,10 @@ def read_length(reads: DataFrame) -> int:
     if found[0] != found[1]:
         raise ValueError(f"reads of several lengths: {found[0]} to {found[1]}")
     return found[0]
+
+
+def gated(reads: DataFrame) -> DataFrame:
+    """reads, whose use raises an error if their lengths differ: what is built from them has one length only."""
+    apart = reads.agg(F.max(F.length("seq")) - F.min(F.length("seq"))).scalar()
+    wrong = F.raise_error(F.lit("reads of several lengths"))
+    return reads.withColumn("seq", F.when(F.coalesce(apart, F.lit(0)) == 0, F.col("seq")).otherwise(wrong))

@@ -5,6 +5,9 @@ state. A state's votes are its own and those of its shorter suffixes that are pr
 longest one below it), and the chosen letter leads to one next state. So extension is a walk in a graph where every
 state has one way out. The graph is a few joins; paths are joined with themselves until an edge is `hop` letters long,
 and all seeds then walk hop by hop.
+
+Defined cases: reads of several lengths, no reads at all, or a seed of another length raise an error; a seed that is no
+read isn't extended; a null seed raises; repeated seeds are walked each; a tie of votes stops a walk.
 """
 
 from __future__ import annotations
@@ -121,6 +124,40 @@ def extend(unique: DataFrame, seeds: DataFrame, max_steps: int, vote_floor: int
     return all_.select("seed_id", F.concat("seed", letters).alias("seq"), F.length(letters).cast("long").alias("ext_len"), stop.alias("stop"))
 
 
+def vote_trail(unique: DataFrame, contigs: DataFrame, vote_floor: int = 16, slop_div: int = 8) -> DataFrame:
+    """seed_id, step (from 0), nA ... nN, chosen: the votes at each place of a walk, the last being those that ended it.
+
+    contigs: seed_id, seq of extend().
+    """
+    length = read_length(unique)
+    places = contigs.select("seed_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - length)).alias("step"))
+    windows = places.select(F.struct("seed_id", F.col("step").cast("long").alias("step")).alias("seed_id"), F.expr(f"substring(seq, step + 1, {length})").alias("window"))
+    # many walks pass the same windows: each is voted on once
+    distinct = windows.select("window").distinct()
+    votes = step_votes(unique, distinct.select(F.col("window").alias("seed_id"), "window"), None, vote_floor, slop_div).withColumnRenamed("seed_id", "window")
+    return windows.join(votes, "window").select("seed_id.*", *VOTES, "chosen")
+
+
+def assemble(unique: DataFrame, max_steps: int, batch: int, rounds: int, **how) -> DataFrame:
+    """round, seed_id, seq, ext_len of contigs over reads that no contig has used.
+
+    Each round extends the first `batch` reads (by id) that are in no tile yet, all at once, and takes the reads of their
+    tiles away; it ends after `rounds` rounds or when no read is left. batch and rounds are features: they trade the
+    number of jobs for contigs that start inside others of the same round.
+    """
+    left, done = unique.select("read_id", "seq"), []
+    for number in range(rounds):
+        seeds = cut(left.orderBy("read_id").limit(batch).select(F.col("read_id").alias("seed_id"), "seq"))
+        if seeds.isEmpty():
+            break
+        contigs = cut(extend(unique, seeds, max_steps, **how))
+        done.append(contigs.select(F.lit(number).cast("long").alias("round"), "seed_id", "seq", "ext_len"))
+        left = cut(unused_reads(left, tiles(unique, contigs.select(F.col("seed_id").alias("contig_id"), "seq"))))
+    if not done:
+        return unique.sparkSession.createDataFrame([], "round long, seed_id long, seq string, ext_len long")
+    return reduce(DataFrame.unionByName, done)
+
+
 def extend_both(unique: DataFrame, seeds: DataFrame, max_steps: int, **how) -> DataFrame:
     """seed_id, seq, left_len, right_len: extended to the right, and to the left on the reverse complements.
 

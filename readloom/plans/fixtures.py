@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from readloom.sources.tables import table
 
 LENGTH = 37
+#: Read ids of a document: a text, of 2 ** 31 letters at most, has fewer windows.
+STRIDE = 1 << 26
 
 
 def genome_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def reads_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.ceil(F.length("b") / LENGTH) - 1
     rows = held.select("doc_id", "b", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
     start = F.least(F.col("i") * LENGTH, F.length("b") - LENGTH)
-    return rows.select((F.col("doc_id") * 65536 + F.col("i")).alias("read_id"), F.substring("b", (start + 1).cast("int"), F.lit(LENGTH)).alias("seq"))
+    return rows.select((F.col("doc_id") * STRIDE + F.col("i")).alias("read_id"), F.substring("b", (start + 1).cast("int"), F.lit(LENGTH)).alias("seq"))
 
 
 #: The synthetic reads in SQL; their names end with AS reads(read_id, seq).
@@ -59,4 +61,4 @@ reads AS MATERIALIZED (SELECT CAST(read_id AS BIGINT) AS read_id,
 
 DOCS_SQL = """d AS (SELECT doc_id, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS b FROM documents),
 w AS (SELECT doc_id, b, unnest(range(0, CAST(ceil(length(b) / 37.0) AS BIGINT))) AS i FROM d WHERE length(b) >= 37),
-reads AS MATERIALIZED (SELECT CAST(doc_id * 65536 + i AS BIGINT) AS read_id, substr(b, CAST(least(i * 37, length(b) - 37) + 1 AS BIGINT), 37) AS seq FROM w)"""
+reads AS MATERIALIZED (SELECT CAST(doc_id * 67108864 + i AS BIGINT) AS read_id, substr(b, CAST(least(i * 37, length(b) - 37) + 1 AS BIGINT), 37) AS seq FROM w)"""

@@ -21,7 +21,8 @@ def _query(name: str, sql: str | None = None, reads: str = SYNTH_SQL):
     def keep(f):
         QUERIES[name] = f
         if sql:
-            SQL[name] = f"WITH {reads},\n{sql}" if not sql.startswith("SELECT") else f"WITH {reads}\n{sql}"
+            start = "WITH RECURSIVE" if "FROM walk" in sql or "FROM path" in sql else "WITH"
+            SQL[name] = f"{start} {reads},\n{sql}" if not sql.startswith("SELECT") else f"{start} {reads}\n{sql}"
         return f
 
     return keep
@@ -90,14 +91,14 @@ def q_duplicate_lines(spark, d):
 
 @_query("sorted_lines", f"{U} SELECT concat(seq, ' ', lpad(CAST(read_id AS VARCHAR), 12, ' ')) AS line FROM u")
 def q_sorted_lines(spark, d):
-    return text.sorted_lines(_unique(spark, d))
+    return text.sorted_lines(cut(_unique(spark, d)))
 
 
 @_query("sorted_scan", f"{U} SELECT read_id, seq FROM u")
 def q_sorted_scan(spark, d):
     """The sorted reads written as text, read back and parsed."""
     path = scratch(spark, "sorted")
-    text.write_lines(text.sorted_lines(_unique(spark, d)), path)
+    text.write_lines(text.sorted_lines(cut(_unique(spark, d))), path)
     return text.parse_sorted(text.read_lines(spark, path))
 
 
@@ -129,8 +130,8 @@ def q_nodes(spark, d):
     return trie.nodes(cut(_unique(spark, d)))
 
 
-@_query("trie_cells", f"""{P}, a AS (SELECT 1 AS node_id, '' AS prefix UNION ALL SELECT node_id, prefix FROM nd),
-e AS (SELECT left(prefix, length(prefix) - 1) AS prefix, right(prefix, 1) AS letter, false AS terminal, node_id AS ref FROM nd
+@_query("trie_cells", f"""{P}, a AS MATERIALIZED (SELECT 1 AS node_id, '' AS prefix UNION ALL SELECT node_id, prefix FROM nd),
+e AS MATERIALIZED (SELECT left(prefix, length(prefix) - 1) AS prefix, right(prefix, 1) AS letter, false AS terminal, node_id AS ref FROM nd
   UNION ALL SELECT left(seq, length(seq) - 1), right(seq, 1), true, read_id FROM u)
 SELECT a.node_id, e.letter, e.terminal, e.ref FROM e JOIN a USING (prefix)""")
 def q_cells(spark, d):
@@ -139,7 +140,7 @@ def q_cells(spark, d):
 
 @_query("trie_size", f"{P} SELECT count(*) + 1 AS last_cell FROM nd")
 def q_size(spark, d):
-    return trie.size(_unique(spark, d))
+    return trie.size(cut(_unique(spark, d)))
 
 
 @_query("trie_dump", f"{P} SELECT node_id, depth, prefix, first_read FROM nd")
@@ -163,23 +164,23 @@ def q_overlap_node_lines(spark, d):
 
 @_query("overlap_pairs_top8", f"{U},\n{O},\n{PAIRS} SELECT a_id, b_id, k FROM op")
 def q_pairs(spark, d):
-    return overlap.overlap_pairs(_unique(spark, d))
+    return overlap.overlap_pairs(cut(_unique(spark, d)))
 
 
 @_query("overlap_pairs_all", f"""{U},\n{O} SELECT s.read_id AS a_id, b.read_id AS b_id, s.k FROM sx s JOIN u b ON substr(b.seq, 1, 14) = substr(s.suffix, 1, 14)
   AND starts_with(b.seq, s.suffix) WHERE length(s.suffix) >= 14""")
 def q_pairs_all(spark, d):
-    return overlap.overlap_pairs(_unique(spark, d), max_overlaps=None)
+    return overlap.overlap_pairs(cut(_unique(spark, d)), max_overlaps=None)
 
 
 @_query("overlap_pairs_docs", f"{U},\n{O},\n{PAIRS} SELECT a_id, b_id, k FROM op", DOCS_SQL)
 def q_pairs_docs(spark, d):
-    return overlap.overlap_pairs(dedup.unique_reads(reads_docs(spark, d)))
+    return overlap.overlap_pairs(cut(dedup.unique_reads(reads_docs(spark, d))))
 
 
 @_query("overlap_hist", f"{P},\n{O} SELECT s.k, count(*) AS n FROM sx s JOIN nd ON nd.prefix = s.suffix GROUP BY s.k")
 def q_overlap_hist(spark, d):
-    u = _unique(spark, d)
+    u = cut(_unique(spark, d))
     known = trie.prefixes(u).select(F.col("prefix").alias("suffix"))
     return overlap.overlap_histogram(overlap.suffixes(u, 1).join(known, "suffix"))
 
@@ -235,20 +236,80 @@ def q_first_step(spark, d):
     return extend.step_votes(u, u.select(F.col("read_id").alias("seed_id"), F.col("seq").alias("window")))
 
 
+def _walk_sql(seeds: str, name: str = "", votes: str = "nv", steps: int = STEPS) -> str:
+    """walk, letter by letter on whole windows (win before step n, its votes, letter: null ends), and contigs."""
+    vote = ", ".join(f"CAST(coalesce(sum(n{x}) FILTER (m >= 16), 0) + coalesce(arg_max(n{x}, m) FILTER (m < 16), 0) AS BIGINT) AS v{x}" for x in "ACGTN")
+    return f"""seeds{name} AS MATERIALIZED ({seeds}),
+walk{name} AS (
+  SELECT seed_id, -1 AS n, seq AS win, NULL::BIGINT AS vA, NULL::BIGINT AS vC, NULL::BIGINT AS vG, NULL::BIGINT AS vT, NULL::BIGINT AS vN, '' AS letter FROM seeds{name}
+  UNION ALL
+  SELECT seed_id, n, win, vA, vC, vG, vT, vN, {_sql_rule()} AS letter FROM (
+    SELECT seed_id, n, win, {vote} FROM (
+      SELECT seed_id, n + 1 AS n, right(concat(win, letter), 37) AS win, unnest(range(0, 37)) AS m FROM walk{name} WHERE n < {steps} AND letter IS NOT NULL) w
+    JOIN {votes} ON {votes}.prefix = right(win, CAST(m AS BIGINT)) GROUP BY seed_id, n, win)),
+con{name} AS MATERIALIZED (SELECT s.seed_id, any_value(s.seq) AS seed, coalesce(string_agg(w.letter, '' ORDER BY w.n) FILTER (w.n BETWEEN 0 AND {steps - 1}), '') AS letters,
+  CASE WHEN coalesce(arg_max(w.letter, w.n), '') <> '' AND max(w.n) = {steps} OR max(w.n) FILTER (w.letter IS NULL) IS NULL THEN 'max_steps' ELSE 'vote' END AS stop
+  FROM seeds{name} s JOIN walk{name} w ON w.seed_id = s.seed_id GROUP BY s.seed_id)"""
+
+
+SEEDS = "SELECT read_id AS seed_id, seq FROM reads WHERE read_id % 100 = 0"
+WALK = f"{V},\n{_walk_sql(SEEDS)}"
+
+
+def _tiles_sql(name: str = "") -> str:
+    return f"""win{name} AS (SELECT seed_id AS contig_id, t, substr(concat(seed, letters), CAST(t + 1 AS BIGINT), 37) AS w FROM (SELECT *, unnest(range(0, length(letters) + 1)) AS t FROM con{name})),
+st{name} AS MATERIALIZED (SELECT read_id, m, substr(seq, 1, CAST(m AS BIGINT)) AS prefix FROM (SELECT read_id, seq, unnest(range(0, 38)) AS m FROM u)),
+hit{name} AS MATERIALIZED (SELECT contig_id, t, m, prefix FROM (SELECT contig_id, t, m, right(w, CAST(m AS BIGINT)) AS prefix FROM (SELECT *, unnest(range(0, 38)) AS m FROM win{name})) SEMI JOIN st{name} USING (prefix)),
+used{name} AS (SELECT * FROM hit{name} WHERE m >= 16 UNION ALL SELECT h.* FROM hit{name} h JOIN (SELECT contig_id, t, max(m) AS m FROM hit{name} WHERE m < 16 GROUP BY ALL) USING (contig_id, t, m)),
+til{name} AS MATERIALIZED (SELECT contig_id, s.read_id, CAST(t + 37 - x.m AS BIGINT) AS off, CAST(0 AS BIGINT) AS clr_lo, CAST(x.m AS BIGINT) AS clr_hi FROM used{name} x JOIN st{name} s ON s.prefix = x.prefix)"""
+
+
+TILES = f"{WALK},\n{_tiles_sql()}"
+BEST = f"{TILES},\nbest AS (SELECT contig_id, read_id, max({{'h': clr_hi, 'o': -off}}) AS b FROM til GROUP BY ALL)"
+RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
+CTG = r"concat('{CTG', chr(10), 'iid:', seed_id, chr(10), 'eid:', seed_id, '-0', chr(10), 'seq:', chr(10), seed, regexp_replace(letters, '(.{80})', '\1' || chr(10), 'g'), chr(10), '.', chr(10), 'qlt:', chr(10), repeat('@', length(seed)), rtrim(regexp_replace(repeat('@', length(letters)), '(.{80})', '\1' || chr(10), 'g'), chr(10)), chr(10), '.', chr(10), '}')"
+TLE = "concat('{TLE src:', read_id, ' off:', -b.o, ' clr:0,', lpad(CAST(b.h AS VARCHAR), 3, '0'), ' }')"
+RED = "concat('{RED iid:', read_id, ' eid:', read_id, ' seq: ', seq, ' . qlt: ', repeat('I', length(seq)), ' . }')"
+
+
+def _seeds(spark, d):
+    return _targets(spark, d).select(F.col("target_id").alias("seed_id"), F.col("target").alias("seq"))
+
+
 def _contigs(spark, d, u):
-    seeds = _targets(spark, d).select(F.col("target_id").alias("seed_id"), F.col("target").alias("seq"))
-    return extend.extend(u, seeds, STEPS)
+    return extend.extend(u, _seeds(spark, d), STEPS)
 
 
-@_query("extend_contigs")
+@_query("extend_contigs", f"{WALK}\nSELECT seed_id, concat(seed, letters) AS seq, length(letters) AS ext_len, stop FROM con")
 def q_extend(spark, d):
     return _contigs(spark, d, cut(_unique(spark, d)))
 
 
-@_query("extend_both")
+LEFT_V = V.split(",\n", 1)[1].replace("nv AS MATERIALIZED", "nvl AS MATERIALIZED").replace("FROM u)", "FROM ul)")
+
+
+@_query("extend_both", f"""{V},
+ul AS MATERIALIZED (SELECT read_id, {RC.format('seq')} AS seq FROM u WHERE seq NOT LIKE '%N%'),
+{LEFT_V},
+{_walk_sql(SEEDS + " AND seq NOT LIKE '%N%'")},
+{_walk_sql(f"SELECT seed_id, {RC.format('seq')} AS seq FROM seeds", "l", "nvl")}
+SELECT r.seed_id, concat({RC.format('l.letters')}, r.seed, r.letters) AS seq, length(l.letters) AS left_len, length(r.letters) AS right_len FROM con r JOIN conl l ON l.seed_id = r.seed_id""")
 def q_extend_both(spark, d):
-    seeds = _targets(spark, d).select(F.col("target_id").alias("seed_id"), F.col("target").alias("seq"))
-    return extend.extend_both(cut(_unique(spark, d)), seeds, STEPS)
+    return extend.extend_both(cut(_unique(spark, d)), _seeds(spark, d), STEPS)
+
+
+@_query("vote_trail", f"{WALK}\nSELECT seed_id, CAST(n AS BIGINT) AS step, vA AS nA, vC AS nC, vG AS nG, vT AS nT, vN AS nN, letter AS chosen FROM walk WHERE n >= 0")
+def q_trail(spark, d):
+    u = cut(_unique(spark, d))
+    return extend.vote_trail(u, cut(_contigs(spark, d, u)))
+
+
+@_query("contig_text", f"{WALK}\nSELECT concat(seed, letters) AS line FROM con")
+def q_contig_text(spark, d):
+    """The contigs written as text and read back."""
+    path = scratch(spark, "contigs")
+    text.write_lines(text.contig_lines(_contigs(spark, d, cut(_unique(spark, d)))), path)
+    return text.read_lines(spark, path)
 
 
 def _tiled(spark, d):
@@ -257,63 +318,137 @@ def _tiled(spark, d):
     return u, contigs, cut(extend.tiles(u, contigs.select(F.col("seed_id").alias("contig_id"), "seq")))
 
 
-@_query("tiles")
+@_query("tiles", f"{TILES}\nSELECT contig_id, read_id, off, clr_lo, clr_hi FROM til")
 def q_tiles(spark, d):
     return _tiled(spark, d)[2]
 
 
-@_query("tiles_best")
+@_query("tiles_best", f"{BEST}\nSELECT contig_id, read_id, -b.o AS off, CAST(0 AS BIGINT) AS clr_lo, b.h AS clr_hi FROM best")
 def q_tiles_best(spark, d):
     return extend.best_tiles(_tiled(spark, d)[2])
 
 
-@_query("unused_reads")
+@_query("unused_reads", f"{TILES}\nSELECT read_id, seq, mult FROM u WHERE read_id NOT IN (SELECT read_id FROM til)")
 def q_unused(spark, d):
     u, _, t = _tiled(spark, d)
     return extend.unused_reads(u, t)
 
 
-@_query("contig_alignment")
+#: Reads and rounds of the assembly that is held against SQL.
+BATCH, ROUNDS = 20, 2
+_ROUND_2 = f"SELECT read_id AS seed_id, seq FROM u WHERE read_id NOT IN (SELECT read_id FROM til) ORDER BY read_id LIMIT {BATCH}"
+
+
+@_query("assembly", f"""{V},
+{_walk_sql(f"SELECT read_id AS seed_id, seq FROM u ORDER BY read_id LIMIT {BATCH}")},
+{_tiles_sql()},
+{_walk_sql(_ROUND_2, "2")}
+SELECT CAST(0 AS BIGINT) AS round, seed_id, concat(seed, letters) AS seq, length(letters) AS ext_len FROM con
+UNION ALL SELECT 1, seed_id, concat(seed, letters), length(letters) FROM con2""")
+def q_assembly(spark, d):
+    return extend.assemble(cut(_unique(spark, d)), STEPS, BATCH, ROUNDS)
+
+
+@_query("contig_alignment", f"""{WALK},
+w AS MATERIALIZED (SELECT seed_id AS contig_id, t AS off, substr(concat(seed, letters), CAST(t + 1 AS BIGINT), 37) AS w FROM (SELECT *, unnest(range(0, length(letters) + 1)) AS t FROM con)),
+x AS MATERIALIZED (SELECT DISTINCT w FROM w),
+k AS (SELECT i, 1 + 9 * i AS a, CASE WHEN i = 3 THEN 10 ELSE 9 END AS n FROM (SELECT unnest(range(0, 4)) AS i)),
+cd AS (SELECT DISTINCT x.w, r.read_id, r.seq FROM (SELECT w, i, substr(w, CAST(a AS BIGINT), CAST(n AS BIGINT)) AS s FROM x, k WHERE w NOT LIKE '%N%') x
+  JOIN (SELECT read_id, seq, i, substr(seq, CAST(a AS BIGINT), CAST(n AS BIGINT)) AS s FROM u, k WHERE seq NOT LIKE '%N%') r ON r.i = x.i AND r.s = x.s
+  UNION ALL SELECT x.w, u.read_id, u.seq FROM x, u WHERE (x.w LIKE '%N%' OR u.seq LIKE '%N%')
+    AND hamming(x.w, u.seq) <= 3 + 74 - length(replace(x.w, 'N', '')) - length(replace(u.seq, 'N', ''))),
+co AS (SELECT w, read_id, CAST({COST.format(t='w', r='seq')} AS BIGINT) AS cost FROM cd)
+SELECT w.contig_id, CAST(w.off AS BIGINT) AS off, co.read_id, co.cost FROM co JOIN w ON w.w = co.w WHERE co.cost <= 3""")
 def q_align(spark, d):
     u = cut(_unique(spark, d))
     return extend.align(u, cut(_contigs(spark, d, u)).select(F.col("seed_id").alias("contig_id"), "seq"))
 
 
-@_query("afg_red", "SELECT read_id, concat('{RED iid:', read_id, ' eid:', read_id, ' seq: ', seq, ' . qlt: ', repeat('I', length(seq)), ' . }') AS record FROM reads")
+@_query("afg_red", f"SELECT read_id, {RED} AS record FROM reads")
 def q_red(spark, d):
     return amos.red(reads_synth(spark, d).withColumn("qual", F.repeat(F.lit("I"), F.length("seq"))))
 
 
 @_query("afg_ovl", f"{U},\n{O},\n{PAIRS} SELECT concat('{{OVL', chr(10), 'adj:N', chr(10), 'rds:', a_id + 1, ',', b_id + 1, chr(10), 'scr:0', chr(10), 'ahg:', k, chr(10), 'bhg:', k, chr(10), '}}') AS record FROM op")
 def q_ovl(spark, d):
-    return amos.ovl(overlap.overlap_pairs(_unique(spark, d)))
+    return amos.ovl(overlap.overlap_pairs(cut(_unique(spark, d))))
 
 
-@_query("afg_ctg")
-def q_ctg(spark, d):
-    c = _contigs(spark, d, cut(_unique(spark, d)))
+def _ctg(c):
     return amos.ctg(c.select(F.col("seed_id").alias("contig_id"), F.expr("left(seq, length(seq) - ext_len)").alias("seed"), F.expr("right(seq, ext_len)").alias("letters")))
 
 
-@_query("afg_tle")
+@_query("afg_ctg", f"{WALK}\nSELECT seed_id AS contig_id, {CTG} AS record FROM con")
+def q_ctg(spark, d):
+    return _ctg(_contigs(spark, d, cut(_unique(spark, d))))
+
+
+@_query("afg_tle", f"{BEST}\nSELECT contig_id, read_id, {TLE} AS record FROM best")
 def q_tle(spark, d):
     return amos.tle(extend.best_tiles(_tiled(spark, d)[2]))
 
 
+@_query("afg_file", f"""{BEST},
+f AS (SELECT min(seed_id) AS one FROM con)
+SELECT 0 AS part, read_id AS n, {RED} AS line FROM reads
+UNION ALL SELECT 1, seed_id, regexp_replace({CTG}, chr(10) || '[}}]$', '') FROM con, f WHERE seed_id = one
+UNION ALL SELECT 2, read_id, translate({TLE}, ' ', chr(10)) FROM best, f WHERE contig_id = one
+UNION ALL SELECT 3, seed_id, '}}' FROM con, f WHERE seed_id = one""")
+def q_afg(spark, d):
+    """The parts of the assembled file of one contig, the first: its format holds one."""
+    u = cut(_unique(spark, d))
+    first = _seeds(spark, d).orderBy("seed_id").limit(1)
+    c = cut(extend.extend(u, first, STEPS))
+    best = extend.best_tiles(extend.tiles(u, c.select(F.col("seed_id").alias("contig_id"), "seq")))
+    return amos.afg(q_red(spark, d), _ctg(c), amos.tle(best))
+
+
+@_query("overlap_paths", f"""{U},\n{O},\n{PAIRS},
+ed AS MATERIALIZED (SELECT a_id, b_id, min(k) AS k FROM op GROUP BY ALL),
+path AS (SELECT read_id AS source_id, read_id, CAST(0 AS BIGINT) AS cost, 0 AS hops FROM u WHERE read_id % 1000 = 0
+  UNION SELECT source_id, b_id, cost + k, hops + 1 FROM path JOIN ed ON a_id = read_id WHERE hops < 4)
+SELECT source_id, read_id, CAST(min(cost) AS BIGINT) AS cost FROM path GROUP BY ALL""")
+def q_paths(spark, d):
+    """Cheapest paths of up to four overlaps from every thousandth read."""
+    u = cut(_unique(spark, d))
+    return overlap.cheapest_paths(overlap.overlap_pairs(u), u.where("read_id % 1000 = 0"), 4)
+
+
+@_query("near_percent", f"{U}, k AS (SELECT t.read_id AS target_id, u.read_id, CAST({COST.format(t='t.seq', r='u.seq')} AS BIGINT) AS cost FROM reads t, u WHERE t.read_id % 100 = 0 AND hamming(t.seq, u.seq) <= 2 + 74 - length(replace(t.seq, 'N', '')) - length(replace(u.seq, 'N', ''))) SELECT target_id, read_id, cost FROM k WHERE cost <= 37 * 6 // 100")
+def q_near_percent(spark, d):
+    """Reads within six percent of mismatches of each target."""
+    return search.near_batch(cut(_unique(spark, d)), _targets(spark, d), max_percent=6)
+
+
+@_query("checked_targets", "SELECT read_id AS target_id, regexp_replace(replace(seq, 'GG', 'xG'), '[^ACGT]', 'N', 'g') AS target, regexp_matches(replace(seq, 'GG', 'xG'), '[^ACGTN]') AS warned FROM reads WHERE read_id % 100 = 0")
+def q_checked(spark, d):
+    return search.checked_targets(_targets(spark, d).withColumn("target", F.expr("replace(target, 'GG', 'xG')")))
+
+
+@_query("unique_quality", "SELECT min(read_id) AS read_id, seq, count(*) AS mult, repeat(chr(CAST(65 + min(read_id) % 20 AS INT)), 37) AS qual FROM reads GROUP BY seq")
+def q_quality(spark, d):
+    return dedup.unique_with_quality(reads_synth(spark, d).withColumn("qual", F.expr("repeat(char(65 + read_id % 20), 37)")))
+
+
+@_query("sorted_lines_from_1", f"{U} SELECT concat(seq, ' ', lpad(CAST(read_id + 1 AS VARCHAR), 12, ' ')) AS line FROM u")
+def q_sorted_from_1(spark, d):
+    return text.sorted_lines(cut(_unique(spark, d)), first_number=1)
+
+
 @_query("fastq_scan", """q AS (SELECT read_id, concat('@', read_id) AS header, seq, repeat('I', length(seq)) AS qual FROM reads)
 SELECT read_id, header, seq, qual, CAST(coalesce(sum(length(header) + 2 * length(seq) + 5) OVER (ORDER BY read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM q""")
-def q_fastq(spark, d):
+def q_fastq(spark, d, ends=False):
     """The reads written as FASTQ and scanned."""
     path = scratch(spark, "fastq")
     fastq.write_fastq(reads_synth(spark, d), path)
-    return fastq.read_fastq(spark, path)
+    return fastq.read_fastq(spark, path, ends)
 
 
 @_query("read_offsets", """q AS (SELECT read_id, length(concat('@', read_id)) + 2 * length(seq) + 5 AS n FROM reads)
 SELECT read_id AS entry, CAST(coalesce(sum(n) OVER (ORDER BY read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM q
 UNION ALL SELECT max(read_id) + 1, CAST(sum(n) AS BIGINT) FROM q""")
 def q_offsets(spark, d):
-    return fastq.offset_index(cut(q_fastq(spark, d)))
+    return fastq.offset_index(cut(q_fastq(spark, d, ends=True)))
 
 
 @_query("fetch_records", "SELECT read_id, concat(seq, ';', repeat('I', length(seq))) AS record FROM reads WHERE read_id % 100 = 0")

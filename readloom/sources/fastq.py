@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Names of packed files.
+PACKED = "[.](gz|bz2|zst|lz4|snappy|deflate)$"
+
+
 def _no_cr(c: Column) -> Column:
     return F.regexp_replace(c, "\r$", "")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """read_id (from 0), header, seq, qual, byte_offset of every record.
+def read_fastq(spark: SparkSession, path: str, ends: bool = False) -> DataFrame:
+    """read_id (from 0), header, seq, qual, byte_offset of every record; with ends also byte_end, where the next begins or the files end.
 
     Several files count as one, in the order of their paths.
 
@@ -20,26 +24,29 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     Lines may be of any length. Line numbers come from the splits' line counts, so no task reads a whole file.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"), F.monotonically_increasing_id().alias("mid"))
     size = F.octet_length("line") + 1
-    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.min("mid").alias("first"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.min("mid").alias("first"), F.max("file_size").alias("file_size"))
     so_far = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.withColumn("lines_before", so_far("n", "file")).withColumn("bytes_before", so_far("bytes", "file"))
-    files = blocks.groupBy("file").agg(F.sum("n").alias("file_lines"), F.sum("bytes").alias("file_bytes"))
+    # the last line of a file may have no end; a packed file's size is not that of its text
+    size_of = F.when(F.col("file").rlike(PACKED), F.sum("bytes")).otherwise(F.max("file_size"))
+    files = blocks.groupBy("file").agg(F.sum("n").alias("file_lines"), size_of.alias("file_bytes"))
     records = F.ceil(F.col("file_lines") / 4)
     before = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # noqa: E731  a row for each file
-    files = files.select("file", before(records).alias("records_before"), before(F.col("file_bytes")).alias("files_before"))
-    blocks = blocks.join(files, "file").select("file", "block", "first", "lines_before", (F.col("bytes_before") + F.col("files_before")).alias("bytes_before"), "records_before")
+    files = files.select("file", before(records).alias("records_before"), before(F.col("file_bytes")).alias("files_before"), F.sum("file_bytes").over(Window.orderBy("file")).alias("files_end"))
+    blocks = blocks.join(files, "file").select("file", "block", "first", "lines_before", (F.col("bytes_before") + F.col("files_before")).alias("bytes_before"), "records_before", "files_end")
     inside = F.coalesce(F.sum(size).over(Window.partitionBy("file", "block").orderBy("mid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = lines.withColumn("inside", inside).join(blocks, ["file", "block"])
     number = F.col("lines_before") + F.col("mid") - F.col("first")
-    placed = placed.select((F.col("records_before") + F.floor(number / 4)).alias("read_id"), (number % 4).alias("part"), "line", (F.col("bytes_before") + F.col("inside")).alias("at"))
+    placed = placed.select((F.col("records_before") + F.floor(number / 4)).alias("read_id"), (number % 4).alias("part"), "line", (F.col("bytes_before") + F.col("inside")).alias("at"), "files_end", size.alias("size"))
     pick = lambda i, c="line": F.max(F.when(F.col("part") == i, F.col(c)))
-    found = placed.groupBy("read_id").agg(pick(0).alias("header"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("qual"), pick(0, "at").alias("byte_offset"))
+    found = placed.groupBy("read_id").agg(pick(0).alias("header"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("qual"), pick(0, "at").alias("byte_offset"),
+        F.least(F.max(F.col("at") + F.col("size")), F.max("files_end")).alias("byte_end"))
     found = found.where(~((_no_cr(F.col("header")) == "") & F.col("seq").isNull()))
     good = F.coalesce(F.col("plus").startswith("+"), F.lit(False))
     seq = F.when(good, _no_cr(F.col("seq"))).otherwise(F.raise_error(F.concat(F.lit("input data format error in read "), F.col("read_id").cast("string"))))
-    return found.select("read_id", _no_cr(F.col("header")).alias("header"), seq.alias("seq"), _no_cr(F.coalesce("qual", F.lit(""))).alias("qual"), "byte_offset")
+    return found.select("read_id", _no_cr(F.col("header")).alias("header"), seq.alias("seq"), _no_cr(F.coalesce("qual", F.lit(""))).alias("qual"), "byte_offset", *["byte_end"] * ends)
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:
@@ -51,9 +58,13 @@ def write_fastq(reads: DataFrame, path: str) -> None:
 
 
 def offset_index(fastq: DataFrame) -> DataFrame:
-    """entry, byte_offset: one entry for each read and a last one with the size of the files."""
+    """entry, byte_offset: one entry for each read and a last one with the end of the last read.
+
+    That end is byte_end, if fastq was read with ends; else what the last record has with LF ends and a bare + line.
+    """
     size = F.octet_length("header") + F.octet_length("seq") + F.octet_length("qual") + 5
-    last = fastq.agg((F.max("read_id") + 1).alias("entry"), F.max(F.struct("read_id", (F.col("byte_offset") + size).alias("end")))["end"].alias("byte_offset"))
+    end = F.col("byte_end") if "byte_end" in fastq.columns else F.col("byte_offset") + size
+    last = fastq.agg((F.max("read_id") + 1).alias("entry"), F.max(F.struct("read_id", end.alias("end")))["end"].alias("byte_offset"))
     return fastq.select(F.col("read_id").alias("entry"), "byte_offset").unionByName(last.where("entry is not null"))
 
 

@@ -15,8 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a new local folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='readloom')}"
+    """A new path below spark.checkpoint.dir; where that is unset and Spark is local (tests), below a new local folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='readloom')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return f"{where.rstrip('/')}/readloom-{what}-{uuid.uuid4().hex}"
