@@ -24,6 +24,11 @@ from readloom.sources.tables import cut
 VOTES = ["nA", "nC", "nG", "nT", "nN"]
 
 
+def _large(table: DataFrame) -> DataFrame:
+    """A table that grows with the reads. Sizes guessed before letters are spread over rows are far too small, so Spark is told not to broadcast it."""
+    return table.hint("merge")
+
+
 def node_votes(unique: DataFrame) -> DataFrame:
     """prefix and, for each letter, the number of distinct reads that begin with prefix and go on with it."""
     rows = unique.select("seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("m")).where("seq <> ''")
@@ -35,7 +40,7 @@ def _suffix_votes(texts: DataFrame, key: str, text: str, votes: DataFrame, floor
     """For each key: summed votes of the text's proper suffixes with floor letters or more that are prefixes, and of the longest below."""
     rows = texts.select(key, text, F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("m"))
     rows = rows.withColumn("prefix", F.expr(f"right({text}, m)"))
-    found = rows.join(votes, "prefix")
+    found = rows.join(_large(votes), "prefix")
     long_ = [F.sum(F.when(F.col("m") >= floor, F.col(v)).otherwise(0)).alias(f"l{v}") for v in VOTES]
     short = F.max(F.when(F.col("m") < floor, F.struct("m", *VOTES))).alias("s")
     summed = found.groupBy(key).agg(*long_, short)
@@ -58,13 +63,13 @@ def _state_votes(votes: DataFrame, floor: int) -> DataFrame:
     own = votes.withColumnRenamed("prefix", "state")
     long_ = own.where(F.length("state") >= floor).select("state")
     rows = long_.select("state", F.explode(F.sequence(F.lit(floor), F.length("state"))).alias("m")).select("state", F.expr("right(state, m)").alias("prefix"))
-    sums = rows.join(votes, "prefix").groupBy("state").agg(*[F.sum(v).alias(v) for v in VOTES]).withColumn("ending", F.expr(f"right(state, {floor - 1})"))
+    sums = rows.join(_large(votes), "prefix").groupBy("state").agg(*[F.sum(v).alias(v) for v in VOTES]).withColumn("ending", F.expr(f"right(state, {floor - 1})"))
     endings = long_.select(F.expr(f"right(state, {floor - 1})").alias("ending")).distinct()
     rows = endings.select("ending", F.explode(F.sequence(F.lit(1), F.greatest(F.length("ending"), F.lit(1)))).alias("m")).withColumn("prefix", F.expr("right(ending, m)"))
-    best = rows.join(votes, "prefix").groupBy("ending").agg(F.max(F.struct("m", *VOTES)).alias("s"))
+    best = rows.join(_large(votes), "prefix").groupBy("ending").agg(F.max(F.struct("m", *VOTES)).alias("s"))
     root = votes.where("prefix = ''").first()  # every ending has at least the empty suffix
     filled = [(F.col(v) + F.coalesce(F.col(f"s.{v}"), F.lit(root[v] if root else 0))).alias(v) for v in VOTES]
-    return own.where(F.length("state") < floor).unionByName(sums.join(best, "ending", "left").select("state", *filled))
+    return own.where(F.length("state") < floor).unionByName(sums.join(_large(best), "ending", "left").select("state", *filled))
 
 
 def steps(votes: DataFrame, length: int, vote_floor: int = 16, slop_div: int = 8) -> DataFrame:
@@ -73,11 +78,11 @@ def steps(votes: DataFrame, length: int, vote_floor: int = 16, slop_div: int = 8
     chosen = cut(summed.select("state", majority(*[F.col(v) for v in VOTES[:4]], slop_div).alias("letters")).where("letters is not null"))
     grown = chosen.withColumn("longest", F.expr(f"right(concat(state, letters), {length - 1})"))
     known = votes.select(F.col("prefix").alias("longest"), F.lit(True).alias("known"))
-    grown = cut(grown.join(known, "longest", "left"))
+    grown = cut(grown.join(_large(known), "longest", "left"))
     direct = grown.where("known").select("state", "letters", F.col("longest").alias("next"))
     # only where the longer text isn't a prefix, shorter suffixes are looked up
     rows = grown.where("known is null").select("state", "letters", "longest", F.explode(F.sequence(F.lit(0), F.length("longest") - 1)).alias("m"))
-    rows = rows.withColumn("prefix", F.expr("right(longest, m)")).join(votes.select("prefix"), "prefix")
+    rows = rows.withColumn("prefix", F.expr("right(longest, m)")).join(_large(votes.select("prefix")), "prefix")
     shorter = rows.groupBy("state", "letters").agg(F.max(F.struct("m", "prefix"))["prefix"].alias("next"))
     return direct.unionByName(shorter)
 
@@ -85,7 +90,7 @@ def steps(votes: DataFrame, length: int, vote_floor: int = 16, slop_div: int = 8
 def _doubled(paths: DataFrame) -> DataFrame:
     """Paths joined with the paths that start where they end; a path that ends at a stop keeps a null end."""
     on = paths.select(F.col("state").alias("next"), F.col("letters").alias("more"), F.col("next").alias("then"))
-    both = paths.join(on, "next", "left")
+    both = paths.join(_large(on), "next", "left")
     return both.select("state", F.concat("letters", F.coalesce("more", F.lit(""))).alias("letters"), F.col("then").alias("next"))
 
 
@@ -104,13 +109,13 @@ def extend(unique: DataFrame, seeds: DataFrame, max_steps: int, vote_floor: int
         paths, n = cut(_doubled(paths)), 2 * n
     start = seeds.join(unique.select(F.col("seq").alias("seed"), F.lit(True).alias("is_read")), "seed", "left")
     rows = start.where("is_read").select("seed_id", "seed", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("m")).withColumn("prefix", F.expr("right(seed, m)"))
-    states = rows.join(votes.select("prefix"), "prefix").groupBy("seed_id", "seed").agg(F.max(F.struct("m", "prefix"))["prefix"].alias("state"))
+    states = rows.join(_large(votes.select("prefix")), "prefix").groupBy("seed_id", "seed").agg(F.max(F.struct("m", "prefix"))["prefix"].alias("state"))
     active = cut(states.select("seed_id", "seed", "state", F.lit("").alias("letters")))
     done = [start.where("is_read is null").select("seed_id", "seed", F.lit("").alias("letters"), F.lit("no_read").alias("stop"))]
     walked = 0
     while walked < max_steps:
         on = paths.select("state", F.col("letters").alias("more"), "next")
-        moved = cut(active.join(on, "state", "left").withColumn("letters", F.concat("letters", F.coalesce("more", F.lit("")))))
+        moved = cut(active.join(_large(on), "state", "left").withColumn("letters", F.concat("letters", F.coalesce("more", F.lit("")))))
         done.append(moved.where("next is null").select("seed_id", "seed", "letters", F.lit("vote").alias("stop")))
         active = moved.where("next is not null").select("seed_id", "seed", F.col("next").alias("state"), "letters")
         walked += n
@@ -184,11 +189,11 @@ def tiles(unique: DataFrame, contigs: DataFrame, vote_floor: int = 16) -> DataFr
     rows = rows.select("contig_id", "t", "m", F.expr("right(w, m)").alias("prefix"))
     starts = unique.select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq"))).alias("m")).select("read_id", F.expr("substring(seq, 1, m)").alias("prefix"))
     known = starts.select("prefix").distinct()
-    hits = rows.join(known, "prefix")
+    hits = rows.join(_large(known), "prefix")
     longest = hits.where(F.col("m") < vote_floor).groupBy("contig_id", "t").agg(F.max("m").alias("m"))
     short = hits.join(longest, ["contig_id", "t", "m"])
     used = hits.where(F.col("m") >= vote_floor).unionByName(short.select(hits.columns))
-    found = used.join(starts, "prefix")
+    found = used.join(_large(starts), "prefix")
     return found.select("contig_id", "read_id", (F.col("t") + length - F.col("m")).cast("long").alias("off"), F.lit(0).cast("long").alias("clr_lo"), F.col("m").cast("long").alias("clr_hi"))
 
 
