@@ -37,20 +37,22 @@ BITS = TABLES * WIDTH
 def learn_rotation(x: np.ndarray, steps: int = 50, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection to 64 columns) whose signs are balanced binary codes of unit vectors.
 
-    With fewer than 64 dimensions or rows the vectors are first lifted by a random matrix.
+    With fewer than 64 dimensions the vectors are first lifted by a random matrix; with 64 rows or fewer nothing is
+    learned from them and the projection is a random one.
     """
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
-    mean = x.mean(axis=0) if len(x) else np.zeros(dim)
+    learned = len(x) > BITS
+    mean = x.mean(axis=0) if learned else np.zeros(dim)
     centred = x - mean
-    if dim >= BITS and len(x) > BITS:
+    if dim >= BITS and learned:
         _, _, directions = np.linalg.svd(centred.T @ centred)
         base = directions[:BITS].T
     else:
         base = rng.normal(size=(dim, BITS))
     v = centred @ base
     rotation = np.linalg.qr(rng.normal(size=(BITS, BITS)))[0]
-    for _ in range(steps if len(x) else 0):
+    for _ in range(steps if learned else 0):
         codes = np.where(v @ rotation >= 0, 1.0, -1.0)
         u, _, wt = np.linalg.svd(codes.T @ v)
         rotation = (u @ wt).T
@@ -122,22 +124,36 @@ def candidates(codes: DataFrame, radius: int = 12) -> DataFrame:
     return p.join(s, F.col("key") == F.col("key_b")).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= radius) & first).select("a", "b")
 
 
+def _similar(threshold: float):
+    """Keeps the pairs whose cosine, in double precision, reaches the threshold; norms are those of the whole vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            va, vb = batch.column("va"), batch.column("vb")
+            starts = va.offsets.to_numpy()
+            products = va.flatten().to_numpy(zero_copy_only=False) * vb.flatten().to_numpy(zero_copy_only=False)
+            dots = np.add.reduceat(products, starts[:-1] - starts[0]) if len(products) else np.zeros(0)  # no vector is empty
+            near = dots / batch.column("na").to_numpy() / batch.column("nb").to_numpy() >= threshold
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[near]) for c in ("a", "b", "wa", "wb")], ["a", "b", "wa", "wb"])
+
+    return run
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, radius: int = 12, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id and kept (vec_id = component_id) of every row."""
     rows = usable(vectors)
     # equal vectors of a label are one: rep is any unique number for them
     good = rows.where("__rl_v is not null")
     groups = good.groupBy("label", "__rl_v").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
-    groups = cut(groups.withColumn("rep", F.monotonically_increasing_id()))
+    norm = F.sqrt(F.aggregate("__rl_v", F.lit(0.0), lambda s, x: s + x * x))
+    groups = cut(groups.withColumn("norm", norm).withColumn("rep", F.monotonically_increasing_id()))
     models = fit(groups.select(F.col("least").alias("vec_id"), "__rl_v"), sample)
     coded = groups.select("rep", "__rl_v").mapInArrow(_codes(models), "rep long, code long")
     codes = coded.join(groups.select("rep", "label", F.size("__rl_v").alias("dim")), "rep")
-    v = groups.select("rep", "__rl_v", "weight")
-    left, right = v.toDF("a", "va", "wa"), v.toDF("b", "vb", "wb")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    pairs = candidates(cut(codes), radius).join(left, "a").join(right, "b")
-    cosine = dot("va", "vb") / F.sqrt(dot("va", "va")) / F.sqrt(dot("vb", "vb"))
-    linked = cut(pairs.where(cosine >= threshold).select("a", "b", "wa", "wb"))
+    v = groups.select("rep", "__rl_v", "weight", "norm")
+    left, right = v.toDF("a", "va", "wa", "na"), v.toDF("b", "vb", "wb", "nb")
+    pairs = candidates(cut(codes), radius).join(left, "a").join(right, "b").select("a", "b", "wa", "wb", "na", "nb", "va", "vb")
+    linked = cut(pairs.mapInArrow(_similar(threshold), "a long, b long, wa long, wb long"))
     others = linked.select(F.col("a").alias("rep"), F.col("wb").alias("w")).unionByName(linked.select(F.col("b").alias("rep"), F.col("wa").alias("w")))
     counts = others.groupBy("rep").agg(F.sum("w").alias("others"))
     roots = components(linked.select("a", "b")).withColumnRenamed("node", "rep")

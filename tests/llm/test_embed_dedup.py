@@ -48,3 +48,17 @@ def test_codes_are_balanced():
     mean, projection = learn_rotation(x)
     bits = (x - mean) @ projection >= 0
     assert projection.shape == (80, 64) and abs(bits.mean(axis=0) - 0.5).max() < 0.1
+
+
+def test_long_vectors_and_the_threshold_itself(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(12):
+        v = rng.normal(size=3000)
+        rows += [(len(rows) + i, (v + rng.normal(size=3000) * s).tolist(), 1) for i, s in enumerate((0, 0.05, 0.1, 0.5))]
+    rows += [(100, [1.0, 0.0], 2), (101, [0.98, float(np.sqrt(1 - 0.98**2))], 2), (102, [0.97, float(np.sqrt(1 - 0.97**2))], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got, want = sorted(map(tuple, near_duplicates(df).collect())), sorted(expected(rows))
+    assert [g for g in got if g[0] < 100] == [w for w in want if w[0] < 100]
+    exact = np.dot(rows[-3][1], rows[-2][1]) / np.linalg.norm(rows[-2][1]) >= 0.98  # at the threshold rounding decides, the same way
+    assert {g[0]: g[1] for g in got}[100] == int(exact)
