@@ -7,13 +7,15 @@ the WARC side: record ids (version 8 UUIDs that hold the page id), ISO timestamp
 digests. Equal payloads become one response (the largest page id) and revisits of it.
 
 Files are written by Spark's own text sink (committed, on any file system, recoverable) and read by its binary source;
-the gzip codec compresses whole files. Which record is a response is decided on (digest, page id) rows alone; the
-decisions go back to their file by its path, so payloads are never shuffled. A file is handled by one task in memory;
-its size is that of an input partition.
+the gzip codec compresses whole files. A file ends after PER_FILE rows of the sink, each of CHUNK bytes of records (or
+one larger record), so a task holds a bounded file. Which record is a response is decided on (digest, page id) rows
+alone. The decisions are few and go to the files in waves, each broadcast to its own files, so payloads are never
+shuffled and no more than WAVE decisions are broadcast at a time.
 
 Defined cases: a null html is an empty payload; a null url is written as `urn:none`, white space and control characters
 in URLs are percent-encoded; rows without page_id are responses and never referred to; repeated rows with the largest
-page_id are all responses; an empty table gives no rows; other columns are ignored.
+page_id are all responses, each with a record id of its own, the last of which the revisits refer to; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import cut, scratch, table
+from readloom.llm.common import cut, scratch, table, tidy
 
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Date of records whose source has none.
 DATE = "20240101000000"
+#: Bytes of records in a row of the sink, and rows of a file.
+CHUNK, PER_FILE = 1 << 22, 16
+#: Decisions (about 100 bytes each) that are broadcast at a time.
+WAVE = 500_000
 
 
 def digest(payload: bytes) -> str:
@@ -98,8 +104,9 @@ def parse_arc(data: bytes) -> Iterator[Record]:
 
 
 def record_id(page_id: int | None, seed: str) -> str:
-    """A version 8 UUID: 48 bits from the seed, then the page id (or zeros and the variant's other half)."""
-    s, tag = f"{(page_id or 0) & (1 << 64) - 1:016x}", hashlib.md5(seed.encode()).hexdigest()
+    """A version 8 UUID: 48 bits from the seed, then the page id, or without one 64 more bits from the seed."""
+    tag = hashlib.md5(seed.encode()).hexdigest()
+    s = tag[12:28] if page_id is None else f"{page_id & (1 << 64) - 1:016x}"
     last = "00" if page_id is not None else "ff"
     return f"<urn:uuid:{tag[:8]}-{tag[8:12]}-8{s[:3]}-8{s[3:6]}-{s[6:16]}{last}>"
 
@@ -146,52 +153,75 @@ def _header(head: bytes, name: str) -> str | None:
     return None
 
 
-def _text_rows(rows: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
-    """Batches of `value` for the text sink, which ends each by the newline that is cut off here."""
-    some, size = [], 0
-    for row in rows:
-        some.append(row[:-1].decode())
-        size += len(row)
-        if size > 1 << 23:
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.large_string()).cast(pa.string())], ["value"])
-            some, size = [], 0
-    if some:
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["value"])
+def _rolled(items: Iterator, head, build, chunk: int, per_file: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the text sink, which ends each by the newline that is cut off here: head(file) and build(item, file, offset).
+
+    The sink begins a file after every per_file rows of `chunk` bytes or more, counted from the task's first.
+    """
+    parts: list[bytes] = []
+    size = rows = offset = file = 0
+    for item in items:
+        if not parts and rows % per_file == 0:
+            file = rows // per_file
+            parts.append(head(file))
+            offset = size = len(parts[0])
+        parts.append(build(item, file, offset))
+        offset, size = offset + len(parts[-1]), size + len(parts[-1])
+        if size >= chunk:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], ["value"])
+            parts, size, rows = [], 0, rows + 1
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], ["value"])
+    tidy()
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    sink = rows.select(F.col("value").cast("string").alias("value")).write.mode("append")
+    sink.option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
     """pages as ARC files: even partitions in version 1, odd ones in version 2."""
+    chunk, per_file = CHUNK, PER_FILE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        version, name = 1 + part % 2, f"part-{part:06d}.arc"
-
-        def rows() -> Iterator[bytes]:
-            offset = 0
-            for batch in batches:
-                for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    payload = (html or "").encode()
-                    page = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{page}Content-Length: {len(payload)}\r\n\r\n".encode()
-                    if not offset:
-                        yield (first := arc_head(name, DATE, version))
-                        offset = len(first)
-                    row = arc_record(safe_url(url), "0.0.0.0", DATE, "text/html", head + payload, version, offset, name)
-                    offset += len(row)
-                    yield row
-
-        yield from _text_rows(rows())
+        version, name = 1 + part % 2, lambda file: f"part-{part:06d}-{file:06d}.arc"
+
+        def build(row, file: int, offset: int) -> bytes:
+            page_id, url, html = row
+            payload = (html or "").encode()
+            page = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{page}Content-Length: {len(payload)}\r\n\r\n".encode()
+            return arc_record(safe_url(url), "0.0.0.0", DATE, "text/html", head + payload, version, offset, name(file))
+
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        yield from _rolled(rows, lambda file: arc_head(name(file), DATE, version), build, chunk, per_file)
 
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    held.mapInArrow(run, "value string").write.option("compression", "gzip").text(path)
+    _write(held.mapInArrow(run, "value binary"), path)
 
 
-def _files(spark, path: str) -> DataFrame:
+def _files(spark, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
 
 
+def waves_of(sizes: dict[str, int], most: int) -> list[list[str]]:
+    """The names in parts whose sizes come to `most` at most, or that are one name."""
+    out: list[list[str]] = []
+    total = 0
+    for name, n in sorted(sizes.items()):
+        if not out or total + n > most:
+            out.append([])
+            total = 0
+        out[-1].append(name)
+        total += n
+    return out
+
+
 def convert(spark, arc: str, warc: str) -> None:
-    """The ARC files of a folder as WARC files in another."""
+    """The ARC files of a folder as WARC files in another. A record's id is made from its file's name and its place there."""
+    chunk, per_file = CHUNK, PER_FILE
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,31 +232,48 @@ def convert(spark, arc: str, warc: str) -> None:
                     pa.array([None if r[1] is None else int(r[1]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()),
                     pa.array([r[3] for r in rows], pa.string()),
                 ], ["path", "i", "page_id", "digest", "uri"])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[bytes]:
-            for batch in batches:
-                for content, decisions in zip(batch.column("content"), batch.column("decisions").to_pylist(), strict=True):
-                    refer = {d["i"]: (d["refers_to"], d["uri"]) for d in decisions or ()}
-                    yield warc_record("warcinfo", [("WARC-Record-ID", record_id(None, "info")), ("WARC-Date", iso(DATE)), ("Content-Type", "application/warc-fields")], b"software: readloom\r\nformat: WARC File Format 1.1\r\n")
-                    for i, r in enumerate(parse_arc(gzip.decompress(content.as_buffer()))):
-                        head, payload = r.http
-                        page, url, date = _header(head, "x-page-id"), r.fields["URL"], iso(r.fields["Archive-date"])
-                        fields = [("WARC-Record-ID", record_id(None if page is None else int(page), f"{url} {date}")), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-IP-Address", r.fields["IP-address"]), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "application/http;msgtype=response")]
-                        block = r.body
-                        if i in refer:
-                            block, to = head, refer[i]
-                            fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(to[0], f"{to[1]} {date}")), ("WARC-Refers-To-Target-URI", to[1])]
-                        yield warc_record("revisit" if i in refer else "response", [*fields, ("WARC-Block-Digest", f"sha1:{digest(block)}")], block)
-
-        yield from _text_rows(rows())
+        tidy()
+
+    def writer(wave: int):
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
+
+            def records() -> Iterator[tuple]:
+                for batch in batches:
+                    for path, content, decisions in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("decisions"), strict=True):
+                        refer = {d["i"]: d["to"] for d in decisions.as_py() or ()}
+                        name = path.rpartition("/")[2]
+                        yield from ((f"{name} {i}", r, refer.get(i)) for i, r in enumerate(parse_arc(gzip.decompress(content.as_buffer()))))
+
+            def build(item, file: int, offset: int) -> bytes:
+                seed, r, to = item
+                head, payload = r.http
+                page, url, date = _header(head, "x-page-id"), r.fields["URL"], iso(r.fields["Archive-date"])
+                fields = [("WARC-Record-ID", record_id(None if page is None else int(page), seed)), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-IP-Address", r.fields["IP-address"]), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "application/http;msgtype=response")]
+                block = r.body
+                if to:
+                    block = head
+                    fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(to["page_id"], f"{to['path'].rpartition('/')[2]} {to['i']}")), ("WARC-Refers-To-Target-URI", to["uri"])]
+                return warc_record("revisit" if to else "response", [*fields, ("WARC-Block-Digest", f"sha1:{digest(block)}")], block)
+
+            def info(file: int) -> bytes:
+                name = f"info {warc.rpartition('/')[2]} {wave} {part} {file}"
+                return warc_record("warcinfo", [("WARC-Record-ID", record_id(None, name)), ("WARC-Date", iso(DATE)), ("Content-Type", "application/warc-fields")], b"software: readloom\r\nformat: WARC File Format 1.1\r\n")
+
+            yield from _rolled(records(), info, build, chunk, per_file)
+
+        return write
 
     found = cut(_files(spark, arc).mapInArrow(index, "path string, i long, page_id long, digest string, uri string"))
-    largest = found.where("page_id is not null").groupBy("digest").agg(F.max(F.struct("page_id", "uri")).alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("last.page_id").alias("refers_to"), F.col("last.uri").alias("to_uri"))
-    revisits = found.join(largest, "digest").where("page_id < refers_to").select("path", "i", "refers_to", F.col("to_uri").alias("uri"))
-    decisions = revisits.groupBy("path").agg(F.collect_list(F.struct("i", "refers_to", "uri")).alias("decisions"))
-    joined = _files(spark, arc).join(decisions, "path", "left").select("content", "decisions")
-    joined.mapInArrow(write, "value string").write.option("compression", "gzip").text(warc)
+    largest = found.where("page_id is not null").groupBy("digest").agg(F.max(F.struct("page_id", "path", "i", "uri")).alias("to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = cut(found.where("page_id is not null").join(largest, "digest").where("page_id < to.page_id").select("path", "i", "to"))
+    sizes = {r[0]: r[1] for r in found.select("path").distinct().join(revisits.groupBy("path").count(), "path", "left").fillna(0).collect()}  # a row for each file
+    waves = waves_of(sizes, WAVE)
+    for number, paths in enumerate(waves or [[]]):
+        some = revisits if len(waves) < 2 else revisits.where(F.col("path").between(paths[0], paths[-1]))
+        decisions = some.groupBy("path").agg(F.collect_list(F.struct("i", "to")).alias("decisions"))
+        files = _files(spark, arc if len(waves) < 2 else paths)
+        _write(files.join(F.broadcast(decisions), "path", "left").select("path", "content", "decisions").mapInArrow(writer(number), "value binary"), warc)
 
 
 def read_warc(spark, warc: str) -> DataFrame:

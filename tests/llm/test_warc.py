@@ -60,3 +60,26 @@ def test_empty_table(spark, tmp_path):
     write_arc(df, str(tmp_path / "a"))
     convert(spark, str(tmp_path / "a"), str(tmp_path / "w"))
     assert read_warc(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_files_are_rolled_waves_are_bounded_and_ids_differ(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 3000)
+    monkeypatch.setattr(warc, "PER_FILE", 2)
+    monkeypatch.setattr(warc, "WAVE", 40)
+    rows = [(i % 150 if i % 11 else None, f"http://h/{i % 7}", f"page {i % 60} " * (1 + i % 40)) for i in range(400)] + [(999, "big", "x" * 20_000)]
+    df = spark.createDataFrame([(*r, i, "c") for i, r in enumerate(rows)], "page_id long, url string, html string, path long, content string").repartition(3)
+    a, w = str(tmp_path / "a"), str(tmp_path / "w")
+    write_arc(df, a)
+    convert(spark, a, w)
+    files = [gzip.decompress(bytes(f.content)) for f in _files(spark, w).collect()]
+    assert len(files) > 12 and max(map(len, files)) < 60_000
+    records = [f for x in files for f, _ in parse_warc(x)]
+    assert all([f["warc-type"] == "warcinfo" for f, _ in parse_warc(x)].count(True) == 1 and next(parse_warc(x))[0]["warc-type"] == "warcinfo" for x in files)
+    ids = [f["warc-record-id"] for f in records]
+    assert len(set(ids)) == len(ids) and {f["warc-refers-to"] for f in records if f["warc-type"] == "revisit"} <= set(ids)
+    last = {}
+    for p, _, h in rows:
+        last[h] = max(last.get(h, -1), -1 if p is None else p)
+    want = sorted(((p, len(h), "revisit", last[h]) if p is not None and p < last[h] else (p, len(h), "response", None) for p, _, h in rows), key=repr)
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in read_warc(spark, w).collect()), key=repr) == want
+    assert warc.waves_of({"a": 5, "b": 6, "c": 1, "d": 50, "e": 1}, 10) == [["a"], ["b", "c"], ["d"], ["e"]]
