@@ -46,3 +46,28 @@ def test_search_stops_only_on_proof():
         exact = rows @ queries[q]
         order = [i for i in np.lexsort((np.arange(5000), -exact)) if i != q][:5]
         assert ids.tolist() == order and scores.tolist() == exact[order].tolist()
+
+
+def test_segments_touched_are_few_where_impacts_are_skewed():
+    rng = np.random.default_rng(4)
+    rows = (rng.pareto(1.2, (6000, 32)) * 20 * rng.choice([-1, 1], (6000, 32))).astype(np.int64)
+    rows[rng.random((6000, 32)) < 0.5] = 0
+    index = ImpactIndex(np.arange(6000), rows)
+    assert sum(j - i for _, _, i, j in index.segments) == np.count_nonzero(rows)
+    lowest = [min(np.abs(index.value[i:j]).min() for r, _, i, j in index.segments if r == run) for run in range(len(index.groups()))]
+    assert lowest == sorted(lowest, reverse=True)
+    found = index.search(np.arange(40), rows[:40], 5)
+    for q, ids, scores in found:
+        exact = rows @ rows[q]
+        order = [i for i in np.lexsort((np.arange(6000), -exact)) if i != q][:5]
+        assert ids.tolist() == order and scores.tolist() == exact[order].tolist()
+    assert len(found) == 40 and 0 < index.touched < 0.3 * 40 * np.count_nonzero(rows)
+
+
+def test_blocks_that_cannot_matter_are_passed_over():
+    index = ImpactIndex(np.arange(100), np.ones((100, 4), dtype=np.int64))
+    q = np.full((2, 4), 3)
+    assert [x[0] for x in index.search(np.array([500, 501]), q, 5, np.array([13.0, 12.0]))] == [501]
+    assert index.search(np.array([500]), q[:1], 5)[0][2].tolist() == [12] * 5
+    huge = ImpactIndex(np.arange(3), np.array([[1 << 30, 3], [5, 1 << 30], [1, 1]]))
+    assert huge.search(np.array([9]), np.array([[1 << 30, 1]]), 2)[0][2].tolist() == [(1 << 60) + 3, 5 * (1 << 30) + (1 << 30)]
