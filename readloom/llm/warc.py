@@ -177,7 +177,7 @@ def _rolled(items: Iterator, head, build, chunk: int, per_file: int) -> Iterator
 
 def _write(rows: DataFrame, path: str) -> None:
     sink = rows.select(F.col("value").cast("string").alias("value")).write.mode("append")
-    sink.option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    sink.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
