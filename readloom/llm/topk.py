@@ -5,8 +5,9 @@ segments by descending quantised impact |value| >> SHIFT and by dimension; zero
 queries goes through the segments run by run: each segment adds query weight x value to the accumulators of its
 candidates alone. What a candidate still lacks after a run is at most |query| x |its unprocessed part| (Cauchy-Schwarz;
 the norms of the unprocessed parts are stored in the index). The runs are short at first. A query stops as soon as this
-proves that only a few candidates can be among its k best, at the latest before the last run, whose postings are never
-gone through: the possible members, ties included, are scored exactly instead. Nothing is lost: every candidate whose
+proves that only a few candidates can be among its k best, or shows that impacts are too even to prove much, at the
+latest before the last run, whose postings are never gone through: all possible members, ties included, are scored
+exactly instead. Nothing is lost: every candidate whose
 bound reaches the k-th best proven score is kept. A block none of whose vectors is long enough for the k best of the
 blocks that its task has seen is passed over.
 
@@ -36,6 +37,8 @@ BLOCK, QUERY_BLOCK = 16_384, 256
 SHIFT = 2
 #: Shares of the postings that are processed by the end of each run but the last.
 RUNS = (1 / 64, 1 / 16, 1 / 4)
+#: Where the bounds leave more than this share of a block possible after a run, impacts are too even to prune: the rest is scored.
+USELESS = 0.9
 #: Queries whose best scores a task remembers between its blocks.
 KNOWN = 1_000_000
 RESULT = "query_id long, vec_id long, score long"
@@ -123,7 +126,9 @@ class ImpactIndex:
                 theta = np.maximum(theta, least[open_])
             possible = sums + slack >= theta[:, None]
             possible[np.nonzero(has)[0], own[open_][has]] = False
-            done = (run == last) | (possible.sum(axis=1) <= max(16 * k, n // 64))
+            # few are possible, or so many that more of the postings cost more than the scores themselves
+            some = possible.sum(axis=1)
+            done = (run == last) | (some <= max(16 * k, n // 64)) | (some > n * USELESS)
             for i in np.nonzero(done)[0]:
                 at = np.nonzero(possible[i])[0]
                 exact = self._scores(at, queries[open_[i]])
