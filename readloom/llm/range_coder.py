@@ -10,6 +10,9 @@ the probability that it comes true. Both are mixed with what has happened, in th
 first coding step. Order 0: adaptive frequencies of id classes (small ids alone, others in ranges) drive the second
 step when neither prediction comes true; the place within a class is uniform.
 
+TokenCoder.java is the same coder for one block at a time, which the files are written and read with; this one is the
+plain form of the format, and the tests hold both against each other.
+
 Coder. A 56-bit window, words of 28 bits; carries are added to the words already written and settled at the end.
 """
 

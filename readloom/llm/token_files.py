@@ -1,10 +1,12 @@
 """Token-id files: documents' ids, range coded, in ascending doc_id order.
 
-Documents are dealt by ranges of doc_id (only ids are sampled for the ranges) and sorted; every task tokenises its
-range and writes one file of records through Spark's text sink, whose line end is the record's end mark, so writing is
-committed and recoverable on any file system. A record holds its partition and number, the documents (id, length) and
-a segment of coded ids (range_coder: blocks reset and checksummed alone). Reading back decodes whole files, one task
-each; a document's `start` is the place in its file plus the ids of all files before, of which there is a row each.
+Documents are dealt by ranges of (doc_id, start of the text, a number), so that rows without doc_id or with one doc_id
+are split too, and sorted; every task tokenises its range and writes one file of records through Spark's text sink,
+whose line end is the record's end mark, so writing is committed and recoverable on any file system. A record holds its
+partition and number, the documents (id, length) and a segment of coded ids (blocks reset and checksummed alone).
+Coding goes id by id, which Python is slow at: TokenCoder.java does it inside the executors' JVM, in the format of
+range_coder.py, and both write the same bytes. Reading back decodes whole files, one task each; a document's `start` is
+the place in its file plus the ids of all files before, of which there is a row each.
 
 Defined cases: a null text counts as empty (the end id alone); rows with null doc_id come first, repeated doc_ids in
 the order of their texts; a text of any length may span many blocks; an empty table gives no rows; other columns
@@ -24,13 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.common import scratch, table, tidy
-from readloom.llm.range_coder import decode_segment, encode_segment
+from readloom.llm.jvm import coder_functions
 from readloom.llm.tokenizing import byte_bpe
 
 MAGIC = b"RLTF"
 #: Ids of a record: they bound a task's memory.
 RECORD = 1 << 21
-NAMES = ["partition", "doc_id", "local", "n_tokens", "ids_crc32"]
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
@@ -47,10 +48,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> N
         def record() -> pa.RecordBatch:
             nonlocal number
             index = zlib.compress(b"".join(struct.pack("<q?I", d, null, n) for d, n, null in known), 6)
-            body = encode_segment(np.concatenate(ids).astype(np.int64), vocabulary)
-            data = MAGIC + struct.pack("<QQIQQQ", part, number, len(known), len(index), len(body), size) + index + body
+            meta = MAGIC + struct.pack("<QQIQ", part, number, len(known), len(index))
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
+            data = np.concatenate(ids).astype(bpe.type, copy=False).tobytes()
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in (meta, index, data)), *(pa.array([x], pa.int32()) for x in (bpe.type.itemsize, vocabulary))], ["meta", "index", "ids", "width", "vocabulary"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -65,55 +66,22 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> N
         ids, known = [], []
         tidy()
 
+    coder_functions(docs.sparkSession)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = held.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    held.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
-
-
-def _records(content) -> Iterator[tuple[int, int, list[tuple[int, bool, int]], memoryview, int]]:
-    """(partition, number, documents, coded segment, its ids) of a file."""
-    data, at, head = memoryview(content.as_buffer()), 0, struct.calcsize("<QQIQQQ")
-    while at < len(data):
-        if data[at : at + 4] != MAGIC:
-            raise ValueError("not a file of token ids")
-        part, number, docs, index, body, size = struct.unpack_from("<QQIQQQ", data, at + 4)
-        start = at + 4 + head
-        at = start + index + body + 1
-        if at > len(data) or data[at - 1] != 10:
-            raise ValueError("a record is cut off")
-        known = [*struct.iter_unpack("<q?I", zlib.decompress(data[start : start + index]))]
-        if len(known) != docs or sum(x[2] for x in known) != size:
-            raise ValueError("a record's documents are wrong")
-        yield part, number, known, data[start + index : at - 1], size
+    held = held.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first(), F.rand(7))
+    held = held.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    records = held.mapInArrow(run, "meta binary, index binary, ids binary, width int, vocabulary int")
+    records.select(F.expr("cast(readloom_encode_record(meta, index, ids, width, vocabulary) AS string) AS value")).write.text(path)
 
 
 def read(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the decoded ids."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                local = 0
-                for part, _, known, segment, _ in _records(content):
-                    ids = memoryview(decode_segment(bytes(segment)).astype("<u4")).cast("B")
-                    rows, at = [], 0
-                    for doc_id, null, n in known:
-                        rows.append((part, None if null else doc_id, local + at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])))
-                        at += n
-                    local += at
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], NAMES)
-                    del ids
-            tidy()
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[(part, size) for part, _, _, _, size in _records(c)] for c in batch.column("content")]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0][0] for f in found], pa.int64()), pa.array([sum(s for _, s in f) for f in found], pa.int64())], ["partition", "size"])
-
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the decoded ids; an error if a file is damaged."""
+    coder_functions(spark)
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
     before = F.sum("size").over(Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
-    offsets = files.mapInArrow(sizes, "partition long, size long").select("partition", F.coalesce(before, F.lit(0)).alias("before"))
-    found = files.mapInArrow(decode, "partition long, doc_id long, local long, n_tokens long, ids_crc32 long")
+    sizes = files.select(F.expr("inline(readloom_read_sizes(content))")).groupBy("partition").agg(F.sum("size").alias("size"))
+    offsets = sizes.select("partition", F.coalesce(before, F.lit(0)).alias("before"))
+    found = files.select(F.expr("inline(readloom_read_documents(content))"))
     return found.join(offsets, "partition").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -56,3 +56,51 @@ def test_files(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "e"), PATH)
     assert read(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_both_coders_write_the_same_bytes(spark):
+    import struct
+
+    from pyspark.sql import functions as F
+
+    from readloom.llm.jvm import coder_functions
+
+    coder_functions(spark)
+    rng = np.random.default_rng(3)
+    for n, vocabulary in ((0, 50_257), (1, 50_257), (700, 50_257), (30_000, 50_257), (20_000, 600), (3000, 513), (9000, 70_000)):
+        ids = rng.zipf(1.3, n) % vocabulary
+        ids[n // 2 : n // 2 + n // 4] = ids[: n // 4]
+        width, want = (2 if vocabulary <= 1 << 16 else 4), encode_segment(ids, vocabulary)
+        df = spark.createDataFrame([(bytearray(b"M"), bytearray(b"IX"), bytearray(ids.astype(f"<u{width}").tobytes()))], "m binary, i binary, d binary")
+        got = df.select(F.expr(f"readloom_encode_record(m, i, d, {width}, {vocabulary})")).first()[0]
+        assert bytes(got) == b"M" + struct.pack("<QQ", len(want), n) + b"IX" + want
+
+
+def test_damaged_files_are_refused(spark, tmp_path):
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    rows = [(i, f"text {i} " * 200) for i in range(40)]
+    write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path / "ids"), PATH)
+    name = max(glob.glob(str(tmp_path / "ids") + "/part-*"), key=lambda f: len(open(f, "rb").read()))
+    data = open(name, "rb").read()
+    for k, bad in enumerate((data[:-9] + bytes([data[-9] ^ 16]) + data[-8:], data[:-3], b"X" + data[1:], data[: len(data) // 2] + bytes([data[len(data) // 2] ^ 1]) + data[len(data) // 2 + 1 :])):
+        (tmp_path / f"bad{k}").mkdir()
+        (tmp_path / f"bad{k}" / "part-0").write_bytes(bad)
+        with pytest.raises((PySparkException, Py4JJavaError), match="checksum|cut off|not a file|documents are wrong|FAILED_EXECUTE_UDF"):
+            read(spark, str(tmp_path / f"bad{k}")).collect()
+
+
+def test_one_doc_id_on_all_rows_is_split(spark, tmp_path):
+    df = spark.range(4000).selectExpr("cast(null as long) as doc_id", "'same text' as text").unionByName(spark.range(4000).selectExpr("7L as doc_id", "concat('t', id) as text"))
+    path = str(tmp_path / "hot")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write(df, path, PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    out = read(spark, path)
+    files = [open(f, "rb").read() for f in glob.glob(path + "/part-*")]
+    assert out.count() == 8000 and sum(len(f) > 0 for f in files) >= 6
+    starts = [r.start for r in out.orderBy("start").collect()]
+    assert len(set(starts)) == 8000 and out.where("doc_id is null").agg({"start": "max"}).first()[0] < out.where("doc_id = 7").agg({"start": "min"}).first()[0]
