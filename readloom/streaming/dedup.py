@@ -12,24 +12,44 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from readloom.functions.sequence import normalised
 
 
-def unique_stream(reads: DataFrame) -> DataFrame:
-    """The first copy of every sequence of a stream (read_id, seq)."""
-    return reads.select("read_id", normalised(F.col("seq")).alias("seq")).dropDuplicates(["seq"])
+def unique_stream(reads: DataFrame, time: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """The first copy of every sequence of a stream (read_id, seq).
 
+    The state is a row for each distinct sequence; with `time`, a timestamp column, only for those seen within `delay`
+    of the latest, and a copy that comes later counts as a first one. Null sequences are left out.
+    """
+    held = reads.where("seq is not null").withColumn("seq", normalised(F.col("seq")))
+    if time is None:
+        return held.select("read_id", "seq").dropDuplicates(["seq"])
+    return held.withWatermark(time, delay).dropDuplicatesWithinWatermark(["seq"]).select("read_id", "seq")
 
-def duplicate_stream(reads: DataFrame) -> DataFrame:
-    """first_id, dup_id for every later copy; the state is one id for each distinct sequence."""
+
+def duplicate_stream(reads: DataFrame, time: str | None = None, delay: str = "1 hour", keep_ms: int = 3_600_000) -> DataFrame:
+    """first_id, dup_id for every later copy; the state is one id for each distinct sequence.
+
+    With `time`, a timestamp column watermarked by `delay`, a sequence is forgotten keep_ms after its last copy.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids = [i for f in frames for i in f["read_id"].tolist()]
-        ids.sort()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = [f for f in frames if len(f)]
+        ids = sorted(i for f in seen for i in f["read_id"].tolist())
         if state.exists:
             first = state.get[0]
         else:
             first, ids = ids[0], ids[1:]
             state.update((first,))
+        if time is not None:
+            latest = max(int(f["__at"].max()) for f in seen)
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + keep_ms)
         if ids:
             yield pd.DataFrame({"first_id": [first] * len(ids), "dup_id": ids})
 
-    held = reads.select("read_id", normalised(F.col("seq")).alias("seq"))
-    return held.groupBy("seq").applyInPandasWithState(step, "first_id long, dup_id long", "first long", "append", GroupStateTimeout.NoTimeout)
+    held = reads.where("seq is not null")
+    if time is not None:
+        held = held.withWatermark(time, delay)
+    held = held.select("read_id", normalised(F.col("seq")).alias("seq"), *([F.unix_millis(time).alias("__at"), time] if time is not None else []))
+    timeout = GroupStateTimeout.NoTimeout if time is None else GroupStateTimeout.EventTimeTimeout
+    return held.groupBy("seq").applyInPandasWithState(step, "first_id long, dup_id long", "first long", "append", timeout)
