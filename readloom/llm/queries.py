@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import embed_dedup, langid, mixing, packing, simhash, token_counts, token_files, topk, toxicity, warc
+from readloom.llm import embed_dedup, fingerprints, langid, mixing, packing, simhash, token_counts, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_warc": warc.query,
     "op10_token_counts": token_counts.query,
+    "op11_fingerprints": fingerprints.query,
 }
 
 SQL = {

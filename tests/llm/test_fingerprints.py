@@ -1,0 +1,86 @@
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+
+from readloom.llm import fingerprints as fp
+
+SCHEMA = "doc_id long, text string, own string, lanes int"
+
+
+def expected(rows):
+    """doc_id, n_chars, sha256 and both texts, in descending order of doc_id."""
+    held = sorted(((i, t or "") for i, t in rows), key=lambda r: -r[0])
+    out = {}
+    for (i, t), (_, n) in zip(held, [*held[1:], held[0]], strict=True):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + n[:half]
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), t, edited, n)
+    return out
+
+
+def test_against_plain_version(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdé😀") for _ in range(r.randint(1, 6)))
+    sentence = lambda: " ".join(word() for _ in range(r.randint(2, 9))) + "."
+    text = lambda n: "\n".join(" ".join(sentence() for _ in range(r.randint(1, 5))) for _ in range(n))
+    rows = [(i * 3, text(r.randint(1, 12))) for i in range(700)]
+    rows += [(2101, ""), (2102, None), (2103, "x"), (2104, rows[5][1]), (2105, "long " * 40_000), (2107, "\n".join(reversed(rows[5][1].split("\n"))))]
+    want = expected(rows)
+    df = spark.createDataFrame([(*x, "clash", 1) for x in rows], SCHEMA).repartition(5)
+    found = {x["doc_id"]: x for x in fp.edited_fingerprints(df).collect()}
+    assert found.keys() == want.keys()
+    for i, (n, sha, own, edited, after) in want.items():
+        x = found[i]
+        assert (x["n_chars"], x["edited_sha256"]) == (n, sha)
+        assert 0 <= x["near_edited"] <= 1 and 0 <= x["near_next"] <= 1
+        assert (x["fingerprint"] == x["edited_fingerprint"]) == (sorted(own.split("\n")) == sorted(edited.split("\n"))) == (x["near_edited"] == 1)
+        assert (x["near_next"] == 1) == (sorted(own.split("\n")) == sorted(after.split("\n")))
+    by_text = {}
+    for i, (_, _, own, _, _) in want.items():
+        by_text.setdefault(tuple(sorted(own.split("\n"))), set()).add(found[i]["fingerprint"])
+    assert all(len(v) == 1 for v in by_text.values())
+    assert len({x["fingerprint"] for x in found.values()}) == len(by_text)
+    assert found[2104]["fingerprint"] == found[15]["fingerprint"] == found[2107]["fingerprint"]
+    many = [i for i, (n, *_) in want.items() if n > 300]
+    assert sum(found[i]["near_edited"] for i in many) / len(many) > 0.35 > 0.15 > sum(found[i]["near_next"] for i in many) / len(many)
+
+
+def test_odd_rows(spark):
+    schema = "doc_id long, text string"
+    assert fp.edited_fingerprints(spark.createDataFrame([], schema)).count() == 0
+    one = fp.edited_fingerprints(spark.createDataFrame([(1, "abcd\nx")], schema)).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1 and one[0]["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest()
+    rows = [(None, "a"), (None, "b"), (None, None), (4, "same text"), (4, "same text"), (4, "same text"), (9, "é" * 5)]
+    found = fp.edited_fingerprints(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0, x["n_chars"]) for x in found) == [(False, 4, 9)] * 3 + [(False, 9, 5), (True, 0, 0), (True, 0, 1), (True, 0, 1)]
+    assert [x["edited_sha256"] for x in found if x["doc_id"] == 9] == [hashlib.sha256(("é" * 3 + "sa").encode()).hexdigest()]
+    assert sorted(x["near_next"] for x in found if x["doc_id"] == 4)[1:] == [1, 1]
+    assert all(x["near_edited"] == 1 for x in found if x["n_chars"] < 2)
+
+
+def test_paragraphs_are_put_in_and_taken_out(spark):
+    rows = [("a", "p one.\np two. more\np two. more"), ("b", "p three"), ("c", "p two. more\np three\np one.\np two. more")]
+    v = {x["k"]: x["lanes"] for x in fp.vectors(spark.createDataFrame(rows, "k string, text string"), ["k"]).collect()}
+    df = spark.createDataFrame([(v["a"], v["b"], v["c"])], "a array<long>, b array<long>, c array<long>")
+    sums = df.select(fp.added(F.col("a"), F.col("b")).alias("x"), fp.removed(F.col("c"), F.col("b")).alias("y"), fp.removed(F.col("b"), F.col("b")).alias("z"), fp.likeness(F.col("a"), F.col("c")).alias("l")).first()
+    assert sums["x"] == v["c"] and sums["y"] == v["a"] and set(sums["z"]) == {0}
+    assert 0.5 < sums["l"] < 1
+
+
+def test_buckets_keep_the_order(spark, monkeypatch):
+    monkeypatch.setattr(fp, "ROWS", 1)
+    rows = [(i, f"text {i}") for i in range(90)] + [(None, f"none {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    pairs = fp.with_next(df).where("__guard = 0").collect()
+    assert len({x["__bucket"] for x in pairs}) > 8 and len(pairs) == 150
+    after = {x["text"]: x["edited"][len(x["text"]) - len(x["text"]) // 2 :] for x in pairs}
+    for i in range(1, 90):
+        assert after[f"text {i}"] == f"text {i - 1}"[: len(f"text {i}") // 2]
+
+
+def test_plan_is_native(spark):
+    s = SCHEMA
+
+    plan = fp.edited_fingerprints(spark.createDataFrame([(1, "a", "b", 1)], s))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
