@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import embed_dedup, fingerprints, langid, mixing, packing, simhash, token_counts, token_files, topk, toxicity, turn_repair, warc
+from readloom.llm import alignment, embed_dedup, fingerprints, langid, mixing, packing, simhash, token_counts, token_files, topk, toxicity, turn_repair, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.query,
     "op10_token_counts": token_counts.query,
     "op11_fingerprints": fingerprints.query,
+    "op12_alignment": alignment.query,
     "op13_turn_repair": turn_repair.query,
 }
 
