@@ -46,16 +46,22 @@ def totals(reads: DataFrame) -> DataFrame:
     return t.select("reads", "uniq", dups.alias("dups"), F.coalesce(F.floor(F.try_divide(dups * 100, F.col("reads")) + 0.5), F.lit(0)).alias("dup_pct"))
 
 
-def read_length(reads: DataFrame) -> int:
-    """The one length of all reads; ValueError for none or several."""
+def common_length(reads: DataFrame) -> int | None:
+    """The one length of all reads; None without reads, ValueError for several lengths."""
     found = reads.agg(F.min(F.length("seq")), F.max(F.length("seq"))).first()
-    if found[0] is None:
-        raise ValueError("no reads")
     if found[0] != found[1]:
         raise ValueError(f"reads of several lengths: {found[0]} to {found[1]}")
     return found[0]
 
 
+def read_length(reads: DataFrame) -> int:
+    """The one length of all reads; ValueError for none or several."""
+    found = common_length(reads)
+    if found is None:
+        raise ValueError("no reads")
+    return found
+
+
 def gated(reads: DataFrame) -> DataFrame:
     """reads, whose use raises an error if their lengths differ: what is built from them has one length only."""
     apart = reads.agg(F.max(F.length("seq")) - F.min(F.length("seq"))).scalar()

@@ -1,13 +1,21 @@
-"""Contigs by repeated majority vote, for all seeds at once.
+"""Contigs by repeated majority vote, for all seeds at once and to their true end.
 
 The vote on a window depends only on the window's longest proper suffix that is a proper prefix of some read: its
-state. A state's votes are its own and those of its shorter suffixes that are prefixes too (down to the floor, and the
-longest one below it), and the chosen letter leads to one next state. So extension is a walk in a graph where every
-state has one way out. The graph is a few joins; paths are joined with themselves until an edge is `hop` letters long,
-and all seeds then walk hop by hop.
+state, a node of the prefix index. A state's votes are its own and those of its suffixes that are nodes too (down to the
+floor, and the longest one below it), and the chosen letter leads to one next state. So extension is a walk in a graph
+where every state has one way out.
 
-Defined cases: reads of several lengths, no reads at all, or a seed of another length raise an error; a seed that is no
-read isn't extended; a null seed raises; repeated seeds are walked each; a tie of votes stops a walk.
+The graph is made by three sorts of the nodes and no join (see suffixes.py): one sums the votes along suffixes, one
+follows each state down its chain of chosen children, one finds the state after a chain's last letter. Only the chains'
+ends are vertices, about one for each read, and a way between them carries all letters of a chain. All seeds walk
+together by doubled jumps (see paths.py): the number of jobs grows with the logarithm of the longest walk.
+
+A walk ends where the vote does (`vote`), or where it comes to a state that it has been in (`loop`): each state gives its
+letter once. max_steps, where it is given, cuts walks earlier and lets loops go round until then.
+
+Defined cases: reads of several lengths, a seed of another length or a null seed raise an error; a seed that is no read
+isn't extended (`no_read`), so without reads no seed is; repeated seeds have a row each; a tie of votes stops a walk;
+without reads or contigs there are no tiles, alignments or votes.
 """
 
 from __future__ import annotations
@@ -18,15 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.sequence import majority, reverse_complement
-from readloom.operators.dedup import read_length
+from readloom.operators import suffixes
+from readloom.operators.dedup import common_length
+from readloom.operators.paths import walks
 from readloom.sources.tables import cut
 
-VOTES = ["nA", "nC", "nG", "nT", "nN"]
-
-
-def _large(table: DataFrame) -> DataFrame:
-    """A table that grows with the reads. Sizes guessed before letters are spread over rows are far too small, so Spark is told not to broadcast it."""
-    return table.hint("merge")
+VOTES = suffixes.VOTES
+#: Letters of a piece that a long contig is cut into before its windows are taken: a place in a text is found by counting.
+PIECE = 512
 
 
 def node_votes(unique: DataFrame) -> DataFrame:
@@ -36,97 +43,85 @@ def node_votes(unique: DataFrame) -> DataFrame:
     return rows.groupBy("prefix").agg(*[F.sum(F.when(F.col("next") == v[1], 1).otherwise(0)).alias(v) for v in VOTES])
 
 
-def _suffix_votes(texts: DataFrame, key: str, text: str, votes: DataFrame, floor: int) -> DataFrame:
-    """For each key: summed votes of the text's proper suffixes with floor letters or more that are prefixes, and of the longest below."""
-    rows = texts.select(key, text, F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("m"))
-    rows = rows.withColumn("prefix", F.expr(f"right({text}, m)"))
-    found = rows.join(_large(votes), "prefix")
-    long_ = [F.sum(F.when(F.col("m") >= floor, F.col(v)).otherwise(0)).alias(f"l{v}") for v in VOTES]
-    short = F.max(F.when(F.col("m") < floor, F.struct("m", *VOTES))).alias("s")
-    summed = found.groupBy(key).agg(*long_, short)
-    return summed.select(key, *[(F.col(f"l{v}") + F.coalesce(F.col(f"s.{v}"), F.lit(0))).alias(v) for v in VOTES])
-
-
 def step_votes(unique: DataFrame, windows: DataFrame, votes: DataFrame | None = None, vote_floor: int = 16, slop_div: int = 8) -> DataFrame:
-    """seed_id, nA ... nN and chosen (null: stop) for the next letter of each window (seed_id, window)."""
+    """seed_id, nA ... nN and chosen (null: stop) for the next letter of each window (seed_id, window of a read's length)."""
     votes = node_votes(unique) if votes is None else votes
-    found = _suffix_votes(windows, "seed_id", "window", votes, vote_floor)
-    return found.select("seed_id", *VOTES, majority(*[F.col(v) for v in VOTES[:4]], slop_div).alias("chosen"))
+    found = suffixes.text_votes(votes, windows.select(F.col("window").alias("text")).where("text is not null").distinct(), vote_floor)
+    chosen = found.select(F.col("text").alias("window"), *VOTES, majority(*[F.col(v) for v in VOTES[:4]], slop_div).alias("chosen"))
+    return windows.join(chosen, "window").select("seed_id", *VOTES, "chosen")
+
 
+def state_chains(unique: DataFrame, vote_floor: int = 16, slop_div: int = 8) -> DataFrame:
+    """state, end, letter: for every node, the end of the chain of chosen children that begins with it, and the letter chosen there (null: none)."""
+    summed = suffixes.state_votes(cut(node_votes(unique)), vote_floor)
+    return cut(suffixes.chains(summed.select("state", majority(*[F.col(v) for v in VOTES[:4]], slop_div).alias("letter"))))
 
-def _state_votes(votes: DataFrame, floor: int) -> DataFrame:
-    """state and the summed votes of each prefix taken as a state.
 
-    A state shorter than floor has its own votes only. For the others the longest short suffix depends on the last
-    floor - 1 letters alone, so it is looked up once for each such ending.
+def chain_graph(chain: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ways between ends of chains (v, next, letters, land) and where the seeds (`text`, distinct) come in (seed, v, letters, land).
+
+    land: letters of the state that a way's first letter, or a seed, leads to; the other letters go on to that state's end.
     """
-    own = votes.withColumnRenamed("prefix", "state")
-    long_ = own.where(F.length("state") >= floor).select("state")
-    rows = long_.select("state", F.explode(F.sequence(F.lit(floor), F.length("state"))).alias("m")).select("state", F.expr("right(state, m)").alias("prefix"))
-    sums = rows.join(_large(votes), "prefix").groupBy("state").agg(*[F.sum(v).alias(v) for v in VOTES]).withColumn("ending", F.expr(f"right(state, {floor - 1})"))
-    endings = long_.select(F.expr(f"right(state, {floor - 1})").alias("ending")).distinct()
-    rows = endings.select("ending", F.explode(F.sequence(F.lit(1), F.greatest(F.length("ending"), F.lit(1)))).alias("m")).withColumn("prefix", F.expr("right(ending, m)"))
-    best = rows.join(_large(votes), "prefix").groupBy("ending").agg(F.max(F.struct("m", *VOTES)).alias("s"))
-    root = votes.where("prefix = ''").first()  # every ending has at least the empty suffix
-    filled = [(F.col(v) + F.coalesce(F.col(f"s.{v}"), F.lit(root[v] if root else 0))).alias(v) for v in VOTES]
-    return own.where(F.length("state") < floor).unionByName(sums.join(_large(best), "ending", "left").select("state", *filled))
-
-
-def steps(votes: DataFrame, length: int, vote_floor: int = 16, slop_div: int = 8) -> DataFrame:
-    """state, letters (one), next of every state that goes on."""
-    summed = _state_votes(votes, vote_floor)
-    chosen = cut(summed.select("state", majority(*[F.col(v) for v in VOTES[:4]], slop_div).alias("letters")).where("letters is not null"))
-    grown = chosen.withColumn("longest", F.expr(f"right(concat(state, letters), {length - 1})"))
-    known = votes.select(F.col("prefix").alias("longest"), F.lit(True).alias("known"))
-    grown = cut(grown.join(_large(known), "longest", "left"))
-    direct = grown.where("known").select("state", "letters", F.col("longest").alias("next"))
-    # only where the longer text isn't a prefix, shorter suffixes are looked up
-    rows = grown.where("known is null").select("state", "letters", "longest", F.explode(F.sequence(F.lit(0), F.length("longest") - 1)).alias("m"))
-    rows = rows.withColumn("prefix", F.expr("right(longest, m)")).join(_large(votes.select("prefix")), "prefix")
-    shorter = rows.groupBy("state", "letters").agg(F.max(F.struct("m", "prefix"))["prefix"].alias("next"))
-    return direct.unionByName(shorter)
-
-
-def _doubled(paths: DataFrame) -> DataFrame:
-    """Paths joined with the paths that start where they end; a path that ends at a stop keeps a null end."""
-    on = paths.select(F.col("state").alias("next"), F.col("letters").alias("more"), F.col("next").alias("then"))
-    both = paths.join(_large(on), "next", "left")
-    return both.select("state", F.concat("letters", F.coalesce("more", F.lit(""))).alias("letters"), F.col("then").alias("next"))
-
-
-def extend(unique: DataFrame, seeds: DataFrame, max_steps: int, vote_floor: int = 16, slop_div: int = 8, hop: int = 64) -> DataFrame:
-    """seed_id, seq, ext_len, stop (vote, max_steps, no_read) of every seed (seed_id, seq of a read's length).
-
-    max_steps bounds walks on repeats, which never end. A seed that is no read isn't extended.
+    asked = chain.where("state = end and letter is not null").select(F.concat("end", "letter").alias("text"), F.lit(1).alias("kind"))
+    asked = asked.unionByName(seeds.select("text", F.lit(2).alias("kind")))
+    found = cut(suffixes.longest_suffixes(chain.select("state", "end"), asked))
+    rest = F.expr("substring(end, land + 1)")
+    ways = found.where("kind = 1").select(F.expr("left(text, length(text) - 1)").alias("v"), F.col("end").alias("next"), F.concat(F.expr("right(text, 1)"), rest).alias("letters"), "land")
+    begins = found.where("kind = 2").select(F.col("text").alias("seed"), F.col("end").alias("v"), rest.alias("letters"), "land")
+    return ways, begins
+
+
+def _spelt(ways: DataFrame, begins: DataFrame, max_steps: int | None) -> DataFrame:
+    """seed, letters, stop of the walk of each seed."""
+    met = walks(ways, begins.select(F.col("seed").alias("id"), "v"), max_steps)
+    hop = F.struct("pos", "v", "next", F.coalesce("letters", F.lit("")).alias("letters"), "land")
+    all_ = met.join(ways, "v", "left").groupBy(F.col("id").alias("seed")).agg(F.array_sort(F.collect_list(hop)).alias("hops"))
+    all_ = all_.join(begins.select("seed", F.col("letters").alias("first"), F.col("land").alias("came")), "seed").withColumn("last", F.element_at("hops", -1))
+    text = lambda n: F.concat("first", F.array_join(F.transform(F.slice("hops", F.lit(1), F.greatest(n, F.lit(0))), lambda h: h["letters"]), ""))
+    # a loop comes back to the end number `at` (from 1), which was first met at a state of `was` letters
+    all_ = all_.withColumn("at", F.array_position(F.transform("hops", lambda h: h["v"]), F.col("last.next")).cast("int"))
+    looped = F.coalesce(F.col("at") > 0, F.lit(False))
+    was = F.when(F.col("at") == 1, F.col("came")).otherwise(F.get("hops", F.col("at") - 2)["land"])
+    all_ = all_.withColumn("looped", looped).withColumn("deeper", F.when(looped, F.col("last.land") - was))
+    own = F.when(F.col("looped"), F.expr("substring(last.letters, 1, 1 + greatest(0, -deeper))")).otherwise(F.col("last.letters"))
+    letters = F.concat(text(F.size("hops") - 1), own)
+    all_ = all_.select("seed", letters.alias("letters"), "looped", "at", "deeper", "hops", "first", F.when(F.col("looped"), F.lit("loop")).otherwise(F.lit("vote")).alias("stop"))
+    if max_steps is None:
+        return all_.select("seed", "letters", "stop")
+    # letters before the state that a loop comes back to
+    tail = F.when(F.col("at") == 1, 0).otherwise(F.length(text(F.col("at") - 2)) + 1) + F.greatest(F.col("deeper"), F.lit(0))
+    round_ = F.expr("substring(letters, tail + 1)")
+    more = F.when(F.col("looped"), F.repeat(round_, F.ceil(F.lit(max_steps) / F.greatest(F.length(round_), F.lit(1))).cast("int") + 1)).otherwise("")
+    all_ = all_.withColumn("tail", F.coalesce(tail, F.lit(0))).withColumn("letters", F.concat("letters", more))
+    return all_.select("seed", F.expr(f"substring(letters, 1, {max_steps})").alias("letters"), F.when(F.length("letters") > max_steps, F.lit("max_steps")).otherwise(F.col("stop")).alias("stop"))
+
+
+def extend(unique: DataFrame, seeds: DataFrame, max_steps: int | None = None, vote_floor: int = 16, slop_div: int = 8, hop: int | None = None) -> DataFrame:
+    """seed_id, seq, ext_len, stop (vote, loop, max_steps, no_read) of every seed (seed_id, seq of a read's length).
+
+    hop is left from an earlier form and without effect.
     """
-    length = read_length(unique)
-    wrong = F.raise_error(F.concat(F.lit(f"a seed must have {length} letters: "), F.col("seq")))
-    seeds = seeds.select("seed_id", F.when(F.length("seq") == length, F.col("seq")).otherwise(wrong).alias("seed"))
-    votes = cut(node_votes(unique))
-    paths = cut(steps(votes, length, vote_floor, slop_div))
-    n = 1
-    while n < min(hop, max_steps):
-        paths, n = cut(_doubled(paths)), 2 * n
-    start = seeds.join(unique.select(F.col("seq").alias("seed"), F.lit(True).alias("is_read")), "seed", "left")
-    rows = start.where("is_read").select("seed_id", "seed", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("m")).withColumn("prefix", F.expr("right(seed, m)"))
-    states = rows.join(_large(votes.select("prefix")), "prefix").groupBy("seed_id", "seed").agg(F.max(F.struct("m", "prefix"))["prefix"].alias("state"))
-    active = cut(states.select("seed_id", "seed", "state", F.lit("").alias("letters")))
-    done = [start.where("is_read is null").select("seed_id", "seed", F.lit("").alias("letters"), F.lit("no_read").alias("stop"))]
-    walked = 0
-    while walked < max_steps:
-        on = paths.select("state", F.col("letters").alias("more"), "next")
-        moved = cut(active.join(_large(on), "state", "left").withColumn("letters", F.concat("letters", F.coalesce("more", F.lit("")))))
-        done.append(moved.where("next is null").select("seed_id", "seed", "letters", F.lit("vote").alias("stop")))
-        active = moved.where("next is not null").select("seed_id", "seed", F.col("next").alias("state"), "letters")
-        walked += n
-        if active.isEmpty():
-            break
-    done.append(active.select("seed_id", "seed", "letters", F.lit("max_steps").alias("stop")))
-    all_ = reduce(DataFrame.unionByName, done)
-    cut_off = F.length("letters") > max_steps
-    letters = F.expr(f"substring(letters, 1, {max_steps})")
-    stop = F.when(cut_off, F.lit("max_steps")).otherwise(F.col("stop"))
-    return all_.select("seed_id", F.concat("seed", letters).alias("seq"), F.length(letters).cast("long").alias("ext_len"), stop.alias("stop"))
+    length = common_length(unique)
+    seed = F.col("seq")
+    if length is not None:
+        wrong = F.raise_error(F.concat(F.lit(f"a seed must have {length} letters: "), F.col("seq")))
+        seed = F.when(F.length("seq") == length, F.col("seq")).otherwise(wrong)
+    seeds = seeds.select("seed_id", seed.alias("seed"))
+    known = seeds.select("seed").distinct().join(unique.select(F.col("seq").alias("seed")), "seed")
+    known = cut(known.select(F.col("seed").alias("text")))
+    ways, begins = chain_graph(state_chains(unique, vote_floor, slop_div), known)
+    letters = _spelt(cut(ways), cut(begins), max_steps)
+    out = seeds.join(letters, "seed", "left").select("seed_id", "seed", F.coalesce("letters", F.lit("")).alias("letters"), F.coalesce("stop", F.lit("no_read")).alias("stop"))
+    return out.select("seed_id", F.concat("seed", "letters").alias("seq"), F.length("letters").cast("long").alias("ext_len"), "stop")
+
+
+def windows(contigs: DataFrame, length: int, key: str = "contig_id", short: bool = False) -> DataFrame:
+    """key, at, text: the letters at every place of each contig (key, seq); with short also those nearer to its end than length."""
+    pieces = contigs.where("seq <> ''").select(key, F.length("seq").alias("n"), "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / PIECE))).alias("i"))
+    pieces = pieces.select(key, "n", (F.col("i") * PIECE).alias("from"), F.expr(f"substring(seq, cast(i * {PIECE} + 1 AS INT), {PIECE + length})").alias("piece"))
+    rows = pieces.select(key, "n", "from", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(PIECE), F.col("n") - F.col("from")) - 1)).alias("j"))
+    rows = rows if short else rows.where(F.col("from") + F.col("j") + length <= F.col("n"))
+    return rows.select(key, (F.col("from") + F.col("j")).alias("at"), F.expr(f"substring(piece, cast(j + 1 AS INT), {length})").alias("text"))
 
 
 def vote_trail(unique: DataFrame, contigs: DataFrame, vote_floor: int = 16, slop_div: int = 8) -> DataFrame:
@@ -134,13 +129,10 @@ def vote_trail(unique: DataFrame, contigs: DataFrame, vote_floor: int = 16, slop
 
     contigs: seed_id, seq of extend().
     """
-    length = read_length(unique)
-    places = contigs.select("seed_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - length)).alias("step"))
-    windows = places.select(F.struct("seed_id", F.col("step").cast("long").alias("step")).alias("seed_id"), F.expr(f"substring(seq, step + 1, {length})").alias("window"))
+    length = common_length(unique)
     # many walks pass the same windows: each is voted on once
-    distinct = windows.select("window").distinct()
-    votes = step_votes(unique, distinct.select(F.col("window").alias("seed_id"), "window"), None, vote_floor, slop_div).withColumnRenamed("seed_id", "window")
-    return windows.join(votes, "window").select("seed_id.*", *VOTES, "chosen")
+    places = windows(contigs, length or 1, "seed_id").select(F.struct("seed_id", F.col("at").alias("step")).alias("seed_id"), F.col("text").alias("window"))
+    return step_votes(unique, places, None, vote_floor, slop_div).select("seed_id.*", *VOTES, "chosen")
 
 
 def assemble(unique: DataFrame, max_steps: int, batch: int, rounds: int, **how) -> DataFrame:
@@ -163,38 +155,51 @@ def assemble(unique: DataFrame, max_steps: int, batch: int, rounds: int, **how)
     return reduce(DataFrame.unionByName, done)
 
 
-def extend_both(unique: DataFrame, seeds: DataFrame, max_steps: int, **how) -> DataFrame:
-    """seed_id, seq, left_len, right_len: extended to the right, and to the left on the reverse complements.
+def extend_both(unique: DataFrame, seeds: DataFrame, max_steps: int | None = None, **how) -> DataFrame:
+    """seed_id, seq, left_len, right_len, left_stop, right_stop: extended to the right, and to the left on the reverse complements.
 
-    Only seeds and reads without N can be turned round.
+    Only seeds and reads without N can be turned round: a seed with N is returned as it is, with stops `has_n`, and to
+    the left reads with N have no vote.
     """
     plain = unique.where("seq NOT LIKE '%N%'")
     turned = plain.withColumn("seq", reverse_complement(F.col("seq"), strict=False))
-    seeds = seeds.where("seq NOT LIKE '%N%'")
-    right = extend(unique, seeds, max_steps, **how)
-    left = extend(turned, seeds.withColumn("seq", reverse_complement(F.col("seq"))), max_steps, **how)
-    left = left.select("seed_id", F.col("ext_len").alias("left_len"), reverse_complement(F.expr("right(seq, ext_len)")).alias("before"))
-    return right.join(left, "seed_id").select("seed_id", F.concat("before", "seq").alias("seq"), "left_len", F.col("ext_len").alias("right_len"))
+    has_n = seeds.where("seq LIKE '%N%'").select("seed_id", "seq", *[F.lit(0).cast("long").alias(c) for c in ("left_len", "right_len")], *[F.lit("has_n").alias(c) for c in ("left_stop", "right_stop")])
+    # a seed's row number: seed_ids may be repeated
+    seeds = cut(seeds.where("seq NOT LIKE '%N%'").withColumn("row", F.struct(F.col("seed_id").alias("seed_id"), F.monotonically_increasing_id().alias("n"))))
+    right = extend(unique, seeds.select(F.col("row").alias("seed_id"), "seq"), max_steps, **how)
+    left = extend(turned, seeds.select(F.col("row").alias("seed_id"), reverse_complement(F.col("seq")).alias("seq")), max_steps, **how)
+    left = left.select("seed_id", F.col("ext_len").alias("left_len"), reverse_complement(F.expr("right(seq, ext_len)")).alias("before"), F.col("stop").alias("left_stop"))
+    out = right.join(left, "seed_id").select("seed_id.seed_id", F.concat("before", "seq").alias("seq"), "left_len", F.col("ext_len").alias("right_len"), "left_stop", F.col("stop").alias("right_stop"))
+    return out.unionByName(has_n)
 
 
 def tiles(unique: DataFrame, contigs: DataFrame, vote_floor: int = 16) -> DataFrame:
     """contig_id, read_id, off, clr_lo, clr_hi: every read that took part in a vote, at its place in the contig.
 
     contigs: contig_id, seq. A window that is a read gives that read at the window's place; each suffix of a window
-    with vote_floor letters or more, and the longest below, gives the reads that begin with it.
+    with vote_floor letters or more, and the longest below, gives the reads that begin with it. The long ones are reads
+    that agree with the contig in vote_floor letters, which are the join's key, and as many more as each row says.
+    The longest short one depends on a window's last letters alone and is looked up once for each such ending.
     """
-    length = read_length(unique)
-    windows = contigs.select("contig_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - length)).alias("t"))
-    rows = windows.select("contig_id", "t", F.expr(f"substring(seq, t + 1, {length})").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(length))).alias("m"))
-    rows = rows.select("contig_id", "t", "m", F.expr("right(w, m)").alias("prefix"))
-    starts = unique.select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq"))).alias("m")).select("read_id", F.expr("substring(seq, 1, m)").alias("prefix"))
-    known = starts.select("prefix").distinct()
-    hits = rows.join(_large(known), "prefix")
-    longest = hits.where(F.col("m") < vote_floor).groupBy("contig_id", "t").agg(F.max("m").alias("m"))
-    short = hits.join(longest, ["contig_id", "t", "m"])
-    used = hits.where(F.col("m") >= vote_floor).unionByName(short.select(hits.columns))
-    found = used.join(_large(starts), "prefix")
-    return found.select("contig_id", "read_id", (F.col("t") + length - F.col("m")).cast("long").alias("off"), F.lit(0).cast("long").alias("clr_lo"), F.col("m").cast("long").alias("clr_hi"))
+    length = common_length(unique) or 1
+    key, least = min(vote_floor, length), max(vote_floor, 0)
+    columns = ["contig_id", "read_id", "off", "m"]
+    found = []
+    if least <= length:
+        heads = unique.select("read_id", "seq", F.expr(f"left(seq, {key})").alias("head"))
+        places = windows(contigs, length, short=True).where(F.length("text") >= least).withColumn("head", F.expr(f"left(text, {key})"))
+        pairs = places.join(heads, "head").select("contig_id", "read_id", F.col("at").alias("off"), "text", "seq", F.explode(F.sequence(F.lit(least), F.length("text"))).alias("m"))
+        found.append(pairs.where(F.col("seq").startswith(F.expr("left(text, m)")) & (F.col("off") + F.col("m") >= length)).select(columns))
+    if least > 0:
+        tail = min(least - 1, length)
+        endings = windows(contigs, length).select("contig_id", (F.col("at") + length).alias("to"), F.expr(f"right(text, {tail})").alias("text"))
+        begins = unique.select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(tail))).alias("m")).select("read_id", "m", F.expr("left(seq, m)").alias("begin"))
+        asked = endings.select("text", F.lit(1).alias("kind")).distinct()
+        longest = suffixes.longest_suffixes(begins.select(F.col("begin").alias("state"), F.lit("").alias("end")).distinct(), asked)
+        short = endings.join(longest.select("text", "land"), "text").select("contig_id", "to", F.expr("right(text, land)").alias("begin"))
+        found.append(short.join(begins, "begin").select("contig_id", "read_id", (F.col("to") - F.col("m")).alias("off"), "m"))
+    used = reduce(DataFrame.unionByName, found)
+    return used.select("contig_id", "read_id", F.col("off").cast("long").alias("off"), F.lit(0).cast("long").alias("clr_lo"), F.col("m").cast("long").alias("clr_hi"))
 
 
 def best_tiles(all_tiles: DataFrame) -> DataFrame:
@@ -209,10 +214,10 @@ def unused_reads(unique: DataFrame, all_tiles: DataFrame) -> DataFrame:
 
 
 def align(unique: DataFrame, contigs: DataFrame, max_mismatches: int = 3, compat: bool = False) -> DataFrame:
-    """contig_id, off, read_id, cost: reads within max_mismatches of each window of the contigs."""
+    """contig_id, off, read_id, cost: reads within max_mismatches of each window of the contigs. Equal windows are searched once."""
     from readloom.operators.search import near_batch
 
-    length = read_length(unique)
-    windows = contigs.select("contig_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - length)).alias("off"))
-    targets = windows.select(F.struct("contig_id", "off").alias("target_id"), F.expr(f"substring(seq, off + 1, {length})").alias("target"))
-    return near_batch(unique, targets, max_mismatches, compat).select("target_id.contig_id", F.col("target_id.off").cast("long").alias("off"), "read_id", "cost")
+    places = cut(windows(contigs, common_length(unique) or 1))
+    targets = places.select(F.col("text").alias("target_id"), F.col("text").alias("target")).distinct()
+    found = near_batch(unique, targets, max_mismatches, compat)
+    return places.join(found.withColumnRenamed("target_id", "text"), "text").select("contig_id", F.col("at").alias("off"), "read_id", "cost")
