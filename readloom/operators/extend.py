@@ -135,7 +135,7 @@ def vote_trail(unique: DataFrame, contigs: DataFrame, vote_floor: int = 16, slop
     return step_votes(unique, places, None, vote_floor, slop_div).select("seed_id.*", *VOTES, "chosen")
 
 
-def assemble(unique: DataFrame, max_steps: int, batch: int, rounds: int, **how) -> DataFrame:
+def assemble(unique: DataFrame, max_steps: int | None, batch: int, rounds: int, **how) -> DataFrame:
     """round, seed_id, seq, ext_len of contigs over reads that no contig has used.
 
     Each round extends the first `batch` reads (by id) that are in no tile yet, all at once, and takes the reads of their

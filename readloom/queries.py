@@ -11,8 +11,6 @@ from readloom.plans.fixtures import DOCS_SQL, SYNTH_SQL, reads_docs, reads_synth
 from readloom.sources import fastq, text
 from readloom.sources.tables import cut, scratch
 
-STEPS = 256
-
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -21,7 +19,7 @@ def _query(name: str, sql: str | None = None, reads: str = SYNTH_SQL):
     def keep(f):
         QUERIES[name] = f
         if sql:
-            start = "WITH RECURSIVE" if "FROM walk" in sql or "FROM path" in sql else "WITH"
+            start = "WITH RECURSIVE" if "FROM path" in sql else "WITH"
             SQL[name] = f"{start} {reads},\n{sql}" if not sql.startswith("SELECT") else f"{start} {reads}\n{sql}"
         return f
 
@@ -236,20 +234,31 @@ def q_first_step(spark, d):
     return extend.step_votes(u, u.select(F.col("read_id").alias("seed_id"), F.col("seq").alias("window")))
 
 
-def _walk_sql(seeds: str, name: str = "", votes: str = "nv", steps: int = STEPS) -> str:
-    """walk, letter by letter on whole windows (win before step n, its votes, letter: null ends), and contigs."""
+#: Doublings of the walks in SQL: enough for walks of 4 million letters.
+DOUBLINGS = 22
+
+
+def _graph_sql(votes: str = "nv", name: str = "") -> str:
+    """st: votes of every state and its letter; d0: the state after it."""
     vote = ", ".join(f"CAST(coalesce(sum(n{x}) FILTER (m >= 16), 0) + coalesce(arg_max(n{x}, m) FILTER (m < 16), 0) AS BIGINT) AS v{x}" for x in "ACGTN")
-    return f"""seeds{name} AS MATERIALIZED ({seeds}),
-walk{name} AS (
-  SELECT seed_id, -1 AS n, seq AS win, NULL::BIGINT AS vA, NULL::BIGINT AS vC, NULL::BIGINT AS vG, NULL::BIGINT AS vT, NULL::BIGINT AS vN, '' AS letter FROM seeds{name}
-  UNION ALL
-  SELECT seed_id, n, win, vA, vC, vG, vT, vN, {_sql_rule()} AS letter FROM (
-    SELECT seed_id, n, win, {vote} FROM (
-      SELECT seed_id, n + 1 AS n, right(concat(win, letter), 37) AS win, unnest(range(0, 37)) AS m FROM walk{name} WHERE n < {steps} AND letter IS NOT NULL) w
-    JOIN {votes} ON {votes}.prefix = right(win, CAST(m AS BIGINT)) GROUP BY seed_id, n, win)),
-con{name} AS MATERIALIZED (SELECT s.seed_id, any_value(s.seq) AS seed, coalesce(string_agg(w.letter, '' ORDER BY w.n) FILTER (w.n BETWEEN 0 AND {steps - 1}), '') AS letters,
-  CASE WHEN coalesce(arg_max(w.letter, w.n), '') <> '' AND max(w.n) = {steps} OR max(w.n) FILTER (w.letter IS NULL) IS NULL THEN 'max_steps' ELSE 'vote' END AS stop
-  FROM seeds{name} s JOIN walk{name} w ON w.seed_id = s.seed_id GROUP BY s.seed_id)"""
+    return f"""ix{name} AS MATERIALIZED (SELECT row_number() OVER () AS id, prefix FROM {votes}),
+st{name} AS MATERIALIZED (SELECT id, state, vA, vC, vG, vT, vN, {_sql_rule()} AS letter FROM (SELECT id, any_value(state) AS state, {vote}
+  FROM (SELECT id, prefix AS state, unnest(range(0, length(prefix) + 1)) AS m FROM ix{name}) s JOIN {votes} ON {votes}.prefix = right(s.state, CAST(m AS BIGINT)) GROUP BY id)),
+d0{name} AS MATERIALIZED (SELECT c.id, arg_max(j.id, c.m) AS nxt FROM (SELECT id, concat(state, letter) AS t, unnest(range(0, least(37, length(state) + 2))) AS m FROM st{name} WHERE letter IS NOT NULL) c
+  JOIN ix{name} j ON j.prefix = right(c.t, CAST(c.m AS BIGINT)) GROUP BY c.id)"""
+
+
+def _walk_sql(seeds: str, name: str = "", votes: str = "nv") -> str:
+    """met: the states that each seed's walk meets, by place, each once; con: the contigs."""
+    rounds = [f"""w{k + 1}{name} AS MATERIALIZED (SELECT seed_id, id, min(pos) AS pos FROM (SELECT seed_id, id, pos FROM w{k}{name} UNION ALL SELECT seed_id, nxt, pos + {1 << k} FROM w{k}{name} JOIN d{k}{name} USING (id)) GROUP BY seed_id, id),
+d{k + 1}{name} AS MATERIALIZED (SELECT a.id, b.nxt FROM d{k}{name} a JOIN d{k}{name} b ON b.id = a.nxt)""" for k in range(DOUBLINGS)]
+    return f"""{_graph_sql(votes, name)},
+seeds{name} AS MATERIALIZED ({seeds}),
+w0{name} AS MATERIALIZED (SELECT seed_id, arg_max(j.id, m) AS id, CAST(0 AS BIGINT) AS pos FROM (SELECT seed_id, seq, unnest(range(0, 37)) AS m FROM seeds{name}) s JOIN ix{name} j ON j.prefix = right(s.seq, CAST(m AS BIGINT)) GROUP BY seed_id),
+{(","+chr(10)).join(rounds)},
+con{name} AS MATERIALIZED (SELECT s.seed_id, any_value(s.seq) AS seed, coalesce(string_agg(st{name}.letter, '' ORDER BY w.pos), '') AS letters,
+  CASE WHEN arg_max(coalesce(st{name}.letter, ''), w.pos) = '' THEN 'vote' ELSE 'loop' END AS stop, max(w.pos) AS last_pos
+  FROM seeds{name} s JOIN w{DOUBLINGS}{name} w ON w.seed_id = s.seed_id JOIN st{name} ON st{name}.id = w.id GROUP BY s.seed_id)"""
 
 
 SEEDS = "SELECT read_id AS seed_id, seq FROM reads WHERE read_id % 100 = 0"
@@ -258,10 +267,10 @@ WALK = f"{V},\n{_walk_sql(SEEDS)}"
 
 def _tiles_sql(name: str = "") -> str:
     return f"""win{name} AS (SELECT seed_id AS contig_id, t, substr(concat(seed, letters), CAST(t + 1 AS BIGINT), 37) AS w FROM (SELECT *, unnest(range(0, length(letters) + 1)) AS t FROM con{name})),
-st{name} AS MATERIALIZED (SELECT read_id, m, substr(seq, 1, CAST(m AS BIGINT)) AS prefix FROM (SELECT read_id, seq, unnest(range(0, 38)) AS m FROM u)),
-hit{name} AS MATERIALIZED (SELECT contig_id, t, m, prefix FROM (SELECT contig_id, t, m, right(w, CAST(m AS BIGINT)) AS prefix FROM (SELECT *, unnest(range(0, 38)) AS m FROM win{name})) SEMI JOIN st{name} USING (prefix)),
+sp{name} AS MATERIALIZED (SELECT read_id, m, substr(seq, 1, CAST(m AS BIGINT)) AS prefix FROM (SELECT read_id, seq, unnest(range(0, 38)) AS m FROM u)),
+hit{name} AS MATERIALIZED (SELECT contig_id, t, m, prefix FROM (SELECT contig_id, t, m, right(w, CAST(m AS BIGINT)) AS prefix FROM (SELECT *, unnest(range(0, 38)) AS m FROM win{name})) SEMI JOIN sp{name} USING (prefix)),
 used{name} AS (SELECT * FROM hit{name} WHERE m >= 16 UNION ALL SELECT h.* FROM hit{name} h JOIN (SELECT contig_id, t, max(m) AS m FROM hit{name} WHERE m < 16 GROUP BY ALL) USING (contig_id, t, m)),
-til{name} AS MATERIALIZED (SELECT contig_id, s.read_id, CAST(t + 37 - x.m AS BIGINT) AS off, CAST(0 AS BIGINT) AS clr_lo, CAST(x.m AS BIGINT) AS clr_hi FROM used{name} x JOIN st{name} s ON s.prefix = x.prefix)"""
+til{name} AS MATERIALIZED (SELECT contig_id, s.read_id, CAST(t + 37 - x.m AS BIGINT) AS off, CAST(0 AS BIGINT) AS clr_lo, CAST(x.m AS BIGINT) AS clr_hi FROM used{name} x JOIN sp{name} s ON s.prefix = x.prefix)"""
 
 
 TILES = f"{WALK},\n{_tiles_sql()}"
@@ -277,7 +286,7 @@ def _seeds(spark, d):
 
 
 def _contigs(spark, d, u):
-    return extend.extend(u, _seeds(spark, d), STEPS)
+    return extend.extend(u, _seeds(spark, d))
 
 
 @_query("extend_contigs", f"{WALK}\nSELECT seed_id, concat(seed, letters) AS seq, length(letters) AS ext_len, stop FROM con")
@@ -293,12 +302,15 @@ ul AS MATERIALIZED (SELECT read_id, {RC.format('seq')} AS seq FROM u WHERE seq N
 {LEFT_V},
 {_walk_sql(SEEDS + " AND seq NOT LIKE '%N%'")},
 {_walk_sql(f"SELECT seed_id, {RC.format('seq')} AS seq FROM seeds", "l", "nvl")}
-SELECT r.seed_id, concat({RC.format('l.letters')}, r.seed, r.letters) AS seq, length(l.letters) AS left_len, length(r.letters) AS right_len FROM con r JOIN conl l ON l.seed_id = r.seed_id""")
+SELECT r.seed_id, concat({RC.format('l.letters')}, r.seed, r.letters) AS seq, length(l.letters) AS left_len, length(r.letters) AS right_len, l.stop AS left_stop, r.stop AS right_stop FROM con r JOIN conl l ON l.seed_id = r.seed_id
+UNION ALL {SEEDS.replace("seq FROM", "seq, 0, 0, 'has_n', 'has_n' FROM")} AND seq LIKE '%N%'""")
 def q_extend_both(spark, d):
-    return extend.extend_both(cut(_unique(spark, d)), _seeds(spark, d), STEPS)
+    return extend.extend_both(cut(_unique(spark, d)), _seeds(spark, d))
 
 
-@_query("vote_trail", f"{WALK}\nSELECT seed_id, CAST(n AS BIGINT) AS step, vA AS nA, vC AS nC, vG AS nG, vT AS nT, vN AS nN, letter AS chosen FROM walk WHERE n >= 0")
+@_query("vote_trail", f"""{WALK},
+tr AS (SELECT seed_id, pos, id FROM w{DOUBLINGS} UNION ALL SELECT seed_id, pos + 1, nxt FROM w{DOUBLINGS} w JOIN d0 USING (id) JOIN con USING (seed_id) WHERE con.stop = 'loop' AND w.pos = con.last_pos)
+SELECT seed_id, pos AS step, vA AS nA, vC AS nC, vG AS nG, vT AS nT, vN AS nN, letter AS chosen FROM tr JOIN st USING (id)""")
 def q_trail(spark, d):
     u = cut(_unique(spark, d))
     return extend.vote_trail(u, cut(_contigs(spark, d, u)))
@@ -342,11 +354,11 @@ _ROUND_2 = f"SELECT read_id AS seed_id, seq FROM u WHERE read_id NOT IN (SELECT
 @_query("assembly", f"""{V},
 {_walk_sql(f"SELECT read_id AS seed_id, seq FROM u ORDER BY read_id LIMIT {BATCH}")},
 {_tiles_sql()},
-{_walk_sql(_ROUND_2, "2")}
+{_walk_sql(_ROUND_2, "_b")}
 SELECT CAST(0 AS BIGINT) AS round, seed_id, concat(seed, letters) AS seq, length(letters) AS ext_len FROM con
-UNION ALL SELECT 1, seed_id, concat(seed, letters), length(letters) FROM con2""")
+UNION ALL SELECT 1, seed_id, concat(seed, letters), length(letters) FROM con_b""")
 def q_assembly(spark, d):
-    return extend.assemble(cut(_unique(spark, d)), STEPS, BATCH, ROUNDS)
+    return extend.assemble(cut(_unique(spark, d)), None, BATCH, ROUNDS)
 
 
 @_query("contig_alignment", f"""{WALK},
@@ -398,7 +410,7 @@ def q_afg(spark, d):
     """The parts of the assembled file of one contig, the first: its format holds one."""
     u = cut(_unique(spark, d))
     first = _seeds(spark, d).orderBy("seed_id").limit(1)
-    c = cut(extend.extend(u, first, STEPS))
+    c = cut(extend.extend(u, first))
     best = extend.best_tiles(extend.tiles(u, c.select(F.col("seed_id").alias("contig_id"), "seq")))
     return amos.afg(q_red(spark, d), _ctg(c), amos.tle(best))
 
