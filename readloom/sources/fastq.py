@@ -14,7 +14,10 @@ def _no_cr(c: Column) -> Column:
     return F.regexp_replace(c, "\r$", "")
 
 
-def read_fastq(spark: SparkSession, path: str, ends: bool = False) -> DataFrame:
+MODES = ("fail", "drop", "permissive")
+
+
+def read_fastq(spark: SparkSession, path: str, ends: bool = False, mode: str = "fail") -> DataFrame:
     """read_id (from 0), header, seq, qual, byte_offset of every record; with ends also byte_end, where the next begins or the files end.
 
     Several files count as one, in the order of their paths.
@@ -22,7 +25,31 @@ def read_fastq(spark: SparkSession, path: str, ends: bool = False) -> DataFrame:
     Records are four lines; the header isn't looked at, the third line must begin with + (else an error), a missing
     last quality line is taken as empty and one final blank line is accepted. A CR before the line's end is dropped.
     Lines may be of any length. Line numbers come from the splits' line counts, so no task reads a whole file.
+
+    mode: a bad record raises an error (fail), is left out (drop), or stays with a null seq and its `reason`, a column
+    that is null elsewhere (permissive). Reads keep the numbers of their places; read_rejects() gives what is left out.
     """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    found = _records(spark, path)
+    seq = _no_cr(F.col("seq"))
+    if mode == "fail":
+        seq = F.when(F.col("reason").isNull(), seq).otherwise(F.raise_error(F.concat(F.lit("input data format error in read "), F.col("read_id").cast("string"))))
+    elif mode == "drop":
+        found = found.where("reason is null")
+    else:
+        seq = F.when(F.col("reason").isNull(), seq)
+    return found.select("read_id", _no_cr(F.col("header")).alias("header"), seq.alias("seq"), _no_cr(F.coalesce("qual", F.lit(""))).alias("qual"), "byte_offset", *["byte_end"] * ends, *["reason"] * (mode == "permissive"))
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """read_id, byte_offset, reason, record (its lines) of every bad record: `cut short` without a third line, else `third line`."""
+    record = F.concat_ws("\n", "header", "seq", "plus", "qual")
+    return _records(spark, path).where("reason is not null").select("read_id", "byte_offset", "reason", record.alias("record"))
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """The four lines of each record (null where there are no more), its place, and what is wrong with it."""
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"), F.monotonically_increasing_id().alias("mid"))
     size = F.octet_length("line") + 1
@@ -44,15 +71,19 @@ def read_fastq(spark: SparkSession, path: str, ends: bool = False) -> DataFrame:
     found = placed.groupBy("read_id").agg(pick(0).alias("header"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("qual"), pick(0, "at").alias("byte_offset"),
         F.least(F.max(F.col("at") + F.col("size")), F.max("files_end")).alias("byte_end"))
     found = found.where(~((_no_cr(F.col("header")) == "") & F.col("seq").isNull()))
-    good = F.coalesce(F.col("plus").startswith("+"), F.lit(False))
-    seq = F.when(good, _no_cr(F.col("seq"))).otherwise(F.raise_error(F.concat(F.lit("input data format error in read "), F.col("read_id").cast("string"))))
-    return found.select("read_id", _no_cr(F.col("header")).alias("header"), seq.alias("seq"), _no_cr(F.coalesce("qual", F.lit(""))).alias("qual"), "byte_offset", *["byte_end"] * ends)
+    reason = F.when(F.col("plus").isNull(), "cut short").when(~F.col("plus").startswith("+"), "third line")
+    return found.withColumn("reason", reason)
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:
-    """Reads (read_id, seq, optional header and qual) as FASTQ, in order of read_id."""
-    header = F.col("header") if "header" in reads.columns else F.concat(F.lit("@"), F.col("read_id").cast("string"))
-    qual = F.col("qual") if "qual" in reads.columns else F.expr("repeat('I', length(seq))")
+    """Reads (read_id, seq, optional header and qual) as FASTQ, in order of read_id.
+
+    A row with a null seq is no read and isn't written; a null header is made from the read_id, a null qual is one I a letter.
+    """
+    reads = reads.where("seq is not null")
+    header, qual = F.concat(F.lit("@"), F.coalesce(F.col("read_id").cast("string"), F.lit(""))), F.expr("repeat('I', length(seq))")
+    header = F.coalesce("header", header) if "header" in reads.columns else header
+    qual = F.coalesce("qual", qual) if "qual" in reads.columns else qual
     lines = F.concat_ws("\n", header, F.col("seq"), F.lit("+"), qual)
     reads.select("read_id", lines.alias("value")).orderBy("read_id").select("value").write.text(path)
 
