@@ -3,13 +3,13 @@
 A vector's components become integers. A block of candidates is indexed as postings (candidate, value), sorted into
 segments by descending quantised impact |value| >> SHIFT and by dimension; zero components have none. A batch of
 queries goes through the segments run by run: each segment adds query weight x value to the accumulators of its
-candidates alone. What a candidate still lacks after a run is at most |query| x |its unprocessed part| (Cauchy-Schwarz;
-the norms of the unprocessed parts are stored in the index). The runs are short at first. A query stops as soon as this
-proves that only a few candidates can be among its k best, or shows that impacts are too even to prove much, at the
-latest before the last run, whose postings are never gone through: all possible members, ties included, are scored
-exactly instead. Nothing is lost: every candidate whose
-bound reaches the k-th best proven score is kept. A block none of whose vectors is long enough for the k best of the
-blocks that its task has seen is passed over.
+candidates alone, and the squared weight to a second one. What a candidate still lacks after a run is at most
+|the query's part without the dimensions it has had| x |its unprocessed part| (Cauchy-Schwarz on the dimensions that
+are left for it; the norms of the unprocessed parts are stored in the index). A query stops only as soon as this proves
+that all but a small share of the block can't be among its k best; those that can, ties included, are scored exactly.
+Where that isn't proved, all segments are gone through. Nothing is lost: every candidate whose bound reaches the k-th
+best proven score is kept. A block none of whose vectors is long enough for the k best of the blocks that its task has
+seen is passed over.
 
 Candidates are dealt into blocks of bounded size, each to one task that builds its index once; the queries, a stated
 set, stream through it in batches. A query's k best of each block meet in one last top-k of k rows for each block.
@@ -36,9 +36,9 @@ BLOCK, QUERY_BLOCK = 16_384, 256
 #: Impacts that differ only in the lowest bits share a level.
 SHIFT = 2
 #: Shares of the postings that are processed by the end of each run but the last.
-RUNS = (1 / 64, 1 / 16, 1 / 4)
-#: Where the bounds leave more than this share of a block possible after a run, impacts are too even to prune: the rest is scored.
-USELESS = 0.9
+RUNS = (1 / 16, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8)
+#: A query stops when no more than this share of a block is possible.
+FEW = 1 / 16
 #: Queries whose best scores a task remembers between its blocks.
 KNOWN = 1_000_000
 RESULT = "query_id long, vec_id long, score long"
@@ -73,6 +73,9 @@ class ImpactIndex:
         edge = np.flatnonzero(np.diff(run, prepend=-1) | np.diff(dimension, prepend=-1)) if len(run) else np.zeros(0, dtype=np.int64)
         ends = np.append(edge[1:], len(run)) if len(edge) else edge
         self.segments = [(int(run[i]), int(dimension[i]), int(i), int(j)) for i, j in zip(edge, ends, strict=True)]
+        self.by_run: dict[int, list[tuple]] = {}
+        for segment in self.segments:
+            self.by_run.setdefault(segment[0], []).append(segment)
         # norm of what is unprocessed after each run
         left, self.rest = (self.rows.astype(np.float64) ** 2).sum(axis=1), []
         self.longest = float(np.sqrt(left.max(initial=0))) * (1 + 1e-9) + 1e-6
@@ -81,7 +84,7 @@ class ImpactIndex:
             left = left - np.bincount(self.candidate[part], weights=self.value[part] ** 2, minlength=len(left))
             self.rest.append(np.sqrt(np.maximum(left, 0)) * (1 + 1e-9) + 1e-6)
         self.exact = self.rows.astype(np.float64) if self.longest < 1 << 25 else None  # scores below 2 ** 53 are whole numbers
-        self.touched = 0
+        self.touched = self.proved = self.through = 0  # postings; queries that stopped on proof, and that went through all
 
     def groups(self) -> list[tuple[int, int]]:
         """Runs of levels [i, j) that are processed at a time."""
@@ -103,38 +106,40 @@ class ImpactIndex:
         open_ = np.arange(len(queries))
         if least is not None:
             open_ = open_[norms * self.longest >= least]
-        sums = np.zeros((len(open_), n))
+        sums, seen = np.zeros((n, len(open_))), np.zeros((n, len(open_)))
         own = np.searchsorted(self.ids, query_ids)
         own = np.where((own < n) & (self.ids[np.minimum(own, n - 1)] == query_ids), own, -1)
         last = max(len(self.groups()) - 1, 0)
         for run in range(last + 1):
-            slack = norms[open_, None] * (self.rest[run - 1] if run else np.full(n, self.longest))[None, :]
-            if run < last:
-                for _, d, i, j in (s for s in self.segments if s[0] == run):
-                    some = np.flatnonzero(weights[open_, d])
-                    if len(some):
-                        at = self.candidate[i:j]
-                        sums[some[:, None], at[None, :]] += weights[open_[some], d][:, None] * self.value[i:j][None, :]
-                        self.touched += len(some) * (j - i)
-                slack = norms[open_, None] * self.rest[run][None, :]
-            low = sums - slack
+            active, squares = weights[open_], weights[open_] ** 2
+            for _, d, i, j in self.by_run.get(run, ()):
+                at = self.candidate[i:j]
+                sums[at] += self.value[i:j, None] * active[None, :, d]
+                seen[at] += squares[None, :, d]
+                self.touched += np.count_nonzero(active[:, d]) * (j - i)
+            left = norms[open_] ** 2
+            rest = self.rest[run] if self.rest else np.zeros(n)
+            slack = (np.sqrt(np.maximum(left * (1 + 1e-12) - seen, 0)) * rest[:, None]).T + (norms[open_] * self.longest * 1e-12)[:, None]
+            partial = sums.T
+            low = partial - slack
             has = own[open_] >= 0
             low[np.nonzero(has)[0], own[open_][has]] = -np.inf
             # the k-th best proven score; with fewer than k candidates all stay
             theta = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
             if least is not None:
                 theta = np.maximum(theta, least[open_])
-            possible = sums + slack >= theta[:, None]
+            possible = partial + slack >= theta[:, None]
             possible[np.nonzero(has)[0], own[open_][has]] = False
-            # few are possible, or so many that more of the postings cost more than the scores themselves
-            some = possible.sum(axis=1)
-            done = (run == last) | (some <= max(16 * k, n // 64)) | (some > n * USELESS)
+            few = possible.sum(axis=1) <= max(16 * k, n * FEW)
+            done = few | (run == last)
+            self.proved += int(few.sum()) if run < last else 0
+            self.through += len(open_) if run == last else 0
             for i in np.nonzero(done)[0]:
                 at = np.nonzero(possible[i])[0]
                 exact = self._scores(at, queries[open_[i]])
                 best = np.lexsort((self.ids[at], -exact))[:k]
                 found.append((int(query_ids[open_[i]]), self.ids[at][best], exact[best]))
-            open_, sums = open_[~done], sums[~done]
+            open_, sums, seen = open_[~done], sums[:, ~done], seen[:, ~done]
             if not len(open_):
                 break
         return found

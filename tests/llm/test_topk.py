@@ -48,6 +48,20 @@ def test_search_stops_only_on_proof():
         assert ids.tolist() == order and scores.tolist() == exact[order].tolist()
 
 
+def test_even_vectors_stop_on_proof():
+    """Vectors whose components are all of a size, as most embeddings are."""
+    rng = np.random.default_rng(9)
+    rows = np.floor(256 * (x := rng.normal(size=(4000, 64))) / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    index = ImpactIndex(np.arange(4000), rows)
+    found = index.search(np.arange(60), rows[:60], 5)
+    for q, ids, scores in found:
+        exact = rows @ rows[q]
+        order = [i for i in np.lexsort((np.arange(4000), -exact)) if i != q][:5]
+        assert ids.tolist() == order and scores.tolist() == exact[order].tolist()
+    assert len(found) == 60 and index.proved == 60 and index.through == 0
+    assert index.touched < 0.9 * 60 * np.count_nonzero(rows)
+
+
 def test_segments_touched_are_few_where_impacts_are_skewed():
     rng = np.random.default_rng(4)
     rows = (rng.pareto(1.2, (6000, 32)) * 20 * rng.choice([-1, 1], (6000, 32))).astype(np.int64)
