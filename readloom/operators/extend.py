@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.sequence import majority, reverse_complement
@@ -155,6 +155,71 @@ def assemble(unique: DataFrame, max_steps: int | None, batch: int, rounds: int,
     return reduce(DataFrame.unionByName, done)
 
 
+def _cycles(edges: DataFrame) -> DataFrame:
+    """v, label (the smallest of its cycle) of vertices (v, next) that lie on cycles only."""
+    n, step = edges.count(), 1
+    jumps = cut(edges.select("v", "next", F.least("v", "next").alias("label")))
+    while step < n:
+        on = jumps.select(F.col("v").alias("next"), F.col("next").alias("then"), F.col("label").alias("other"))
+        jumps = cut(jumps.join(on, "next").select("v", F.col("then").alias("next"), F.least("label", "other").alias("label")))
+        step *= 2
+    return jumps.select("v", "label")
+
+
+def assemble_all(unique: DataFrame, vote_floor: int = 16, slop_div: int = 8) -> DataFrame:
+    """seed_id, seq, ext_len, stop of contigs that share no step and leave no read unused.
+
+    All reads are seeds, and their walks meet. Where several come to one state, the one from the longest state (the
+    smallest, if several) goes on and the others end (`joined`), so the walks are cut into paths that no two contigs
+    share; each begins with a state that no walk comes to, and with the first read that begins there. A loop that
+    nothing leaves or enters for good begins with its first read (`loop`), or goes on from a walk that comes into it. Reads
+    that then are in no tile are contigs without extension (`single`): whatever they lead to has been walked. The rounds
+    are jumps along all paths at once; none is made for a contig or a read.
+    """
+    if common_length(unique) is None:
+        return unique.select(F.col("read_id").alias("seed_id"), "seq", F.lit(0).cast("long").alias("ext_len"), F.lit("").alias("stop"))
+    ways, begins = chain_graph(state_chains(unique, vote_floor, slop_div), unique.select(F.col("seq").alias("text")))
+    ways, begins = cut(ways), cut(begins.select(F.col("seed").alias("seq"), "v", "land").join(unique.select("seq", "read_id"), "seq"))
+    reached = walks(ways, begins.select(F.lit(0).alias("id"), "v").distinct()).select("v")
+    ways = cut(ways.join(reached, "v"))
+    # a chain's states are cut where walks from elsewhere come in: `from` and `to` are lengths of states
+    incoming = ways.select(F.col("v").alias("u"), F.col("next").alias("v"), F.col("land").alias("from"), F.expr("left(letters, 1)").alias("letter"))
+    best = incoming.groupBy("v", "from").agg(F.min(F.struct((-F.length("u")).alias("l"), "u", "letter")).alias("x")).select("v", "from", "x.u", "x.letter")
+    first = begins.groupBy("v").agg(F.min("land").alias("from")).join(best.groupBy("v").agg(F.min("from").alias("least")), "v", "left").where("least is null or `from` < least")
+    parts = best.unionByName(first.select("v", "from", F.lit(None).cast("string").alias("u"), F.lit(None).cast("string").alias("letter")))
+    after = F.lead("from").over(Window.partitionBy("v").orderBy("from"))
+    name = lambda v, n: F.concat(v, F.lit("/"), n.cast("string"))
+    parts = cut(parts.withColumn("to", F.coalesce(after - 1, F.length("v"))).withColumn("deepest", after.isNull()).withColumn("part", name(F.col("v"), F.col("from"))))
+    deepest = parts.where("deepest").select(F.col("v").alias("u"), F.col("part").alias("v"))
+    links = cut(parts.select("u", F.col("part").alias("next"), "letter").join(deepest, "u").select("v", "next", "letter"))
+    heads = parts.where("u is null").select("part", "v", F.col("from").alias("land")).join(begins, ["v", "land"]).groupBy("part", "land").agg(F.min(F.struct("read_id", "seq")).alias("s"))
+    heads = cut(heads.select(F.col("part").alias("id"), F.col("part").alias("v"), F.col("land").alias("came"), "s.read_id", "s.seq", F.lit("joined").alias("end")))
+    met = walks(links, heads)
+    round_ = cut(links.join(met, "v", "left_anti"))
+    if not round_.isEmpty():
+        on = cut(_cycles(round_).withColumnRenamed("v", "part").join(parts, "part"))
+        inside = on.join(begins, "v").where("land between `from` and `to`").groupBy("label").agg(F.min(F.struct("read_id", "seq", "land", "part")).alias("s"))
+        own = inside.select(F.col("s.part").alias("id"), F.col("s.part").alias("v"), F.col("s.land").alias("came"), "s.read_id", "s.seq", F.lit("loop").alias("end"))
+        # entered only: the way in that comes to the smallest part takes the place of the loop's own
+        ins = on.join(inside, "label", "left_anti").select("label", "part", "v", "from", F.col("u").alias("had")).join(incoming, ["v", "from"]).where("u <> had")
+        ins = ins.groupBy("label").agg(F.min(F.struct("part", (-F.length("u")).alias("l"), "u", "letter")).alias("s")).select(F.col("s.part").alias("next"), "s.u", "s.letter").join(deepest, "u")
+        links = cut(links.join(own.select(F.col("v").alias("next")), "next", "left_anti").join(ins.select("next"), "next", "left_anti").select("v", "next", "letter").unionByName(ins.select("v", "next", "letter")))
+        heads = cut(heads.unionByName(own))
+        met = walks(links, heads)
+    steps = met.withColumnRenamed("v", "part").join(parts.drop("letter"), "part").join(links.select(F.col("next").alias("part"), "letter"), "part", "left")
+    steps = steps.join(heads.select("id", "came", "read_id", "seq", "end"), "id")
+    begin = F.when(F.col("pos") == 0, F.col("came")).otherwise(F.col("from"))
+    text = F.concat(F.when(F.col("pos") == 0, "").otherwise(F.coalesce("letter", F.lit(""))), F.expr("substring(v, start + 1, `to` - start)"))
+    steps = steps.withColumn("start", begin).join(ways.select("v", F.lit(True).alias("on")), "v", "left")
+    voted = F.col("deepest") & F.col("on").isNull()
+    all_ = steps.select("id", "read_id", "seq", "end", F.struct("pos", text.alias("letters"), voted.alias("voted")).alias("x")).groupBy("id", "read_id", "seq", "end").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    letters = F.array_join(F.transform("x", lambda x: x["letters"]), "")
+    stop = F.when(F.element_at("x", -1)["voted"], F.lit("vote")).otherwise(F.col("end"))
+    contigs = cut(all_.select(F.col("read_id").alias("seed_id"), F.concat("seq", letters).alias("seq"), F.length(letters).cast("long").alias("ext_len"), stop.alias("stop")))
+    left = unused_reads(unique, tiles(unique, contigs.select(F.col("seed_id").alias("contig_id"), "seq"), vote_floor))
+    return contigs.unionByName(left.select(F.col("read_id").alias("seed_id"), "seq", F.lit(0).cast("long").alias("ext_len"), F.lit("single").alias("stop")))
+
+
 def extend_both(unique: DataFrame, seeds: DataFrame, max_steps: int | None = None, **how) -> DataFrame:
     """seed_id, seq, left_len, right_len, left_stop, right_stop: extended to the right, and to the left on the reverse complements.
 

@@ -466,3 +466,73 @@ def q_offsets(spark, d):
 @_query("fetch_records", "SELECT read_id, concat(seq, ';', repeat('I', length(seq))) AS record FROM reads WHERE read_id % 100 = 0")
 def q_fetch(spark, d):
     return fastq.fetch(q_fastq(spark, d), _targets(spark, d).select(F.col("target_id").alias("read_id")))
+
+
+#: Mismatches can't be fewer than differing letters less those that are wild.
+CLOSE = "hamming(t.seq, u.seq) <= 3 + 74 - length(replace(t.seq, 'N', '')) - length(replace(u.seq, 'N', ''))"
+
+
+@_query("near_docs", f"{U}, k AS (SELECT t.read_id AS target_id, u.read_id, CAST({COST.format(t='t.seq', r='u.seq')} AS BIGINT) AS cost FROM reads t, u WHERE t.read_id % 100 = 0 AND {CLOSE}) SELECT target_id, read_id, cost FROM k WHERE cost <= 3", DOCS_SQL)
+def q_near_docs(spark, d):
+    """Near matches among reads that are full of N."""
+    reads = cut(reads_docs(spark, d))
+    return search.near_batch(cut(dedup.unique_reads(reads)), reads.where("read_id % 100 = 0").select(F.col("read_id").alias("target_id"), F.col("seq").alias("target")))
+
+
+WAY = """array_to_string(list_transform(range(1, 38), lambda i: CASE WHEN substr(t.seq, CAST(i AS BIGINT), 1) = substr(u.seq, CAST(i AS BIGINT), 1) THEN '0' WHEN substr(u.seq, CAST(i AS BIGINT), 1) = 'N' THEN '1'
+  ELSE translate(substr(u.seq, CAST(i AS BIGINT), 1), 'ACGT', '2345') END), '')"""
+
+
+@_query("near_order", f"{U}, k AS (SELECT t.read_id AS target_id, u.read_id, CAST({COST.format(t='t.seq', r='u.seq')} AS BIGINT) AS cost, {WAY} AS way FROM reads t, u WHERE t.read_id % 100 = 0 AND {CLOSE}) SELECT target_id, read_id, cost, row_number() OVER (PARTITION BY target_id ORDER BY way) - 1 AS place FROM k WHERE cost <= 3")
+def q_near_order(spark, d):
+    """Near matches in the order in which a descent of the index meets them."""
+    u, t = cut(_unique(spark, d)), cut(_targets(spark, d))
+    return search.in_descent_order(u, t, search.near_batch(u, t))
+
+
+_BAD = "read_id % 50 = 7"
+
+
+@_query("fastq_rejects", f"""fq AS (SELECT read_id, concat('@', read_id, chr(10), seq, chr(10), CASE WHEN {_BAD} THEN '-' ELSE '+' END, chr(10), repeat('I', length(seq))) AS record FROM reads),
+fp AS (SELECT read_id, record, CAST(coalesce(sum(length(record) + 1) OVER (ORDER BY read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM fq)
+SELECT read_id, byte_offset, 'third line' AS reason, record FROM fp WHERE {_BAD}""")
+def q_rejects(spark, d):
+    """The reads written as FASTQ, some with a bad third line; the records that a scan leaves out."""
+    path = scratch(spark, "rejects")
+    lines = F.concat(F.lit("@"), F.col("read_id"), F.lit("\n"), F.col("seq"), F.lit("\n"), F.when(F.expr(_BAD), "-").otherwise("+"), F.lit("\n"), F.expr("repeat('I', length(seq))"))
+    reads_synth(spark, d).select("read_id", lines.alias("value")).orderBy("read_id").select("value").write.text(path)
+    return fastq.read_rejects(spark, path)
+
+
+@_query("afg_files", f"""{BEST},
+us AS (SELECT DISTINCT contig_id, read_id FROM best)
+SELECT contig_id, 0 AS part, read_id AS n, {RED} AS line FROM us JOIN reads USING (read_id)
+UNION ALL SELECT seed_id, 1, seed_id, regexp_replace({CTG}, chr(10) || '[}}]$', '') FROM con
+UNION ALL SELECT contig_id, 2, read_id, translate({TLE}, ' ', chr(10)) FROM best
+UNION ALL SELECT seed_id, 3, seed_id, '}}' FROM con""")
+def q_afg_files(spark, d):
+    """The parts of the assembled files of all contigs, a file for each."""
+    u, c, t = _tiled(spark, d)
+    reads = reads_synth(spark, d).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    contigs = c.select(F.col("seed_id").alias("contig_id"), F.expr("left(seq, length(seq) - ext_len)").alias("seed"), F.expr("right(seq, ext_len)").alias("letters"))
+    return amos.afg_files(reads, contigs, extend.best_tiles(t))
+
+
+@_query("assembly_all", f"""{V},
+{_graph_sql()},
+bg AS MATERIALIZED (SELECT read_id, arg_max(j.id, m) AS id FROM (SELECT read_id, seq, unnest(range(0, 37)) AS m FROM u) s JOIN ix j ON j.prefix = right(s.seq, CAST(m AS BIGINT)) GROUP BY read_id),
+r0 AS MATERIALIZED (SELECT DISTINCT id FROM bg),
+{(","+chr(10)).join(f"r{k + 1} AS MATERIALIZED (SELECT id FROM r{k} UNION SELECT nxt FROM r{k} JOIN d{k} USING (id)), d{k + 1} AS MATERIALIZED (SELECT a.id, b.nxt FROM d{k} a JOIN d{k} b ON b.id = a.nxt)" for k in range(DOUBLINGS))},
+mn AS MATERIALIZED (SELECT d0.nxt AS id, arg_min(d0.id, {{'l': -length(st.state), 's': st.state}}) AS pred FROM d0 JOIN r{DOUBLINGS} r ON r.id = d0.id JOIN st ON st.id = d0.id GROUP BY d0.nxt),
+k0 AS MATERIALIZED (SELECT pred AS id, id AS nxt FROM mn),
+hd AS MATERIALIZED (SELECT id, min(read_id) AS seed_id FROM bg WHERE id NOT IN (SELECT id FROM mn) GROUP BY id),
+p0 AS MATERIALIZED (SELECT seed_id, id, CAST(0 AS BIGINT) AS pos FROM hd),
+{(","+chr(10)).join(f"p{k + 1} AS MATERIALIZED (SELECT * FROM p{k} UNION ALL SELECT seed_id, nxt, pos + {1 << k} FROM p{k} JOIN k{k} USING (id)), k{k + 1} AS MATERIALIZED (SELECT a.id, b.nxt FROM k{k} a JOIN k{k} b ON b.id = a.nxt)" for k in range(DOUBLINGS))},
+con AS MATERIALIZED (SELECT w.seed_id, any_value(u.seq) AS seed, coalesce(string_agg(st.letter, '' ORDER BY w.pos) FILTER (w.id IN (SELECT id FROM k0)), '') AS letters,
+  CASE WHEN arg_max(coalesce(st.letter, ''), w.pos) = '' THEN 'vote' ELSE 'joined' END AS stop FROM p{DOUBLINGS} w JOIN st USING (id) JOIN u ON u.read_id = w.seed_id GROUP BY w.seed_id),
+{_tiles_sql()}
+SELECT seed_id, concat(seed, letters) AS seq, length(letters) AS ext_len, stop FROM con
+UNION ALL SELECT read_id, seq, 0, 'single' FROM u WHERE read_id NOT IN (SELECT read_id FROM til)""")
+def q_assembly_all(spark, d):
+    """Contigs that leave no read unused."""
+    return extend.assemble_all(cut(_unique(spark, d)))
