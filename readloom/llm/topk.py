@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from readloom.llm.common import table
 
 #: Rows of a block of candidates (fewer if they have more than 64 components) and queries of a batch: they bound memory.
-BLOCK, QUERY_BLOCK = 16_384, 256
+BLOCK, QUERY_BLOCK = 16_384, 128
 #: Impacts that differ only in the lowest bits share a level.
 SHIFT = 2
 #: Shares of the postings that are processed by the end of each run but the last.
-RUNS = (1 / 16, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8)
+RUNS = (1 / 64, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8)
+#: A run whose postings fill this share of (candidates x dimensions) is added by one matrix product, others segment by segment.
+FULL = 1 / 32
 #: A query stops when no more than this share of a block is possible.
 FEW = 1 / 16
 #: Queries whose best scores a task remembers between its blocks.
@@ -76,6 +78,14 @@ class ImpactIndex:
         self.by_run: dict[int, list[tuple]] = {}
         for segment in self.segments:
             self.by_run.setdefault(segment[0], []).append(segment)
+        # well filled runs as matrices of values and of ones
+        self.filled: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for r in self.by_run:
+            part = run == r
+            if part.sum() >= FULL * self.rows.size:
+                values = np.zeros(self.rows.shape, dtype=np.float32)
+                values[self.candidate[part], dimension[part]] = self.value[part]
+                self.filled[r] = values, (values != 0).astype(np.float32)
         # norm of what is unprocessed after each run
         left, self.rest = (self.rows.astype(np.float64) ** 2).sum(axis=1), []
         self.longest = float(np.sqrt(left.max(initial=0))) * (1 + 1e-9) + 1e-6
@@ -106,29 +116,38 @@ class ImpactIndex:
         open_ = np.arange(len(queries))
         if least is not None:
             open_ = open_[norms * self.longest >= least]
-        sums, seen = np.zeros((n, len(open_))), np.zeros((n, len(open_)))
+        # bounds are kept in single precision and widened by what it may be off
+        sums, seen = (np.zeros((len(open_), n), dtype=np.float32) for _ in range(2))
+        off = (self.rows.shape[1] + 64) * 1.2e-7
         own = np.searchsorted(self.ids, query_ids)
         own = np.where((own < n) & (self.ids[np.minimum(own, n - 1)] == query_ids), own, -1)
         last = max(len(self.groups()) - 1, 0)
         for run in range(last + 1):
-            active, squares = weights[open_], weights[open_] ** 2
+            active = weights[open_].astype(np.float32)
+            squares = active**2
+            if run in self.filled:
+                values, ones = self.filled[run]
+                sums += active @ values.T
+                seen += squares @ ones.T
             for _, d, i, j in self.by_run.get(run, ()):
-                at = self.candidate[i:j]
-                sums[at] += self.value[i:j, None] * active[None, :, d]
-                seen[at] += squares[None, :, d]
                 self.touched += np.count_nonzero(active[:, d]) * (j - i)
-            left = norms[open_] ** 2
-            rest = self.rest[run] if self.rest else np.zeros(n)
-            slack = (np.sqrt(np.maximum(left * (1 + 1e-12) - seen, 0)) * rest[:, None]).T + (norms[open_] * self.longest * 1e-12)[:, None]
-            partial = sums.T
-            low = partial - slack
+                if run not in self.filled:
+                    at = self.candidate[i:j]
+                    sums[:, at] += active[:, d, None] * self.value[i:j].astype(np.float32)
+                    seen[:, at] += squares[:, d, None]
+            rest = (self.rest[run] if self.rest else np.zeros(n)).astype(np.float32) * np.float32(1 + 1e-6)
+            slack = np.maximum((norms[open_] ** 2 * (1 + off)).astype(np.float32)[:, None] - seen, 0)
+            np.sqrt(slack, out=slack)
+            slack *= rest
+            slack += (norms[open_] * self.longest * off).astype(np.float32)[:, None] + np.float32(1e-6)
+            low = sums - slack
             has = own[open_] >= 0
             low[np.nonzero(has)[0], own[open_][has]] = -np.inf
             # the k-th best proven score; with fewer than k candidates all stay
-            theta = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
+            theta = np.partition(low, n - k, axis=1)[:, n - k].astype(np.float64) if n > k else np.full(len(open_), -np.inf)
             if least is not None:
                 theta = np.maximum(theta, least[open_])
-            possible = partial + slack >= theta[:, None]
+            possible = sums + slack >= theta[:, None]
             possible[np.nonzero(has)[0], own[open_][has]] = False
             few = possible.sum(axis=1) <= max(16 * k, n * FEW)
             done = few | (run == last)
@@ -139,7 +158,7 @@ class ImpactIndex:
                 exact = self._scores(at, queries[open_[i]])
                 best = np.lexsort((self.ids[at], -exact))[:k]
                 found.append((int(query_ids[open_[i]]), self.ids[at][best], exact[best]))
-            open_, sums, seen = open_[~done], sums[:, ~done], seen[:, ~done]
+            open_, sums, seen = open_[~done], sums[~done], seen[~done]
             if not len(open_):
                 break
         return found
