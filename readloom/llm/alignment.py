@@ -32,7 +32,7 @@ from readloom.llm.token_counts import MARK, Counter
 from readloom.llm.tokenizing import ByteBpe
 
 #: Links and rows of a chunk, and words that a worker keeps.
-LINKS, ROWS, KEPT = 1 << 21, 4096, 300_000
+LINKS, ROWS, KEPT = 1 << 21, 4096, 500_000
 SIDE = 32
 
 
