@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readloom.functions.sequence import reverse_complement
 from readloom.operators import amos, dedup, extend, overlap, search, trie
 from readloom.plans.fixtures import DOCS_SQL, SYNTH_SQL, reads_docs, reads_synth
-from readloom.sources import fastq, text
+from readloom.sources import binary, fastq, text
 from readloom.sources.tables import cut, scratch
 
 QUERIES: dict = {}
@@ -18,7 +18,9 @@ SQL: dict = {}
 def _query(name: str, sql: str | None = None, reads: str = SYNTH_SQL):
     def keep(f):
         QUERIES[name] = f
-        if sql:
+        if sql and sql.startswith("WITH"):  # that of another query
+            SQL[name] = sql
+        elif sql:
             start = "WITH RECURSIVE" if "FROM path" in sql else "WITH"
             SQL[name] = f"{start} {reads},\n{sql}" if not sql.startswith("SELECT") else f"{start} {reads}\n{sql}"
         return f
@@ -536,3 +538,19 @@ UNION ALL SELECT read_id, seq, 0, 'single' FROM u WHERE read_id NOT IN (SELECT r
 def q_assembly_all(spark, d):
     """Contigs that leave no read unused."""
     return extend.assemble_all(cut(_unique(spark, d)))
+
+
+@_query("offset_file", SQL["read_offsets"])
+def q_offset_file(spark, d):
+    """The offset index written as fixed-width binary files and read by byte ranges."""
+    path = scratch(spark, "index")
+    binary.write_offsets(q_offsets(spark, d), path)
+    return binary.read_offsets(spark, path)
+
+
+@_query("cell_file", SQL["trie_cells"])
+def q_cell_file(spark, d):
+    """The cells of the prefix index written as five words each and read by byte ranges."""
+    path = scratch(spark, "edges")
+    binary.write_cells(trie.cells(cut(_unique(spark, d))), path)
+    return binary.read_cells(spark, path)
