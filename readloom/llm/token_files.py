@@ -9,7 +9,7 @@ range_coder.py, and both write the same bytes. Reading back decodes whole files,
 the place in its file plus the ids of all files before, of which there is a row each.
 
 Defined cases: a null text counts as empty (the end id alone); rows with null doc_id come first, repeated doc_ids in
-the order of their texts; a text of any length may span many blocks; an empty table gives no rows; other columns
+the order of their texts inside a file and of their first 64 letters across files; a text of any length may span many blocks; an empty table gives no rows; other columns
 are ignored.
 """
 
