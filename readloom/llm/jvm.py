@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 #: Name, class and result of the functions.
 FUNCTIONS = {
     "readloom_encode_record": ("EncodeRecord", "binary"),
-    "readloom_read_documents": ("ReadDocuments", "array<struct<partition:bigint,doc_id:bigint,local:bigint,n_tokens:bigint,ids_crc32:bigint>>"),
-    "readloom_read_sizes": ("ReadSizes", "array<struct<partition:bigint,size:bigint>>"),
+    "readloom_read_documents": ("ReadDocuments", "array<struct<partition:bigint,first:bigint,doc_id:bigint,local:bigint,n_tokens:bigint,ids_crc32:bigint>>"),
+    "readloom_read_sizes": ("ReadSizes", "array<struct<partition:bigint,first:bigint,size:bigint>>"),
 }
 
 

@@ -5,10 +5,12 @@ byte string and a CRC-32 of its ids, so blocks decode alone; here all blocks of
 id of each at a time, with integer arithmetic only (any machine decodes the same).
 
 Model. Order 2 and order 1: a table keyed by the last two ids, and one by the last id, each predict one id and hold
-the probability that it comes true. Both are mixed with what has happened, in this block, in the same situation
-(how sure each of the two is, and whether they agree); the masses of the two predictions and of neither drive the
-first coding step. Order 0: adaptive frequencies of id classes (small ids alone, others in ranges) drive the second
-step when neither prediction comes true; the place within a class is uniform.
+the probability that it comes true. Order 0: adaptive frequencies of id classes (small ids alone, others in ranges);
+the place within a class is uniform. How likely order 2's id is comes from mixing what all three orders say of it, and
+how often it came true in the same situation (how sure each of the two is, and whether they agree): their log odds are
+added with weights, of which each situation has its own. The weights are learned in the block: after each id they move
+against the coding error. Order 1's id is weighed in the same way for where order 2's does not come. The masses of the
+two ids and of neither drive the first coding step; order 0 alone drives the second, when neither came true.
 
 TokenCoder.java is the same coder for one block at a time, which the files are written and read with; this one is the
 plain form of the format, and the tests hold both against each other.
@@ -30,6 +32,29 @@ WORD, WINDOW = 28, 56
 LOW = (1 << WORD) - 1
 GROUP = 32  # classes that are searched together
 STEADY = 512  # order-0 frequencies are renewed at 16, 32, 64 ... and from here on every so many ids
+INPUTS = 4, 3  # what is mixed for order 2's id (orders 2, 1, 0, situation) and for order 1's (orders 1, 0, situation)
+FIRST, RATE = 16384, 15  # weights at a block's start, of 65536, and how many bits less of an error's product they move by
+ODDS = 4095  # largest log odds, in steps of 1/256 bit
+LEAST, MOST = 32, 65000  # a mixed probability's bounds, of 65536
+
+
+def _log_odds() -> np.ndarray:
+    """log2(p / (65536 - p)) in steps of 1/256 for p of 0 (taken as 1) to 65535, by squaring integers."""
+    p = np.arange(1, 65536, dtype=np.int64)
+    whole = sum((p >> bit > 0).astype(np.int64) for bit in range(1, 16))
+    rest, log = p << 30 - whole, whole << 8
+    for bit in range(7, -1, -1):
+        rest = rest * rest >> 30
+        two = rest >> 31
+        log += two << bit
+        rest >>= two
+    odds = log - log[::-1]
+    return np.concatenate([odds[:1], odds])
+
+
+LOG_ODDS = _log_odds()
+#: The smallest p of 65536 with log odds of -ODDS, -ODDS + 1 ... ODDS, within the bounds.
+CHANCE = np.clip(1 + np.searchsorted(LOG_ODDS[1:], np.arange(-ODDS, ODDS + 1)), LEAST, MOST)
 
 
 class Model:
@@ -43,6 +68,7 @@ class Model:
         self.at_group = lane * self.groups
         self.t2, self.t1 = (np.full(lanes << SLOTS, -1 << 16, dtype=np.int64) for _ in range(2))  # id << 16 | chance
         self.g = np.full(lanes * 32, 8192 << 16 | 8192, dtype=np.int64)  # chance of order 2 << 16 | of order 1
+        self.weights = np.full((lanes * 32, sum(INPUTS)), FIRST, dtype=np.int64)
         self.counts = np.ones((lanes, self.classes), dtype=np.int32)
         self.counts[:, :ALONE] = 2
         self.cum = np.full((lanes, self.groups * GROUP + 1), 65536, dtype=np.int64)
@@ -81,14 +107,26 @@ class Model:
         self.j = self.at_g + (q2 >> 14 << 3 | q1 >> 14 << 1 | same)
         g = self.g.take(self.j)
         g2, g1 = g >> 16, g & 65535
-        m2 = np.minimum((q2 + g2 >> 1) + 32, 64000)
-        m1 = np.maximum((65536 - m2) * (np.minimum(q1 + g1 >> 1, 63000) + 32) >> 16, 1) * ~same
-        self.seen = c2, c1, q2, q1, g2, g1
+        self.odds = LOG_ODDS.take(np.stack([q2, q1, self._order0(c2), g2, q1, self._order0(c1), g1], axis=1))
+        said = self.weights.take(self.j, axis=0) * self.odds
+        m2 = self._mixed(said[:, : INPUTS[0]])
+        p1 = self._mixed(said[:, INPUTS[0] :])
+        m1 = np.maximum((65536 - m2) * p1 >> 16, 1) * ~same
+        self.seen = c2, c1, q2, q1, g2, g1, m2, p1, same
         return c2, c1, m2, m1
 
+    def _order0(self, c: np.ndarray) -> np.ndarray:
+        """Order 0's mass of the class of id c, 0 without one."""
+        return (self.slots.take(self.at_c + _class_of(np.maximum(c, 0))) & 0xFFFFF) * (c >= 0)
+
+    def _mixed(self, said: np.ndarray) -> np.ndarray:
+        return CHANCE.take(np.clip(said.sum(axis=1) >> 16, -ODDS, ODDS) + ODDS)
+
     def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, c1_right: np.ndarray, klass: np.ndarray) -> None:
         """x: the ids that came; klass: their class where neither prediction was right."""
-        c2, c1, q2, q1, g2, g1 = self.seen
+        c2, c1, q2, q1, g2, g1, m2, p1, same = self.seen
+        error = np.repeat(np.stack([hit2 * 65536 - m2, (hit1 * 65536 - p1) * ~(hit2 | same)], axis=1), INPUTS, axis=1)
+        self.weights[self.j] += self.odds * error >> RATE
         fresh = x << 16 | 16384
         # a poor prediction that fails makes room
         self.t2[self.i2] = np.where(hit2 | (q2 >= 24000), c2 << 16 | q2 + (hit2 * 65535 - q2 >> 2), fresh)
@@ -233,7 +271,7 @@ def encode_segment(ids: np.ndarray, vocabulary: int, lanes: int = 1024, longest:
             table[i, : at[b + 1] - at[b]] = ids[at[b] : at[b + 1]]
             sums.append(zlib.crc32(ids[at[b] : at[b + 1]].astype("<u4").tobytes()))
         blocks += encode_blocks(table, vocabulary)
-    head = MAGIC + struct.pack("<BIQII", 1, vocabulary, n, count, lanes)
+    head = MAGIC + struct.pack("<BIQII", 2, vocabulary, n, count, lanes)
     return head + np.array([[len(b), s] for b, s in zip(blocks, sums, strict=True)], dtype="<u4").tobytes() + b"".join(blocks)
 
 
@@ -245,7 +283,7 @@ def decode_segment(data: bytes) -> np.ndarray:
     at = 4 + struct.calcsize("<BIQII")
     table = np.frombuffer(data, dtype="<u4", count=2 * count, offset=at).reshape(count, 2)
     at += 8 * count
-    if version != 1 or len(data) != at + int(table[:, 0].sum()):
+    if version != 2 or len(data) != at + int(table[:, 0].sum()):
         raise ValueError("unknown version or cut off")
     length = -(-n // count) if count else 0
     lengths = np.where(np.arange(count) < count - (count * length - n), length, length - 1)

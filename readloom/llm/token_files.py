@@ -3,7 +3,8 @@
 Documents are dealt by ranges of (doc_id, start of the text, a number), so that rows without doc_id or with one doc_id
 are split too, and sorted; every task tokenises its range and writes one file of records through Spark's text sink,
 whose line end is the record's end mark, so writing is committed and recoverable on any file system. A record holds its
-partition and number, the documents (id, length) and a segment of coded ids (blocks reset and checksummed alone).
+partition and number, the documents (id, length) and a segment of coded ids (blocks reset and checksummed alone). After
+PER_FILE records a task begins its next file, so files stay small enough to be read whole, whatever a task's share.
 Coding goes id by id, which Python is slow at: TokenCoder.java does it inside the executors' JVM, in the format of
 range_coder.py, and both write the same bytes. Reading back decodes whole files, one task each; a document's `start` is
 the place in its file plus the ids of all files before, of which there is a row each.
@@ -30,12 +31,15 @@ from readloom.llm.jvm import coder_functions
 from readloom.llm.tokenizing import byte_bpe
 
 MAGIC = b"RLTF"
-#: Ids of a record: they bound a task's memory.
+#: Ids of a record (one document may have more): they bound a task's memory.
 RECORD = 1 << 21
+#: Records of a file: some 40 MB.
+PER_FILE = 16
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
     """Writes the ids of every document, each followed by end_id."""
+    most = RECORD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, bpe, number = TaskContext.get().partitionId(), byte_bpe(tokenizer_path), 0
@@ -58,7 +62,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> N
                 ids.append(np.concatenate([bpe.ids(text or ""), end]))
                 known.append((doc_id or 0, len(ids[-1]), doc_id is None))
                 size += len(ids[-1])
-                if size >= RECORD:
+                if size >= most:
                     yield record()
                     ids, known, size = [], [], 0
         if known:
@@ -71,18 +75,18 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> N
     held = held.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first(), F.rand(7))
     held = held.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     records = held.mapInArrow(run, "meta binary, index binary, ids binary, width int, vocabulary int")
-    records.select(F.expr("cast(readloom_encode_record(meta, index, ids, width, vocabulary) AS string) AS value")).write.text(path)
+    records.select(F.expr("cast(readloom_encode_record(meta, index, ids, width, vocabulary) AS string) AS value")).write.option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def read(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the decoded ids; an error if a file is damaged."""
     coder_functions(spark)
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    before = F.sum("size").over(Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
-    sizes = files.select(F.expr("inline(readloom_read_sizes(content))")).groupBy("partition").agg(F.sum("size").alias("size"))
-    offsets = sizes.select("partition", F.coalesce(before, F.lit(0)).alias("before"))
+    before = F.sum("size").over(Window.orderBy("partition", "first").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    sizes = files.select(F.expr("inline(readloom_read_sizes(content))"))
+    offsets = sizes.select("partition", "first", F.coalesce(before, F.lit(0)).alias("before"))
     found = files.select(F.expr("inline(readloom_read_documents(content))"))
-    return found.join(offsets, "partition").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return found.join(offsets, ["partition", "first"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -53,6 +53,36 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, read(spark, path).collect()), key=lambda r: r[1]) == want
 
 
+def test_files_are_rolled_by_records(spark, tmp_path, monkeypatch):
+    from readloom.llm import token_files
+
+    monkeypatch.setattr(token_files, "RECORD", 200)
+    monkeypatch.setattr(token_files, "PER_FILE", 2)
+    rows = [(i, f"text number {i} " * (1 + i % 5)) for i in range(300)] + [(300, "long " * 5000)]
+    path = str(tmp_path / "ids")
+    write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, PATH)
+    files = [f for f in glob.glob(path + "/part-*") if open(f, "rb").read(4)]
+    assert len(files) >= 8 and max(open(f, "rb").read().count(token_files.MAGIC) for f in files) == 2
+    lib, want, at = Tokenizer.from_file(PATH), [], 0
+    for doc_id, text in rows:
+        ids = lib.encode(text, add_special_tokens=False).ids + [2]
+        want.append((doc_id, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert sorted(map(tuple, read(spark, path).collect())) == want
+
+
+def test_weights_learn_which_order_to_trust():
+    rng = np.random.default_rng(5)
+    after = rng.integers(0, 900, (30, 30))  # the last two ids tell the next, the last one alone does not
+    ids = [1, 2]
+    for _ in range(20_000):
+        ids.append(int(after[ids[-2] % 30, ids[-1] % 30]) if rng.random() < 0.95 else int(rng.integers(0, 900)))
+    told = encode_segment(np.array(ids), 50_257)
+    noise = encode_segment(rng.integers(0, 900, 20_000), 50_257)  # nothing to learn: no prediction may cost much
+    assert len(told) < 0.75 * len(noise) and len(noise) * 8 < 10.6 * 20_000
+    assert (decode_segment(told) == ids).all()
+
+
 def test_empty_table(spark, tmp_path):
     write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "e"), PATH)
     assert read(spark, str(tmp_path / "e")).count() == 0
