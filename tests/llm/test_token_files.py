@@ -73,13 +73,13 @@ def test_files_are_rolled_by_records(spark, tmp_path, monkeypatch):
 
 def test_weights_learn_which_order_to_trust():
     rng = np.random.default_rng(5)
-    after = rng.integers(0, 900, (30, 30))  # the last two ids tell the next, the last one alone does not
+    after = rng.integers(0, 900, (4, 4))  # the last two ids tell the next, the last one alone does not
     ids = [1, 2]
     for _ in range(20_000):
-        ids.append(int(after[ids[-2] % 30, ids[-1] % 30]) if rng.random() < 0.95 else int(rng.integers(0, 900)))
+        ids.append(int(after[ids[-2] % 4, ids[-1] % 4]) if rng.random() < 0.98 else int(rng.integers(0, 900)))
     told = encode_segment(np.array(ids), 50_257)
-    noise = encode_segment(rng.integers(0, 900, 20_000), 50_257)  # nothing to learn: no prediction may cost much
-    assert len(told) < 0.75 * len(noise) and len(noise) * 8 < 10.6 * 20_000
+    noise = encode_segment(rng.integers(0, 900, 20_000), 50_257)  # nothing to learn: no prediction may cost much beyond the 9.8 bits
+    assert len(told) * 8 < 1.5 * 20_000 and len(noise) * 8 < 11.2 * 20_000
     assert (decode_segment(told) == ids).all()
 
 
