@@ -10,7 +10,8 @@ Files are written by Spark's own text sink (committed, on any file system, recov
 the gzip codec compresses whole files. A file ends after PER_FILE rows of the sink, each of CHUNK bytes of records (or
 one larger record), so a task holds a bounded file. Which record is a response is decided on (digest, page id) rows
 alone. The decisions are few and go to the files in waves, each broadcast to its own files, so payloads are never
-shuffled and no more than WAVE decisions are broadcast at a time.
+shuffled and no more than WAVE decisions are broadcast at a time. Where there are several waves, the decisions are
+written once, a folder for each wave, and a wave reads its own.
 
 Defined cases: a null html is an empty payload; a null url is written as `urn:none`, white space and control characters
 in URLs are percent-encoded; rows without page_id are responses and never referred to; repeated rows with the largest
@@ -30,8 +31,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from readloom.llm.common import cut, scratch, table, tidy
+from readloom.llm.common import cut, remove, scratch, table, tidy
 
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -269,11 +271,18 @@ def convert(spark, arc: str, warc: str) -> None:
     revisits = cut(found.where("page_id is not null").join(largest, "digest").where("page_id < to.page_id").select("path", "i", "to"))
     sizes = {r[0]: r[1] for r in found.select("path").distinct().join(revisits.groupBy("path").count(), "path", "left").fillna(0).collect()}  # a row for each file
     waves = waves_of(sizes, WAVE)
+    if len(waves) > 1:
+        told = scratch(spark, "decisions")
+        wave_of = spark.createDataFrame([(path, number) for number, paths in enumerate(waves) for path in paths], "path string, wave int")
+        revisits.join(wave_of, "path").repartition(len(waves), "wave").write.partitionBy("wave").parquet(told)
+        revisits = spark.read.schema(StructType([*revisits.schema.fields, StructField("wave", IntegerType())])).parquet(told)
     for number, paths in enumerate(waves or [[]]):
-        some = revisits if len(waves) < 2 else revisits.where(F.col("path").between(paths[0], paths[-1]))
+        some = revisits if len(waves) < 2 else revisits.where(F.col("wave") == number)
         decisions = some.groupBy("path").agg(F.collect_list(F.struct("i", "to")).alias("decisions"))
         files = _files(spark, arc if len(waves) < 2 else paths)
         _write(files.join(F.broadcast(decisions), "path", "left").select("path", "content", "decisions").mapInArrow(writer(number), "value binary"), warc)
+    if len(waves) > 1:
+        remove(spark, told)
 
 
 def read_warc(spark, warc: str) -> DataFrame:
