@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions.sequence import reverse_complement
-from readloom.operators import amos, dedup, extend, overlap, search, trie
+from readloom.operators import amos, dedup, extend, overlap, routes, search, trie
 from readloom.plans.fixtures import DOCS_SQL, SYNTH_SQL, reads_docs, reads_synth
 from readloom.sources import binary, fastq, text
 from readloom.sources.tables import cut, scratch
@@ -428,6 +428,21 @@ def q_paths(spark, d):
     return overlap.cheapest_paths(overlap.overlap_pairs(u), u.where("read_id % 1000 = 0"), 4)
 
 
+@_query("overlap_tree", f"""{U},\n{O},\n{PAIRS},
+ed AS MATERIALIZED (SELECT a_id, b_id, CAST(min(k) AS BIGINT) AS k FROM op WHERE a_id <> b_id GROUP BY ALL),
+path(source_id, read_id, cost) USING KEY (source_id, read_id) AS (SELECT read_id, read_id, CAST(0 AS BIGINT) FROM u WHERE read_id % 1000 = 0
+  UNION SELECT p.source_id, e.b_id, min(p.cost + e.k) FROM path p JOIN ed e ON e.a_id = p.read_id
+    LEFT JOIN recurring.path o ON o.source_id = p.source_id AND o.read_id = e.b_id WHERE o.cost IS NULL OR p.cost + e.k < o.cost GROUP BY ALL),
+tight AS (SELECT b.source_id, b.read_id, arg_min(a.read_id, (e.k, a.read_id)) AS before_id
+  FROM path a JOIN ed e ON e.a_id = a.read_id JOIN path b ON b.source_id = a.source_id AND b.read_id = e.b_id WHERE a.cost + e.k = b.cost GROUP BY ALL)
+SELECT p.source_id, p.read_id, p.cost, t.before_id FROM path p LEFT JOIN tight t ON t.source_id = p.source_id AND t.read_id = p.read_id""")
+def q_tree(spark, d):
+    """Cheapest paths of any number of overlaps from every thousandth read to all that it reaches, each with the read before."""
+    u = cut(_unique(spark, d))
+    edges = cut(routes.edges_of(overlap.overlap_pairs(u)))
+    return routes.tree(edges, routes.costs(edges, u.where("read_id % 1000 = 0")))
+
+
 @_query("near_percent", f"{U}, k AS (SELECT t.read_id AS target_id, u.read_id, CAST({COST.format(t='t.seq', r='u.seq')} AS BIGINT) AS cost FROM reads t, u WHERE t.read_id % 100 = 0 AND hamming(t.seq, u.seq) <= 2 + 74 - length(replace(t.seq, 'N', '')) - length(replace(u.seq, 'N', ''))) SELECT target_id, read_id, cost FROM k WHERE cost <= 37 * 6 // 100")
 def q_near_percent(spark, d):
     """Reads within six percent of mismatches of each target."""
