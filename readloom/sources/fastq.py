@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 #: Names of packed files.
 PACKED = "[.](gz|bz2|zst|lz4|snappy|deflate)$"
+#: The lines of a record.
+FOUR = ("header", "seq", "plus", "qual")
 
 
 def _no_cr(c: Column) -> Column:
@@ -48,6 +54,47 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path).where("reason is not null").select("read_id", "byte_offset", "reason", record.alias("record"))
 
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of lines in the order of their splits: four neighbouring lines of one split are a row; what a split's end leaves over is a row for each line."""
+    held, total, began = None, 0, 0
+
+    def rows(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        n = table.num_rows
+        part, first, at, size = (table.column(c).to_numpy() for c in ("part", "first", "at", "size"))
+        heads = np.flatnonzero(part == 0)
+        # the lines of a record that the batch's end cuts wait for the next batch
+        kept = n if last or not len(heads) or heads[-1] <= n - 4 else int(heads[-1])
+        heads = heads[heads + 3 < kept]
+        heads = heads[first[heads] == first[heads + 3]]
+        left = np.ones(kept, dtype=bool)
+        for i in range(4):
+            left[heads + i] = False
+        left = np.flatnonzero(left)
+        line, both = table.column("line").combine_chunks(), np.concatenate
+        at_, end = both([at[heads], at[left]]), both([at[heads + 3] + size[heads + 3], at[left] + size[left]])
+        texts = [line.take(pa.array(both([heads + i, left]), mask=both([np.zeros(len(heads), dtype=bool), part[left] != i]))) for i in range(4)]
+        order = pa.array(both([heads, left]))
+        whole = both([np.ones(len(heads), dtype=bool), np.zeros(len(left), dtype=bool)])
+        offset = pa.array(at_, pa.int64(), mask=both([np.zeros(len(heads), dtype=bool), part[left] != 0]))
+        ids, ends = (table.column(c).combine_chunks().take(order) for c in ("read_id", "files_end"))
+        return pa.RecordBatch.from_arrays([ids, *texts, offset, pa.array(end, pa.int64()), ends, pa.array(whole)], ["read_id", *FOUR, "byte_offset", "byte_end", "files_end", "whole"]), table.slice(kept)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = batch.column("size").to_numpy(zero_copy_only=False)
+        before = total + np.cumsum(size) - size
+        total += int(size.sum())
+        begun = np.maximum.accumulate(np.where(batch.column("begins").to_numpy(zero_copy_only=False), before, began))
+        began = int(begun[-1])
+        at = batch.column("bytes_before").to_numpy(zero_copy_only=False) + before - begun
+        table = pa.Table.from_batches([batch]).append_column("at", pa.array(at, pa.int64()))
+        out, held = rows(table if held is None or not held.num_rows else pa.concat_tables([held, table]), False)
+        yield out
+    if held is not None and held.num_rows:
+        yield rows(held, True)[0]
+
+
 def _records(spark: SparkSession, path: str) -> DataFrame:
     """The four lines of each record (null where there are no more), its place, and what is wrong with it."""
     lines = spark.read.option("lineSep", "\n").text(path).select(
@@ -63,13 +110,12 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     before = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # noqa: E731  a row for each file
     files = files.select("file", before(records).alias("records_before"), before(F.col("file_bytes")).alias("files_before"), F.sum("file_bytes").over(Window.orderBy("file")).alias("files_end"))
     blocks = blocks.join(files, "file").select("file", "block", "first", "lines_before", (F.col("bytes_before") + F.col("files_before")).alias("bytes_before"), "records_before", "files_end")
-    inside = F.coalesce(F.sum(size).over(Window.partitionBy("file", "block").orderBy("mid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = lines.withColumn("inside", inside).join(blocks, ["file", "block"])
-    number = F.col("lines_before") + F.col("mid") - F.col("first")
-    placed = placed.select((F.col("records_before") + F.floor(number / 4)).alias("read_id"), (number % 4).alias("part"), "line", (F.col("bytes_before") + F.col("inside")).alias("at"), "files_end", size.alias("size"))
-    pick = lambda i, c="line": F.max(F.when(F.col("part") == i, F.col(c)))
-    found = placed.groupBy("read_id").agg(pick(0).alias("header"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("qual"), pick(0, "at").alias("byte_offset"),
-        F.least(F.max(F.col("at") + F.col("size")), F.max("files_end")).alias("byte_end"))
+    placed = lines.join(F.broadcast(blocks), ["file", "block"]).withColumn("number", F.col("lines_before") + F.col("mid") - F.col("first"))
+    placed = placed.select("line", (F.col("mid") == F.col("first")).alias("begins"), "first", (F.col("records_before") + F.floor(F.col("number") / 4)).alias("read_id"), (F.col("number") % 4).alias("part"), "bytes_before", size.cast("long").alias("size"), "files_end")
+    found = placed.mapInArrow(_scan, f"read_id long, {', '.join(f'{c} string' for c in FOUR)}, byte_offset long, byte_end long, files_end long, whole boolean")
+    # a record that a split's end cuts has its lines in several rows
+    apart = found.where("not whole").groupBy("read_id").agg(*[F.max(c).alias(c) for c in (*FOUR, "byte_offset", "byte_end", "files_end")])
+    found = found.where("whole").drop("whole").unionByName(apart).withColumn("byte_end", F.least("byte_end", "files_end")).drop("files_end")
     found = found.where(~((_no_cr(F.col("header")) == "") & F.col("seq").isNull()))
     reason = F.when(F.col("plus").isNull(), "cut short").when(~F.col("plus").startswith("+"), "third line")
     return found.withColumn("reason", reason)
