@@ -245,7 +245,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text")))
     chosen = allowed.where(unit(13, "doc_id") < limit).withColumn("__rl_place", place).where(F.col("__rl_place") <= max(1, 3 * sample // (2 * len(sizes))))
     found = chosen.select("text", "lang").toPandas().sort_values(["lang", "text"])
-    return learn(found["text"].tolist(), found["lang"].tolist())
+    model = learn(found["text"].tolist(), found["lang"].tolist())
+    del found
+    tidy()  # the driver lives on, too
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

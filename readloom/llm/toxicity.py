@@ -92,8 +92,9 @@ class Sparse:
 
     def __init__(self, rows: list[np.ndarray], width: int):
         self.at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        self.cols = np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-        self.row = np.repeat(np.arange(len(rows)), np.diff(self.at))
+        # numbers of half the width: they are most of what the driver holds
+        self.cols = np.concatenate([*rows, np.zeros(0, dtype=np.int32)], dtype=np.int32, casting="unsafe")
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(self.at))
         self.shape = (len(rows), width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
