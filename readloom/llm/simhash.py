@@ -132,6 +132,10 @@ MOST = 56
 CHAINS = 32
 #: In a bucket of at most so many documents each is held against each, in a larger one against its hub.
 SMALL = 16
+#: Rows with one key that a row is held against in one task, see _rest().
+BLOCK = 4096
+#: Documents, and hashes of each, that tell which hashes are common, and how many of them have such a hash at least.
+COMMON_DOCS, COMMON_HASHES, COMMON = 10_000, 512, 8
 #: Ids up to which a list of them is broadcast (16 MB); beyond it the join is a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rows whose sets of shingles are held at a time.
@@ -202,6 +206,40 @@ def chains(hashes: np.ndarray, similarity: float) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
 
 
+def _common(held: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common hashes in ascending order and their ranks (from 1, the more common the higher), told by some COMMON_DOCS documents.
+
+    They only set the order of a set's hashes, see prefix(): whatever is common here, no pair is missed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            sets = [shingle_set(t or "", k)[:COMMON_HASHES].view(np.int64) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else [], pa.int64())], ["h"])
+        tidy()
+
+    some = held.select("text").sample(min(1.0, COMMON_DOCS / max(held.count(), 1)), seed=1)
+    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    hashes, n = found["h"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy()
+    rank = np.empty(len(n), dtype=np.int64)
+    rank[np.lexsort((hashes, n))] = np.arange(1, len(n) + 1)
+    order = np.argsort(hashes)
+    return hashes[order], rank[order]
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, rare ones before common ones: so many that two similar sets have one of them in common.
+
+    Of n hashes at least similarity * n are in a similar set. So of the first n - similarity * n + 1 one is, and the
+    first hash that two such sets share is among these of both.
+    """
+    n = len(hashes)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.argsort(np.where(common[at] == hashes, rank[at], 0), kind="stable")]
+    return hashes[: n - math.ceil(similarity * n - 1e-6) + 1]
+
+
 def _distance(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in PARTS), F.lit(0))
 
@@ -272,8 +310,7 @@ def _alike(pairs: DataFrame, held: DataFrame, nodes: DataFrame, k: int, similari
     """
     known = nodes.select("node", "size", "parities")
     both = pairs.join(known.toDF("a", "na", "pa"), "a").join(known.toDF("b", "nb", "pb"), "b")
-    differ = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITIES // 64)), F.lit(0))
-    pairs = cut(both.where(differ <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b", "na", "nb"))
+    pairs = cut(both.where(_differ("pa", "pb") <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b", "na", "nb"))
     short = PARITIES  # parities tell less of larger sets: counts come before the sets, which are large
     long_ = pairs.where(F.col("na") + F.col("nb") > short)
 
@@ -311,12 +348,17 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _in_several_groups(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, size, root and __rl_key of the chains that nodes of several groups have in common; fame, see _to_compare()."""
-    rows = _rooted(nodes.select("node", "size", "chains"), roots).select("node", "size", "root", F.explode("chains").alias("__rl_key"))
+def _in_several_groups(nodes: DataFrame, roots: DataFrame, keys: str) -> DataFrame:
+    """node, size, root, pos, __rl_key and n of those of the keys (an array) that nodes of several groups have in common, n rows each."""
+    rows = _rooted(nodes.select("node", "size", keys), roots).select("node", "size", "root", F.posexplode(keys).alias("pos", "__rl_key"))
     # partial sums take care of keys that many have; most keys have one group and end here
     told = rows.groupBy("__rl_key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("__rl_key", "n")
-    rows = cut(rows.join(_small(cut(told)), "__rl_key"))
+    return cut(rows.join(_small(cut(told)), "__rl_key"))
+
+
+def _with_fame(rows: DataFrame) -> DataFrame:
+    """rows with fame, see _to_compare(), in place of pos and n."""
+    rows = rows.drop("pos")
     return cut(rows.join(rows.groupBy("node").agg(F.sum("n").alias("fame")), "node").drop("n"))
 
 
@@ -339,12 +381,40 @@ def _to_compare(rows: DataFrame, similarity: float) -> DataFrame:
     return large.unionByName(two.select(*pair)).distinct()
 
 
+def _differ(a: str, b: str) -> Column:
+    """In how many of their parities two sets differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITIES // 64)), F.lit(0))
+
+
+def _rest(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of nodes in different groups that may be similar: no cap, so that the groups found with it are exact.
+
+    Similar nodes have a hash of their prefixes in common. All nodes of different groups that have one are held against
+    each other, those of a key that very many have in blocks: a task holds BLOCK of its rows and passes the others by. Only
+    pairs become rows whose sizes, places of the first common hash and parities don't prove them too different.
+    """
+    rows = _in_several_groups(nodes, roots, "prefix").join(nodes.select("node", "parities"), "node")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = cut(rows.select("__rl_key", F.struct("node", "root", "size", "pos", "parities").alias("x"), blocks.cast("int").alias("blocks")))
+    passed = rows.select("__rl_key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("x").alias("o"))
+    held = rows.select("__rl_key", F.pmod(F.xxhash64("x.node"), F.col("blocks")).cast("int").alias("block"), "x")
+    both = F.col("x.size") + F.col("o.size")
+    # before the first common hash the two have nothing in common
+    enough = F.least(F.col("x.size") - F.col("x.pos"), F.col("o.size") - F.col("o.pos")) >= similarity / (1 + similarity) * both - 1e-6
+    near = _differ("x.parities", "o.parities") <= (1 - similarity) / (1 + similarity) * both + 1e-6
+    apart = (F.col("o.node") < F.col("x.node")) & (F.col("o.root") != F.col("x.root"))
+    return passed.join(held, ["__rl_key", "block"]).where(apart & enough & near).select(F.col("o.node").alias("a"), F.col("x.node").alias("b")).distinct()
+
+
 def _all_links(nodes: DataFrame, held: DataFrame, k: int, similarity: float) -> DataFrame:
     """node, root of every node that is joined to another by links."""
     links = cut(_alike(_held_against_smallest(nodes.select("node", *PARTS)), held, nodes, k, similarity))
     roots = components(links)
-    pairs = cut(_to_compare(_in_several_groups(nodes, roots), similarity))
-    return components(links.unionByName(_alike(pairs, held, nodes, k, similarity)))
+    pairs = cut(_to_compare(_with_fame(_in_several_groups(nodes, roots, "chains")), similarity))
+    links = cut(links.unionByName(_alike(pairs, held, nodes, k, similarity)))
+    roots = components(links)
+    pairs = cut(_rest(nodes, roots, similarity))
+    return roots if pairs.isEmpty() else components(links.unionByName(_alike(pairs, held, nodes, k, similarity)))
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -355,14 +425,16 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     sets. Most links are found by SimHash: documents with CHAIN consecutive equal segments somewhere on the ring of a
     256-bit fingerprint of their distinct shingles, and at most MOST differing bits, are candidates; each bucket's
     members are held against the bucket's smallest. What this leaves in different groups is looked up by chains of
-    consecutive hashes of the set itself, see chains(): similar sets agree on a dozen of them.
-
-    No step makes more than CHAINS * SMALL rows for each document.
+    consecutive hashes of the set itself, see chains(): similar sets agree on a dozen of them. These two steps are capped
+    (they make no more than CHAINS * SMALL rows for each document) and only spare the last one work: what they leave in
+    different groups is looked up by all hashes of its prefix, see prefix() and _rest(), which misses no link.
 
     Null and empty texts are alike; rows without doc_id stay only if their group has no doc_id; of repeated rows one
     stays; an empty table gives no rows.
     """
     names = docs.columns
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    common, rank = _common(held, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
@@ -371,14 +443,14 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
             digests = np.array([set_digest(x) for x in sets], dtype=np.int64).reshape(-1, len(SET))
             columns = [*(pa.array(digests[:, i]) for i in range(len(SET))), *(pa.array(prints[:, i]) for i in range(len(PARTS))), pa.array([len(x) for x in sets], pa.int64())]
             columns += [pa.array([parities(x) for x in sets], pa.list_(pa.int64())), pa.array([chains(x, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *SET, *PARTS, "size", "parities", "chains"])
+            columns += [pa.array([prefix(x, similarity, common, rank).view(np.int64) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *SET, *PARTS, "size", "parities", "chains", "prefix"])
         tidy()
 
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(held.mapInArrow(run, "doc_id long, " + ", ".join(f"{p} long" for p in (*SET, *PARTS)) + ", size long, parities array<long>, chains array<long>"))
+    prints = cut(held.mapInArrow(run, "doc_id long, " + ", ".join(f"{p} long" for p in (*SET, *PARTS)) + ", size long, parities array<long>, chains array<long>, prefix array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
     # what depends on the set alone is the same in all rows of a group
-    nodes = prints.groupBy(*SET).agg(F.min(order).alias("least"), *(F.first(c).alias(c) for c in (*PARTS, "size", "parities", "chains")), F.count("*").alias("copies"))
+    nodes = prints.groupBy(*SET).agg(F.min(order).alias("least"), *(F.first(c).alias(c) for c in (*PARTS, "size", "parities", "chains", "prefix")), F.count("*").alias("copies"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     rooted = cut(_rooted(nodes.select("node", "least", *SET, "copies"), _all_links(nodes, held, k, similarity)))
     kept = rooted.groupBy("root").agg(F.min(F.struct("least", *SET)).alias("w"), F.sum("copies").alias("copies"))

@@ -4,6 +4,7 @@ import corpus_pipeline
 from brute import components_of
 from pyspark.sql import functions as F
 
+from readloom.llm import simhash
 from readloom.llm.simhash import keep_one
 
 
@@ -131,6 +132,27 @@ def test_short_sets_against_brute_force(spark):
     assert linked and {r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_no_cap_drops_a_link(spark, monkeypatch):
+    """Where fingerprints and chains bring nothing together, the prefixes find every link; large keys go in blocks."""
+    for name, value in (("MOST", -1), ("chains", lambda hashes, similarity: hashes[:0]), ("BLOCK", 5), ("COMMON", 4)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(13)
+    rows, line = [], [f"hot{i}" for i in range(30)]
+    for base in range(40):
+        text = [f"p{base}w{i}" for i in range(rng.choice([6, 40, 150]))]
+        for _ in range(rng.randint(1, 8)):
+            copy = [*text]
+            for at in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 40))):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy + line * (base % 2))))
+    rows += [(len(rows) + i, " ".join([*line, f"end{i}", *"ab"[: i % 3]])) for i in range(30)]  # nearly nothing but the line
+    sets = [grams(t) for _, t in rows]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {rows[r][0] for r in set(components_of(range(len(rows)), linked).values())}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert linked and {r.doc_id for r in keep_one(df).collect()} == want
+
+
 def test_stages_take_nulls_empty_and_repeated_rows(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
