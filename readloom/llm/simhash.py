@@ -128,8 +128,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 LONG, SEGMENT, CHAIN = 256, 8, 2
 #: Beyond MOST differing bits documents are no candidates by their fingerprints.
 MOST = 56
-#: Chains of hashes that a document is looked up by, see chains().
-CHAINS = 32
 #: In a bucket of at most so many documents each is held against each, in a larger one against its hub.
 SMALL = 16
 #: Rows with one key that a row is held against in one task, see _rest().
@@ -175,37 +173,6 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-def chain_lengths(n: int, similarity: float) -> list[int]:
-    """Lengths of the chains of a set of n: for each size u a union with a similar set may have, the length that is sure.
-
-    At most d = (1 - similarity) * u of the u hashes are not in both sets, so some (u - d) / (d + 1) consecutive ones,
-    rounded up, are in both. Longer chains than most large unions are sure of would be kept apart by chance.
-    """
-    usual = max(1, math.ceil(similarity / max(1 - similarity, 1e-9) - 1e-9))
-    sure = set()
-    for u in range(n, min(int(n / similarity + 1e-9), n + 64) + 1):
-        d = int((1 - similarity) * u + 1e-9)
-        sure.add(min(usual, -(-(u - d) // (d + 1)), n))
-    return sorted(sure - {0}) if n < 64 else [usual]
-
-
-def chains(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """At most CHAINS keys of a set: digests of runs of consecutive hashes, in ascending order, the smallest digests.
-
-    All runs are keys where there are no more than CHAINS. Of a larger set's runs about two fifths are also runs of a
-    set with a similarity of 0.8; that none of them is among both sets' smallest CHAINS has a probability of 0.58 ** 32.
-    """
-    found = []
-    for length in chain_lengths(len(hashes), similarity):
-        n = len(hashes) - length + 1
-        key = np.full(n, length, dtype=np.uint64)
-        for j in range(length):
-            key = (key ^ key >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
-        key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        found.append(np.sort(key ^ key >> np.uint64(32))[:CHAINS])
-    return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
-
-
 def _common(held: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Common hashes in ascending order and their ranks (from 1, the more common the higher), told by some COMMON_DOCS documents.
 
@@ -348,27 +315,27 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _in_several_groups(nodes: DataFrame, roots: DataFrame, keys: str) -> DataFrame:
-    """node, size, root, pos, __rl_key and n of those of the keys (an array) that nodes of several groups have in common, n rows each."""
-    rows = _rooted(nodes.select("node", "size", keys), roots).select("node", "size", "root", F.posexplode(keys).alias("pos", "__rl_key"))
+def _in_several_groups(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (node, size, pos, __rl_key) whose key nodes of several groups have, with their root."""
+    rows = _rooted(rows, roots)
     # partial sums take care of keys that many have; most keys have one group and end here
-    told = rows.groupBy("__rl_key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("__rl_key", "n")
-    return cut(rows.join(_small(cut(told)), "__rl_key"))
+    told = rows.groupBy("__rl_key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("__rl_key")
+    return cut(rows.join(_small(cut(told)), "__rl_key").select("node", "size", "pos", "__rl_key", "root"))
 
 
 def _with_fame(rows: DataFrame) -> DataFrame:
-    """rows with fame, see _to_compare(), in place of pos and n."""
-    rows = rows.drop("pos")
-    return cut(rows.join(rows.groupBy("node").agg(F.sum("n").alias("fame")), "node").drop("n"))
+    """node, size, root, __rl_key and fame, see _to_compare()."""
+    many = rows.groupBy("__rl_key").agg(F.count("*").alias("n"))
+    fame = rows.join(many, "__rl_key").groupBy("node").agg(F.sum("n").alias("fame"))
+    return cut(rows.drop("pos").join(fame, "node"))
 
 
 def _to_compare(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes in different groups that have a chain in common and fit in size.
+    """Pairs (a, b) of nodes in different groups that have a key in common and fit in size.
 
-    All such pairs of a chain that at most SMALL rows have. In a larger one every node is held against one, its hub:
-    that whose chains the most nodes have, which is the text that the others vary. So there are no more than SMALL
-    pairs for each row. Similar nodes share a dozen chains, of which few are common: those of what only the two have
-    in common bring them together where a hub doesn't.
+    All such pairs of a key that at most SMALL rows have. In a larger one every node is held against one, its hub:
+    that whose keys the most nodes have, which is the text that the others vary. So there are no more than SMALL
+    pairs for each row. What a hub doesn't bring together is left to _rest().
     """
     fits = F.least("size", "o.size") >= similarity * F.greatest("size", "o.size") - 1e-9
     hub = F.max(F.struct("fame", "node", "root", "size")).alias("o")
@@ -386,14 +353,20 @@ def _differ(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITIES // 64)), F.lit(0))
 
 
-def _rest(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _rest(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b) of nodes in different groups that may be similar: no cap, so that the groups found with it are exact.
 
+    rows: node, size, pos and __rl_key of the nodes' prefixes.
+
     Similar nodes have a hash of their prefixes in common. All nodes of different groups that have one are held against
     each other, those of a key that very many have in blocks: a task holds BLOCK of its rows and passes the others by. Only
     pairs become rows whose sizes, places of the first common hash and parities don't prove them too different.
     """
-    rows = _in_several_groups(nodes, roots, "prefix").join(nodes.select("node", "parities"), "node")
+    rows = _in_several_groups(rows, roots)
+    rows = cut(rows.join(rows.groupBy("__rl_key").agg(F.count("*").alias("n")), "__rl_key"))
+    # a key that few have makes few pairs, which are looked at by _alike(): only with large keys do the parities travel
+    few = rows.where(F.col("n") <= SMALL).withColumn("parities", F.lit(None).cast("array<long>"))
+    rows = few.unionByName(rows.where(F.col("n") > SMALL).join(nodes.select("node", "parities"), "node").select(*few.columns))
     blocks = F.ceil(F.col("n") / BLOCK)
     rows = cut(rows.select("__rl_key", F.struct("node", "root", "size", "pos", "parities").alias("x"), blocks.cast("int").alias("blocks")))
     passed = rows.select("__rl_key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("x").alias("o"))
@@ -401,7 +374,7 @@ def _rest(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     both = F.col("x.size") + F.col("o.size")
     # before the first common hash the two have nothing in common
     enough = F.least(F.col("x.size") - F.col("x.pos"), F.col("o.size") - F.col("o.pos")) >= similarity / (1 + similarity) * both - 1e-6
-    near = _differ("x.parities", "o.parities") <= (1 - similarity) / (1 + similarity) * both + 1e-6
+    near = F.col("x.parities").isNull() | (_differ("x.parities", "o.parities") <= (1 - similarity) / (1 + similarity) * both + 1e-6)
     apart = (F.col("o.node") < F.col("x.node")) & (F.col("o.root") != F.col("x.root"))
     return passed.join(held, ["__rl_key", "block"]).where(apart & enough & near).select(F.col("o.node").alias("a"), F.col("x.node").alias("b")).distinct()
 
@@ -410,10 +383,11 @@ def _all_links(nodes: DataFrame, held: DataFrame, k: int, similarity: float) ->
     """node, root of every node that is joined to another by links."""
     links = cut(_alike(_held_against_smallest(nodes.select("node", *PARTS)), held, nodes, k, similarity))
     roots = components(links)
-    pairs = cut(_to_compare(_with_fame(_in_several_groups(nodes, roots, "chains")), similarity))
+    rows = _in_several_groups(nodes.select("node", "size", F.posexplode("prefix").alias("pos", "__rl_key")), roots)
+    pairs = cut(_to_compare(_with_fame(rows), similarity))
     links = cut(links.unionByName(_alike(pairs, held, nodes, k, similarity)))
     roots = components(links)
-    pairs = cut(_rest(nodes, roots, similarity))
+    pairs = cut(_rest(rows.drop("root"), nodes, roots, similarity))
     return roots if pairs.isEmpty() else components(links.unionByName(_alike(pairs, held, nodes, k, similarity)))
 
 
@@ -424,10 +398,10 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     `similarity` or more. Documents with equal sets are one from the start; every other link is compared on its two
     sets. Most links are found by SimHash: documents with CHAIN consecutive equal segments somewhere on the ring of a
     256-bit fingerprint of their distinct shingles, and at most MOST differing bits, are candidates; each bucket's
-    members are held against the bucket's smallest. What this leaves in different groups is looked up by chains of
-    consecutive hashes of the set itself, see chains(): similar sets agree on a dozen of them. These two steps are capped
-    (they make no more than CHAINS * SMALL rows for each document) and only spare the last one work: what they leave in
-    different groups is looked up by all hashes of its prefix, see prefix() and _rest(), which misses no link.
+    members are held against the bucket's smallest. What this leaves in different groups is looked up by the hashes of
+    its prefix, see prefix(), first with hubs in place of what many have in common. These two steps are capped (they make
+    no more than 32 pairs for a document and SMALL for each hash) and only spare the last one work: all that is still in
+    different groups and has a hash of its prefix in common is compared, see _rest(), which misses no link.
 
     Null and empty texts are alike; rows without doc_id stay only if their group has no doc_id; of repeated rows one
     stays; an empty table gives no rows.
@@ -442,15 +416,14 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
             prints = np.array([long_fingerprint(x) for x in sets], dtype=np.uint64).reshape(-1, len(PARTS)).view(np.int64)
             digests = np.array([set_digest(x) for x in sets], dtype=np.int64).reshape(-1, len(SET))
             columns = [*(pa.array(digests[:, i]) for i in range(len(SET))), *(pa.array(prints[:, i]) for i in range(len(PARTS))), pa.array([len(x) for x in sets], pa.int64())]
-            columns += [pa.array([parities(x) for x in sets], pa.list_(pa.int64())), pa.array([chains(x, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))]
-            columns += [pa.array([prefix(x, similarity, common, rank).view(np.int64) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *SET, *PARTS, "size", "parities", "chains", "prefix"])
+            columns += [pa.array([parities(x) for x in sets], pa.list_(pa.int64())), pa.array([prefix(x, similarity, common, rank).view(np.int64) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *SET, *PARTS, "size", "parities", "prefix"])
         tidy()
 
-    prints = cut(held.mapInArrow(run, "doc_id long, " + ", ".join(f"{p} long" for p in (*SET, *PARTS)) + ", size long, parities array<long>, chains array<long>, prefix array<long>"))
+    prints = cut(held.mapInArrow(run, "doc_id long, " + ", ".join(f"{p} long" for p in (*SET, *PARTS)) + ", size long, parities array<long>, prefix array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
     # what depends on the set alone is the same in all rows of a group
-    nodes = prints.groupBy(*SET).agg(F.min(order).alias("least"), *(F.first(c).alias(c) for c in (*PARTS, "size", "parities", "chains", "prefix")), F.count("*").alias("copies"))
+    nodes = prints.groupBy(*SET).agg(F.min(order).alias("least"), *(F.first(c).alias(c) for c in (*PARTS, "size", "parities", "prefix")), F.count("*").alias("copies"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     rooted = cut(_rooted(nodes.select("node", "least", *SET, "copies"), _all_links(nodes, held, k, similarity)))
     kept = rooted.groupBy("root").agg(F.min(F.struct("least", *SET)).alias("w"), F.sum("copies").alias("copies"))

@@ -133,8 +133,9 @@ def test_short_sets_against_brute_force(spark):
 
 
 def test_no_cap_drops_a_link(spark, monkeypatch):
-    """Where fingerprints and chains bring nothing together, the prefixes find every link; large keys go in blocks."""
-    for name, value in (("MOST", -1), ("chains", lambda hashes, similarity: hashes[:0]), ("BLOCK", 5), ("COMMON", 4)):
+    """Where the capped steps bring nothing together, the last one finds every link; large keys go in blocks."""
+    capped = simhash._to_compare
+    for name, value in (("MOST", -1), ("_to_compare", lambda *of: capped(*of).limit(0)), ("SMALL", 3), ("BLOCK", 5), ("COMMON", 4)):
         monkeypatch.setattr(simhash, name, value)
     rng = random.Random(13)
     rows, line = [], [f"hot{i}" for i in range(30)]
